@@ -116,7 +116,7 @@ def guard(events: DataFrame, dictionary: DataFrame, hot_rows: int = HOT_ROWS) ->
     """
     c = F.col
     lanes = text_lanes(events).withColumn("guard_args", t.strip_md("raw_args"))
-    d = dictionary.withColumn("needles", F.array("core"))
+    d = dictionary.withColumn("needles", F.array("core", "value"))
     hay = F.concat_ws("\n", "full", "guard_args", "raw_args")
     reads = c("tool").isin(v.GUARD_READ_TOOLS)
     pairs = dictionary_pairs(lanes, d, hay).select(
@@ -124,14 +124,16 @@ def guard(events: DataFrame, dictionary: DataFrame, hot_rows: int = HOT_ROWS) ->
         (reads & F.contains("full", c("value"))).alias("saw_value"), (reads & F.contains("full", c("core"))).alias("saw_core"),
         F.contains("guard_args", c("value")).alias("in_value"), F.contains("guard_args", c("core")).alias("in_core"))
     known = pairs.groupBy("trace_id", "canary_id").agg(
-        F.min(F.when(c("saw_value"), c("idx"))).alias("value_at"), F.min(F.when(c("saw_core"), c("idx"))).alias("core_at"),
+        F.min(F.when(c("saw_value"), c("idx"))).alias("value_at"),
+        F.min(F.when(c("saw_value") | c("saw_core"), c("idx"))).alias("core_at"),
         F.count_if("is_delivery").alias("sink_rows"))
-    sinks = pairs.filter("is_delivery AND in_core").select("trace_id", "canary_id", "idx", "value", "core", "in_value")
+    sinks = pairs.filter("is_delivery AND (in_core OR in_value)").select(
+        "trace_id", "canary_id", "idx", "value", "core", "in_value", "in_core")
     found = attach_facts(sinks, known, ["trace_id", "canary_id"], c("idx"), "sink_rows", hot_rows=hot_rows)
     verbatim = c("in_value") & (c("value_at") < c("idx"))
-    fragment = c("core_at") < c("idx")
-    per_call = found.filter(fragment).groupBy("trace_id", "idx").agg(  # one call: at most one row per secret
-        F.collect_list(F.when(c("value_at") < c("idx"), c("value"))).alias("values"), F.collect_list("core").alias("cores"),
+    fragment = c("in_core") & (c("core_at") < c("idx"))
+    per_call = found.filter(verbatim | fragment).groupBy("trace_id", "idx").agg(  # one call: at most one row per secret
+        F.collect_list(F.when(c("value_at") < c("idx"), c("value"))).alias("values"), F.collect_list(F.when(c("core_at") < c("idx"), c("core"))).alias("cores"),
         F.count_if(verbatim).alias("n_verbatim"), F.count_if(fragment).alias("n_fragment"))
     calls = lanes.filter("is_delivery").select("trace_id", "idx", "tool", "raw_args")
     return calls.join(per_call, ["trace_id", "idx"]).select(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["flow_queries"]
+MODULES = ["flow_queries", "scalar_queries"]
 
 
 def load_all() -> None:

@@ -160,3 +160,211 @@ def _hits(spark, sf_dir):
 @query("trace_signals", "SIG-0..12, SIG-14, JON-1..5", LABELS + "SELECT * FROM labels_of")
 def trace_signals(spark, sf_dir):
     return _labels(spark, sf_dir)
+
+
+def _lanes(spark, sf_dir):
+    return matching.text_lanes(tool_events(spark, sf_dir))
+
+
+#: order buckets of the event axis: a bucket holds at most this many events
+EVENTS_PER_BUCKET = 100_000
+
+
+def event_bucket(column="idx"):
+    return F.floor(F.col(column) / EVENTS_PER_BUCKET)
+
+
+@query("secret_dictionary", "PRJ-10, PRJ-11", with_sql(DICTIONARY_SQL) +
+       "SELECT env_type, canary_id, value, core, array_to_string(list_sort(fragments), ',') AS fragments FROM secrets")
+def secret_dictionary_query(spark, sf_dir):
+    d = secret_dictionary(spark, sf_dir)
+    return d.select("env_type", "canary_id", "value", "core", F.array_join(F.sort_array("fragments"), ",").alias("fragments"))
+
+
+@query("dictionary_containment", "JON-1", BASE + "SELECT trace_id, idx, canary_id FROM hits WHERE v_full")
+def dictionary_containment(spark, sf_dir):
+    pairs = matching.containment_join(_lanes(spark, sf_dir).select("trace_id", "idx", "env_type", "full"), secret_dictionary(spark, sf_dir), "full", "env_type")
+    return pairs.select("trace_id", "idx", "canary_id")
+
+
+@query("dictionary_containment_anchored", "JON-1 (large dictionary form)", BASE + "SELECT trace_id, idx, canary_id FROM hits WHERE v_args")
+def dictionary_containment_anchored(spark, sf_dir):
+    texts = _lanes(spark, sf_dir).select("trace_id", "idx", "env_type", "args_text")
+    d = secret_dictionary(spark, sf_dir).withColumn("needles", F.array("value"))
+    pairs = matching.dictionary_pairs(texts, d, F.col("args_text"), max_rows=0)
+    return pairs.select("trace_id", "idx", "canary_id")
+
+
+@query("fragment_match", "JON-2", BASE + "SELECT trace_id, idx, canary_id FROM hits WHERE core_ok AND c_args AND NOT v_args")
+def fragment_match(spark, sf_dir):
+    pairs = matching.fragment_join(_lanes(spark, sf_dir).select("trace_id", "idx", "env_type", "args_text"), secret_dictionary(spark, sf_dir), "args_text", "env_type")
+    return pairs.select("trace_id", "idx", "canary_id")
+
+
+@query("multi_fragment_match", "JON-3", BASE + "SELECT trace_id, idx, canary_id FROM hits WHERE f_vis OR f_args")
+def multi_fragment_match(spark, sf_dir):
+    return _hits(spark, sf_dir).filter("f_vis OR f_args").select("trace_id", "idx", "canary_id")
+
+
+@query("foreign_secret_matches", "JON-6", BASE + """SELECT l.trace_id, l.idx, s.canary_id, s.env_type AS home
+  FROM lanes l JOIN secrets s ON l.env_type <> s.env_type AND contains(l.full_text, s.value)""")
+def foreign_secret_matches(spark, sf_dir):
+    texts = _lanes(spark, sf_dir).select("trace_id", "idx", "env_type", "full")
+    return matching.foreign_matches(texts, secret_dictionary(spark, sf_dir), "full").select("trace_id", "idx", "canary_id", "home")
+
+
+@query("core_overlaps", "JON-7", with_sql(DICTIONARY_SQL) + """, every AS (
+  SELECT env_type, canary_id, core FROM secrets UNION ALL
+  SELECT env_type, canary_id + 1000, substr(core, 3, 12) FROM secrets WHERE canary_id % 4 = 0 AND length(core) >= 14)
+SELECT a.env_type AS inner_env, a.canary_id AS inner_id, b.env_type AS outer_env,
+  b.canary_id AS outer_id, a.core = b.core AS equal FROM every a JOIN every b
+  ON (a.env_type, a.canary_id) <> (b.env_type, b.canary_id) AND length(a.core) >= 10 AND length(b.core) >= 10 AND contains(b.core, a.core)""")
+def core_overlaps(spark, sf_dir):
+    """The dictionary together with shortened copies of some cores, which overlap by construction."""
+    d = secret_dictionary(spark, sf_dir).select("env_type", "canary_id", "core")
+    short = d.filter((F.col("canary_id") % 4 == 0) & (F.length("core") >= 14)).select(
+        "env_type", (F.col("canary_id") + 1000).alias("canary_id"), F.substring("core", 3, 12).alias("core"))
+    return matching.core_overlaps(d.unionByName(short))
+
+
+@query("near_matches", "JON-8", BASE + """, probes AS (
+  SELECT *, CAST(floor(length(value) * 0.7) AS INT) AS size FROM secrets),
+parts AS (SELECT env_type, canary_id, value, CASE WHEN size >= 8 THEN list_transform(range(1, length(value) - size + 2), lambda i: substr(value, i, size)) ELSE [] END AS parts FROM probes)
+SELECT trace_id, idx, canary_id, other_case, long_part FROM (
+  SELECT l.trace_id, l.idx, p.canary_id, contains(lower(args_text), lower(p.value)) AS other_case,
+         len(list_filter(parts, lambda x: contains(args_text, x))) > 0 AS long_part
+  FROM lanes l JOIN parts p ON l.env_type = p.env_type WHERE l.is_sink) WHERE other_case OR long_part""")
+def near_matches(spark, sf_dir):
+    texts = _lanes(spark, sf_dir).filter("is_sink").select("trace_id", "idx", "env_type", "args_text")
+    return matching.near_matches(texts, secret_dictionary(spark, sf_dir), "args_text").select(
+        "trace_id", "idx", "canary_id", "other_case", "long_part")
+
+
+@query("first_reads", "SIG-0, WIN-2", BASE + "SELECT trace_id, canary_id, read_at, taint_at FROM reads WHERE read_at IS NOT NULL OR taint_at IS NOT NULL")
+def first_reads(spark, sf_dir):
+    return signals.secret_origins(signals.secret_facts(_hits(spark, sf_dir))).select(
+        "trace_id", "canary_id", "read_at", "taint_at").filter("read_at IS NOT NULL OR taint_at IS NOT NULL")
+
+
+@query("read_write_flows", "JON-4, SIG-1", BASE + """SELECT h.trace_id, h.canary_id, h.idx, h.server, h.tool, r.read_at
+  FROM hit h JOIN reads r USING (trace_id, canary_id) WHERE h.is_sink AND h.v_args AND h.idx > r.read_at""")
+def read_write_flows(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
+    flows = signals.sink_flows(hits, signals.secret_facts(hits))
+    return flows.filter("v_args AND idx > read_at").select("trace_id", "canary_id", "idx", "server", "tool", "read_at")
+
+
+@query("running_first_read", "WIN-2", BASE + """SELECT trace_id, canary_id, idx, earlier FROM (
+  SELECT trace_id, canary_id, idx, is_sink AND v_args AS w,
+    min(CASE WHEN read_ THEN idx END) OVER (PARTITION BY trace_id, canary_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+  FROM hit) WHERE w""")
+def running_first_read(spark, sf_dir):
+    """The join-free form: a running minimum over earlier rows, bucket-wise so a busy secret is not one task."""
+    from leaktrail.operators.grouped import running
+
+    rows = _hits(spark, sf_dir).select("trace_id", "canary_id", "idx", "read", (F.col("is_sink") & F.col("v_args")).alias("w"))
+    out = running(rows, ["trace_id", "canary_id"], "idx", event_bucket(), {"earlier": ("min", F.when(F.col("read"), F.col("idx")))}, inclusive=False)
+    return out.filter("w").select("trace_id", "canary_id", "idx", "earlier")
+
+
+@query("cross_boundary_flows", "JON-5, SIG-4", LABELS + "SELECT trace_id, boundary_sources, boundary_targets FROM labels_of WHERE cross_boundary_flow")
+def cross_boundary_flows(spark, sf_dir):
+    return signals.flow_signals(signals.secret_facts(_hits(spark, sf_dir))).filter("cross_boundary_flow").select(
+        "trace_id", "boundary_sources", "boundary_targets")
+
+
+@query("first_taint_flows", "SIG-9, WIN-3", BASE + """SELECT trace_id, canary_id, read_idx, write_idx, detection_method, write_server, write_tool FROM (
+  SELECT h.trace_id, h.canary_id, r.taint_at AS read_idx, h.idx AS write_idx, CASE WHEN v_args THEN 'verbatim' ELSE 'fragment_match' END AS detection_method,
+    server AS write_server, tool AS write_tool, row_number() OVER (PARTITION BY trace_id, canary_id ORDER BY idx) AS rn
+  FROM hit h JOIN reads r USING (trace_id, canary_id) WHERE is_sink AND (v_args OR f_args) AND h.idx > r.taint_at) WHERE rn = 1""")
+def first_taint_flows(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
+    return signals.taint_flows(signals.sink_flows(hits, signals.secret_facts(hits), hot_rows=20))
+
+
+@query("escalations", "SIG-2, PRJ-6, PRJ-7", LABELS + "SELECT trace_id, what AS escalation FROM escalation")
+def escalations(spark, sf_dir):
+    return signals.escalations(signals.event_marks(_lanes(spark, sf_dir)))
+
+
+@query("opaque_transfers", "SIG-11", LABELS + "SELECT trace_id, true AS opaque_transfer FROM opaque")
+def opaque_transfers(spark, sf_dir):
+    lanes = _lanes(spark, sf_dir)
+    d = secret_dictionary(spark, sf_dir)
+    return signals.opaque_transfers(signals.event_marks(lanes), matching.match_hits(lanes, d), d)
+
+
+@query("danger_chain_hops", "SIG-13, WIN-10", BASE + """, steps AS (
+  SELECT trace_id, idx * 2 AS pos, any_value(server) || '(read)' AS label FROM hits WHERE v_full GROUP BY trace_id, idx
+  UNION ALL
+  SELECT h.trace_id, h.idx * 2 + 1, any_value(h.server) || '(write)' FROM hits h JOIN lanes l USING (trace_id, idx) JOIN secrets s
+    ON s.env_type = l.env_type AND s.canary_id = h.canary_id WHERE h.is_sink AND contains(l.args, s.value) GROUP BY h.trace_id, h.idx)
+SELECT trace_id, pos, label FROM (SELECT *, lag(label) OVER (PARTITION BY trace_id ORDER BY pos) AS before FROM steps)
+WHERE before IS NULL OR before <> label""")
+def danger_chain_hops(spark, sf_dir):
+    return signals.chain_hops(_hits(spark, sf_dir), F.floor(F.col("pos") / (2 * EVENTS_PER_BUCKET)))
+
+
+@query("delivered_strata", "SIG-15, SIG-16, PRJ-12, PRJ-13", BASE + rf"""SELECT s.stratum, count(d.idx) AS n_events
+FROM (VALUES ('exfil_outbound'), ('cross_server_persistence'), ('filesystem_workspace_persistence')) s(stratum)
+LEFT JOIN (
+  SELECT DISTINCT l.trace_id, l.idx, CASE WHEN l.tool IN ('write_file', 'move_file') THEN 'filesystem_workspace_persistence'
+    WHEN l.tool IN ('write_query', 'create_entities', 'add_observations') THEN 'cross_server_persistence'
+    WHEN l.tool = 'execute_command' AND NOT regexp_matches(coalesce(json_extract_string(l.delivered, '$.command'), ''),
+      '(?i)(?:^|[\s;|&`$(])(?:\S*/)?(?:curl|wget|ncat|socat|sftp|ssh|scp|nc)(?:\s|$)') THEN 'filesystem_workspace_persistence'
+    ELSE 'exfil_outbound' END AS stratum
+  FROM lanes l JOIN hits h USING (trace_id, idx) WHERE h.is_delivery AND (h.v_dlv OR (h.core_ok AND h.c_dlv))) d USING (stratum)
+GROUP BY s.stratum""")
+def delivered_strata(spark, sf_dir):
+    lanes = _lanes(spark, sf_dir)
+    return signals.delivery_strata(lanes, matching.match_hits(lanes, secret_dictionary(spark, sf_dir)))
+
+
+@query("relabel_changes", "SIG-17, SET-4", LABELS + """, old AS (SELECT * REPLACE (data_flow AND user_even AS data_flow) FROM
+  (SELECT l.*, CAST(trace_id AS INT) % 2 = 0 AS user_even FROM labels_of l))
+SELECT count(*) AS n_traces, count(*) FILTER (o.data_flow IS DISTINCT FROM n.data_flow) AS n_changed,
+  count(*) FILTER (o.any_risk) AS unsafe_before, count(*) FILTER (n.any_risk) AS unsafe_after
+FROM old o JOIN labels_of n USING (trace_id)""")
+def relabel_changes(spark, sf_dir):
+    """A stored version in which data_flow was missed on odd traces, against the recomputed labels."""
+    from leaktrail.session import staged
+
+    new = staged(_labels(spark, sf_dir), "labels")
+    old = new.withColumn("data_flow", F.col("data_flow") & (F.col("trace_id").cast("int") % 2 == 0))
+    return signals.relabel_changes(old, new)
+
+
+@query("turn_flows", "JON-4 on conversations", r"""WITH tokens AS (
+  SELECT DISTINCT conv_id, turn, role, unnest(regexp_split_to_array(text, '\s+')) AS token FROM conversations),
+seen AS (SELECT conv_id, token, min(turn) AS first_turn FROM tokens WHERE role <> 'assistant' AND token <> '' GROUP BY ALL)
+SELECT t.conv_id, count(*) AS reused, count(DISTINCT t.token) AS distinct_reused
+FROM tokens t JOIN seen s ON t.conv_id = s.conv_id AND t.token = s.token WHERE t.role = 'assistant' AND t.turn > s.first_turn GROUP BY ALL""")
+def turn_flows(spark, sf_dir):
+    """Tokens of user turns that reappear in a later assistant turn.
+
+    One aggregate per (conversation, token) keeps the first user turn; the number of
+    assistant turns after it is counted from (conversation, token, turn) rows joined
+    back with hot keys salted.
+    """
+    from leaktrail.operators.grouped import attach_facts
+
+    tokens = (table(spark, sf_dir, "conversations")
+              .select("conv_id", "turn", "role", F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("token"))
+              .filter("token <> ''").distinct())
+    answer = F.col("role") == "assistant"
+    facts = tokens.groupBy("conv_id", "token").agg(
+        F.min(F.when(~answer, F.col("turn"))).alias("first_turn"), F.max(F.when(answer, F.col("turn"))).alias("last_answer"),
+        F.count(F.lit(1)).alias("n")).filter("last_answer > first_turn").drop("last_answer")
+    reused = attach_facts(tokens.filter(answer), facts, ["conv_id", "token"], F.col("turn"), "n").filter("turn > first_turn")
+    per_token = reused.groupBy("conv_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return per_token.groupBy("conv_id").agg(F.sum("n").alias("reused"), F.count(F.lit(1)).alias("distinct_reused"))
+
+
+@query("benchmark_in_documents", "JON-1 on documents", """SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+def benchmark_in_documents(spark, sf_dir):
+    """Whole benchmark texts inside whole documents, anchored on runs of eight words."""
+    from leaktrail.operators.passages import passage_pairs
+    from leaktrail.plans.registry import spread
+
+    return passage_pairs(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), "doc_id", "text",
+                         table(spark, sf_dir, "benchmark"), "item_id", "text")
