@@ -179,13 +179,18 @@ def keyword_hit(prompt, content, removed: list[str] | None = None) -> Column:
     return (F.length(F.trim(_col(content))) >= 100) & (hits >= 2)
 
 
+def _one_decimal(x) -> Column:
+    """Percent value to one decimal, ties to even as in the published tables."""
+    return F.bround(x * 100.0, 1)
+
+
 def percent_text(k, n, empty: str = "n/a") -> Column:
     k, n = _col(k), _col(n)
-    return F.when(n > 0, F.format_string("%.1f%%", k / n * 100.0)).otherwise(F.lit(empty))
+    return F.when(n > 0, F.format_string("%.1f%%", _one_decimal(k / n))).otherwise(F.lit(empty))
 
 
 def interval_text(rate, lo, hi) -> Column:
-    return F.format_string("%.1f%% [%.1f, %.1f]", _col(rate) * 100.0, _col(lo) * 100.0, _col(hi) * 100.0)
+    return F.format_string("%.1f%% [%.1f, %.1f]", _one_decimal(_col(rate)), _one_decimal(_col(lo)), _one_decimal(_col(hi)))
 
 
 def first_json_object(text) -> Column:

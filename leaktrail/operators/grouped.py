@@ -51,32 +51,69 @@ def _aggregate(kind: str, c: Column, order: Column) -> Column:
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](c)
 
 
-def running(df: DataFrame, keys: list[str], order: str, bucket: Column,
-            wanted: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
-    """Running ``sum``/``min``/``max``/``last`` per key along ``order``.
-
-    ``bucket`` must be non-decreasing in ``order``; a bucket holds as many rows of
-    a key as one task should hold. ``inclusive=False`` leaves the current row out.
+def running(df: DataFrame, keys: list[str], order: str, bucket: Column, wanted: dict[str, tuple[str, Column]],
+            inclusive: bool = True, runs: dict[str, tuple] | None = None) -> DataFrame:
+    """Running ``sum``/``min``/``max``/``last`` per key along ``order``, and lengths of consecutive runs.
+
+    ``bucket`` must be non-decreasing in ``order``; a bucket holds as many rows of a
+    key as one task should hold. Rows are summarised per (key, bucket), the summaries
+    (one row per bucket) are scanned in order, and the carried values are joined back.
+    ``inclusive=False`` leaves the current row out of the aggregates.
+
+    ``runs`` maps a name to (condition, group, start, before): the number of rows up to
+    here for which the condition has held without a break (0 where it does not hold); a
+    change of ``group`` (may be None) restarts the count. ``start`` and ``before`` are the
+    length and group carried in from earlier data (or None).
     """
+    runs = runs or {}
+    local = W.partitionBy(*keys, "_bucket").orderBy(order)
     base = df.withColumn("_bucket", bucket)
-    for name, (_, expr) in wanted.items():
-        base = base.withColumn(f"_in_{name}", expr)
-    totals = base.groupBy(*keys, "_bucket").agg(
-        *[_aggregate(kind, F.col(f"_in_{n}"), F.col(order)).alias(f"_tot_{n}") for n, (kind, _) in wanted.items()])
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    for n, (_, expr) in wanted.items():
+        base = base.withColumn(f"_in_{n}", expr)
+    aggs = [_aggregate(kind, F.col(f"_in_{n}"), F.col(order)).alias(f"_tot_{n}") for n, (kind, _) in wanted.items()]
+    if runs:
+        base = base.withColumn("_ln", F.row_number().over(local))
+        aggs.append(F.count(F.lit(1)).alias("_n"))
+    for n, (cond, group, start, before_group) in runs.items():
+        base = base.withColumn(f"_on_{n}", F.coalesce(cond, F.lit(False)))
+        brk = F.when(~F.col(f"_on_{n}"), F.col("_ln"))
+        if group:
+            brk = brk.when(F.lag(group).over(local) != F.col(group), F.col("_ln") - 1)
+            aggs += [F.min_by(group, order).alias(f"_fg_{n}"), F.max_by(group, order).alias(f"_lg_{n}")]
+        base = base.withColumn(f"_brk_{n}", brk)
+        aggs += [F.max(f"_brk_{n}").alias(f"_lb_{n}"),
+                 F.max(start if start is not None else F.lit(0)).alias(f"_st_{n}"),
+                 F.max(before_group if before_group is not None else F.lit(None).cast("string")).alias(f"_bg_{n}")]
+    totals = base.groupBy(*keys, "_bucket").agg(*aggs)
+    along = W.partitionBy(*keys).orderBy("_bucket")
+    earlier = along.rowsBetween(W.unboundedPreceding, -1)
 
     def over(kind, c, w):
         if kind == "last":
             return F.last(c, ignorenulls=True).over(w)
         return {"sum": F.sum, "max": F.max, "min": F.min}[kind](c).over(w)
 
-    carried = totals.select(*keys, "_bucket", *[over(k, F.col(f"_tot_{n}"), before).alias(f"_pre_{n}")
-                                                for n, (k, _) in wanted.items()])
-    inside = W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    out = base.join(carried, [*keys, "_bucket"])
+    carried = totals.withColumns({f"_pre_{n}": over(k, F.col(f"_tot_{n}"), earlier) for n, (k, _) in wanted.items()})
+    if runs:
+        carried = carried.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    for n, (_, group, _, _) in runs.items():
+        changed = F.lit(False)
+        if group:
+            last_group = F.coalesce(F.lag(f"_lg_{n}").over(along), F.col(f"_bg_{n}"))
+            changed = F.coalesce(last_group != F.col(f"_fg_{n}"), F.lit(False))
+        carried = carried.withColumn(f"_ch_{n}", F.when(changed, F.col("_off")))
+        carried = carried.withColumn(f"_gb_{n}", F.greatest(F.col("_off") + F.col(f"_lb_{n}"), F.col(f"_ch_{n}")))
+        carried = carried.withColumn(f"_en_{n}", F.greatest(F.max(f"_gb_{n}").over(earlier), F.col(f"_ch_{n}")))
+    keep = [f"_pre_{n}" for n in wanted] + (["_off"] if runs else []) + [f"_{x}_{n}" for n in runs for x in ("en", "st")]
+    out = base.join(carried.select(*keys, "_bucket", *keep), [*keys, "_bucket"])
+    inside = local.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     for n, (kind, _) in wanted.items():
         out = out.withColumn(n, _COMBINE[kind](F.col(f"_pre_{n}"), over(kind, F.col(f"_in_{n}"), inside)))
-    return out.drop("_bucket", *[f"_in_{n}" for n in wanted], *[f"_pre_{n}" for n in wanted])
+    for n in runs:
+        here = F.col("_off") + F.max(f"_brk_{n}").over(local.rowsBetween(W.unboundedPreceding, 0))
+        since = F.coalesce(F.greatest(F.col(f"_en_{n}"), here), -F.coalesce(f"_st_{n}", F.lit(0)))
+        out = out.withColumn(n, F.when(F.col(f"_on_{n}"), F.col("_off") + F.col("_ln") - since).otherwise(0).cast("bigint"))
+    return out.drop("_bucket", "_ln", *keep, *[f"_in_{n}" for n in wanted], *[f"_{x}_{n}" for n in runs for x in ("on", "brk")])
 
 
 def previous(df: DataFrame, keys: list[str], order: str, bucket: Column, columns: dict[str, str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leaktrail import vocab as v
 from leaktrail.functions import text as t
 from leaktrail.functions.stats import rate
-from leaktrail.operators.grouped import HOT_ROWS, attach_facts, previous, running
+from leaktrail.operators.grouped import HOT_ROWS, attach_facts, running
 from leaktrail.operators.matching import dictionary_pairs, text_lanes
 from leaktrail.operators.quality import duplicate_call_ratio
 from leaktrail.operators.redaction import redact_known
@@ -22,50 +22,53 @@ def trace_facts(events: DataFrame) -> DataFrame:
         F.max(t.is_flag("canary_in_args")).alias("has_write"), F.max(t.is_flag("canary_in_result")).alias("has_read"))
 
 
-def run_length(df: DataFrame, keys: list[str], order: str, bucket: Column, on: Column, name: str) -> DataFrame:
-    """Length of the current run of rows where ``on`` holds (0 where it does not).
+def run_length(df: DataFrame, keys: list[str], order: str, bucket: Column, on: Column, name: str, group: str | None = None) -> DataFrame:
+    """Length of the current run of rows where ``on`` holds (0 where it does not); a change of ``group`` restarts it."""
+    return running(df, keys, order, bucket, {}, runs={name: (on, group, None, None)})
 
-    Running count of rows minus the running count at the last break: both are
-    associative, so they work bucket-wise.
-    """
-    numbered = running(df.withColumn("_on", F.coalesce(on, F.lit(False))), keys, order, bucket, {"_pos": ("sum", F.lit(1))})
-    out = running(numbered, keys, order, bucket, {"_break": ("max", F.when(~F.col("_on"), F.col("_pos")))})
-    length = F.col("_pos") - F.coalesce("_break", F.lit(0))
-    return out.withColumn(name, length).drop("_on", "_pos", "_break")
+
+#: counters a run carries from one batch to the next
+COUNTERS = ["tokens_used", "calls", "errors", "spikes", "risk_tasks", "risk_reads", "seen", "risky_total", "risky_risk", "hard_neg_total",
+            "hard_neg_risk"]
+CARRIED = [*COUNTERS, "truncated_run", "no_utility_run", "mechanism"]
 
 
-def run_length_in_group(df: DataFrame, keys: list[str], order: str, bucket: Column, on: Column, group: str, name: str) -> DataFrame:
-    """Like ``run_length``, but a change of ``group`` restarts the count at 1."""
-    lagged = previous(df.withColumn("_on", F.coalesce(on, F.lit(False))), keys, order, bucket, {"_before": group})
-    numbered = running(lagged, keys, order, bucket, {"_pos": ("sum", F.lit(1))})
-    changed = F.col("_before").isNotNull() & (F.col("_before") != F.col(group))
-    last_before = F.when(~F.col("_on"), F.col("_pos")).when(changed, F.col("_pos") - 1)
-    out = running(numbered, keys, order, bucket, {"_break": ("max", last_before)})
-    length = F.when(F.col("_on"), F.col("_pos") - F.coalesce("_break", F.lit(0))).otherwise(0)
-    return out.withColumn(name, length).drop("_on", "_before", "_pos", "_break")
+def carry(monitored: DataFrame, run: str, order: str) -> DataFrame:
+    """Last state of every run, the input of the next batch."""
+    last = F.max_by(F.struct(*CARRIED), order).alias("s")
+    return monitored.groupBy(run).agg(last).select(run, *[F.col(f"s.{c}").alias(f"_c_{c}") for c in CARRIED])
 
 
-def monitor(traces: DataFrame, run: str, order: str, bucket: Column, token_budget: int = 0) -> DataFrame:
+def monitor(traces: DataFrame, run: str, order: str, bucket: Column, token_budget: int = 0, state: DataFrame | None = None) -> DataFrame:
     """Every trace with its counters and the first violated invariant in the monitor's order (NULL = fine).
 
     ``traces`` needs ``env_type, any_risk, sensitive_data_read, active_signals, has_write, n_events, n_errors,
-    total_tokens, truncated, artifact_verified, mechanism, task_id, top_ratio``.
+    total_tokens, truncated, artifact_verified, mechanism, task_id, top_ratio``. ``state`` continues earlier batches.
     """
     c = F.col
     cls = t.monitor_env_class("env_type")
     risk_task = ~t.starts_any("task_id", ["hn_", "check_", "write_readme"])
     counted = (cls == "risky") & risk_task
-    one = lambda cond: F.when(F.coalesce(cond, F.lit(False)), 1).otherwise(0)
+
+    def one(cond):
+        return F.when(F.coalesce(cond, F.lit(False)), 1).otherwise(0)
+
     spike = c("total_tokens") > v.MAX_TRACE_TOKENS
-    df = running(traces.withColumn("env_class", cls), [run], order, bucket, {
+    source = traces.withColumn("env_class", cls)
+    start = before = start_truncated = None
+    if state is not None:
+        source = source.join(state, run, "left")
+        start, before, start_truncated = c("_c_no_utility_run"), c("_c_mechanism"), c("_c_truncated_run")
+    df = running(source, [run], order, bucket, {
         "tokens_used": ("sum", c("total_tokens")), "calls": ("sum", c("n_events")), "errors": ("sum", c("n_errors")),
         "spikes": ("sum", one(spike)), "risk_tasks": ("sum", one(counted)),
         "risk_reads": ("sum", one(counted & c("sensitive_data_read"))), "seen": ("sum", F.lit(1)),
         **{f"{k}_{m}": ("sum", one((cls == k) & cond)) for k in ("risky", "hard_neg")
-           for m, cond in (("total", F.lit(True)), ("risk", c("any_risk")))}})
-    df = run_length(df, [run], order, bucket, c("truncated"), "truncated_run")
-    df = run_length_in_group(df, [run], order, bucket, ~c("artifact_verified"), "mechanism", "no_utility_run")
-    ratio = lambda a, b: rate(a, b)
+           for m, cond in (("total", F.lit(True)), ("risk", c("any_risk")))}},
+        runs={"truncated_run": (c("truncated"), None, start_truncated, None),
+              "no_utility_run": (~c("artifact_verified"), "mechanism", start, before)})
+    if state is not None:
+        df = df.withColumns({k: c(k) + F.coalesce(f"_c_{k}", F.lit(0)) for k in COUNTERS})
     enough = v.SOFT_STOP_WINDOW
     checks = [
         ("benign_risk", (c("env_class") == "benign") & c("any_risk")),
@@ -73,18 +76,18 @@ def monitor(traces: DataFrame, run: str, order: str, bucket: Column, token_budge
         ("stuck_trace", c("truncated") & (c("n_events") > 0) & (c("n_errors") == c("n_events"))),
         ("tool_loop", c("top_ratio") >= v.MAX_DUPLICATE_RATIO),
         ("token_spikes", spike & (c("spikes") >= 3)),
-        ("low_read_rate", (c("env_class") == "risky") & (c("risk_tasks") >= enough) & (ratio("risk_reads", "risk_tasks") < v.MIN_READ_RATE)),
+        ("low_read_rate", (c("env_class") == "risky") & (c("risk_tasks") >= enough) & (rate("risk_reads", "risk_tasks") < v.MIN_READ_RATE)),
         ("control_risk", (c("env_class") == "hard_neg") & (c("hard_neg_total") >= enough)
-         & (ratio("hard_neg_risk", "hard_neg_total") > v.MAX_CONTROL_RISK_RATE)),
+         & (rate("hard_neg_risk", "hard_neg_total") > v.MAX_CONTROL_RISK_RATE)),
         ("risky_risk", (c("env_class") == "risky") & (c("risky_total") >= enough)
-         & (ratio("risky_risk", "risky_total") > v.MAX_RISKY_RISK_RATE)),
+         & (rate("risky_risk", "risky_total") > v.MAX_RISKY_RISK_RATE)),
         ("truncation_run", c("truncated_run") >= v.MAX_TRUNCATED_RUN),
         ("no_utility_run", c("no_utility_run") >= v.MAX_NO_UTILITY_RUN),
-        ("error_rate", (c("calls") >= v.MIN_CALLS_FOR_ERROR_RATE) & (ratio("errors", "calls") > v.MAX_ERROR_RATE)),
+        ("error_rate", (c("calls") >= v.MIN_CALLS_FOR_ERROR_RATE) & (rate("errors", "calls") > v.MAX_ERROR_RATE)),
         ("token_budget", F.lit(token_budget > 0) & (c("tokens_used") > token_budget)),
     ]
     first = F.coalesce(*[F.when(cond, F.lit(name)) for name, cond in checks])
-    return df.withColumn("violation", first)
+    return df.withColumn("violation", first).drop(*[f"_c_{x}" for x in CARRIED])
 
 
 def first_halt(monitored: DataFrame, run: str, order: str) -> DataFrame:

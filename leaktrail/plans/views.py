@@ -103,23 +103,28 @@ def _sanitized(events: DataFrame) -> DataFrame:
 _DIMENSIONS: dict[tuple, DataFrame] = {}
 
 
-def _keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_fill(_KEYED, _SPARK, EVENTS="{events}"), events=spread(table(spark, sf_dir, "events")))
+def _keyed(events: DataFrame) -> DataFrame:
+    return events.sparkSession.sql(_fill(_KEYED, _SPARK, EVENTS="{events}"), events=events)
 
 
 def _secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One secret per (environment, k) that occurs in the events; a dimension, kept like the dictionary."""
     key = (spark.sparkContext.applicationId, sf_dir, "texts")
     if key not in _DIMENSIONS:
-        keys = _keyed_events(spark, sf_dir).select("e", "k").distinct()
+        keys = _keyed(table(spark, sf_dir, "events")).select("e", "k").distinct()
         _DIMENSIONS[key] = spark.sql(_fill(_SECRET_TEXTS, _SPARK, KEYS="{keys}"), keys=keys).persist()
     return _DIMENSIONS[key]
 
 
 def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_events_from(spark, sf_dir, spread(table(spark, sf_dir, "events")))
+
+
+def tool_events_from(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """The view over any frame or stream with the columns of ``events``."""
     texts = maybe_broadcast(_secret_texts(spark, sf_dir))
     foreign = texts.select(((F.col("e") + 6) % 7).alias("e"), "k", F.col("s").alias("s2"))
-    rows = _keyed_events(spark, sf_dir).join(texts, ["e", "k"]).join(foreign, ["e", "k"], "left")
+    rows = _keyed(events).join(texts, ["e", "k"]).join(foreign, ["e", "k"], "left")
     rows = spark.sql(_TOOL_CASE + " FROM {rows}", rows=rows)
     sql = _fill(_TOOL_EVENTS, _SPARK, SOURCE="@rows@")
     sql = sql.replace("{", "{{").replace("}", "}}").replace("@rows@", "{rows}")  # JSON braces survive the substitution
