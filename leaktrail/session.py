@@ -29,19 +29,24 @@ def build_session(app: str = "leaktrail", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that every executor can reach.
+    """The folder for staged tables and stream checkpoints that every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, local mode) a temporary folder is used.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset in local
+    mode (tests) a temporary folder of this machine is used.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        path = tempfile.mkdtemp(prefix="leaktrail-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="leaktrail-")
+    return _LOCAL_DIRS[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
