@@ -16,7 +16,7 @@ def read_envelopes(spark: SparkSession, paths, pattern: str = "agent_traces*.jso
     Whole-file documents cannot be split, so a file is one task; keep files small or
     use the line or parquet form for large logs. Corrupt files yield no traces.
     """
-    bare = F.from_json("text", F.lit(f"array<{schema.TRACE.simpleString()}>"))
+    bare = F.from_json("text", f"ARRAY<STRUCT<{schema.TRACE}>>")
     wrapped = F.from_json("text", schema.ENVELOPE)
     files = (spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
              .option("pathGlobFilter", pattern).load(paths)
@@ -42,7 +42,7 @@ def read_lines(spark: SparkSession, paths, pattern: str = "*.jsonl") -> DataFram
     """JSON lines (splittable); malformed lines and traces without events are dropped."""
     rows = (spark.read.schema(schema.TRACE).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True)
             .option("pathGlobFilter", pattern).json(paths))
-    return rows.filter(F.size(F.coalesce("events", F.array().cast(schema.TRACE["events"].dataType))) > 0)
+    return rows.filter(F.size("events") > 0)
 
 
 def load_all(spark: SparkSession, directories: list[str], fallback_lines: bool = True) -> DataFrame:
