@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from leaktrail.session import maybe_broadcast
+
 HOT_ROWS = 1_000_000
 SALTS = 256
 
@@ -136,6 +138,25 @@ def ordered_ids(df: DataFrame, order: list[str], bucket: Column, name: str = "id
             .withColumn(name, F.col("_off") + F.row_number().over(inside) - 1).drop("_bucket", "_off"))
 
 
+def first_in_order(df: DataFrame, order: list[str], bucket: Column, quota: DataFrame | int, keys: list[str] | None = None) -> DataFrame:
+    """The first rows of an order, per key if given, exactly as many as the quota says.
+
+    ``quota`` is a number or a frame (keys, ``quota``). Counts per (key, bucket) give
+    offsets; a bucket that starts beyond the quota cannot contribute, so only the few
+    buckets before the cut are shuffled and sorted.
+    """
+    keys = keys or []
+    rows = df.withColumn("_bucket", bucket)
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = (W.partitionBy(*keys) if keys else W.partitionBy()).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = offsets.withColumn("quota", F.lit(quota)) if isinstance(quota, int) else offsets.join(quota.select(*keys, "quota"), keys)
+    useful = maybe_broadcast(offsets.filter(F.col("_off") < F.col("quota")))
+    rank = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
+    return (rows.join(useful, [*keys, "_bucket"]).withColumn("_rank", F.col("_off") + rank)
+            .filter(F.col("_rank") <= F.col("quota")).drop("_bucket", "_off", "_rank", "quota"))
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
     """One row per key: the first (or last) in ``order``; combines before the shuffle."""
     pick = F.max_by if last else F.min_by

@@ -12,6 +12,8 @@ from leaktrail.functions import text as t
 from leaktrail.session import BROADCAST_ROWS, fits_broadcast
 
 WINDOWS_OF_10 = r"(?s)(?=(.{10}))"
+#: with at most this many secrets per scope, testing each of them is cheaper than hashing every window
+DIRECT_PER_SCOPE = 200
 
 EVENT_COLUMNS = {
     "trace_id": "string", "env_type": "string", "idx": "bigint", "turn": "bigint", "server": "string", "tool": "string",
@@ -56,34 +58,61 @@ def _needle_present(haystack: Column) -> Column:
 
 
 def dictionary_pairs(texts: DataFrame, dictionary: DataFrame, haystack: Column, scope: str = "env_type",
-                     max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                     max_rows: int = BROADCAST_ROWS, direct: int = DIRECT_PER_SCOPE) -> DataFrame:
     """(text row, secret) pairs where a needle of the secret occurs in ``haystack``.
 
-    A dictionary within the checked size is broadcast and probed on ``scope`` with
-    the containment test as residual condition: no shuffle of the texts. A larger
-    one is joined on a ten-character anchor of each needle against the
-    ten-character windows of the text. The anchor join loses nothing, since a text
-    that contains a needle contains the needle's anchor; short needles (which have
-    no anchor) keep the residual test.
+    Three exact forms, chosen by the measured size of the dictionary:
+
+    * few secrets per scope: broadcast, joined on ``scope`` with the containment test
+      as residual condition; the texts are not shuffled;
+    * more, but within the broadcast bound: each ten-character window of a text is
+      looked up among the needles' first ten characters, so the work per text no
+      longer grows with the dictionary; still no shuffle of texts;
+    * beyond the bound: the same lookup as a shuffled join of (window, row id).
+
+    A text that contains a needle contains the needle's first ten characters, so the
+    lookup loses nothing. Secrets with a needle shorter than that use the first form.
     """
-    if fits_broadcast(dictionary, max_rows):
-        return texts.withColumn("_hay", haystack).join(
-            F.broadcast(dictionary), (texts[scope] == dictionary[scope]) & _needle_present(F.col("_hay")), "inner"
-        ).drop(dictionary[scope]).drop("_hay")
-    return _anchored_pairs(texts, dictionary, haystack, scope)
+    if not fits_broadcast(dictionary, max_rows):
+        return _shuffled_pairs(texts, dictionary, haystack, scope)
+    per_scope = dictionary.groupBy(scope).count().agg(F.max("count")).first()[0] or 0
+    if per_scope <= direct:
+        return _direct_pairs(texts, dictionary, haystack, scope)
+    short = F.exists("needles", lambda n: F.length(n) < v.MIN_FRAGMENT)
+    rare = dictionary.filter(short)
+    found = _window_pairs(texts, dictionary.filter(~short), haystack, scope)
+    return found if rare.isEmpty() else found.unionByName(_direct_pairs(texts, rare, haystack, scope))
+
+
+def _direct_pairs(texts, dictionary, haystack, scope):
+    return texts.withColumn("_hay", haystack).join(
+        F.broadcast(dictionary), (texts[scope] == dictionary[scope]) & _needle_present(F.col("_hay")), "inner"
+    ).drop(dictionary[scope]).drop("_hay")
+
+
+def _window_hashes(c) -> Column:
+    windows = F.regexp_extract_all(c, F.lit(WINDOWS_OF_10), F.lit(1))
+    return F.array_distinct(F.transform(windows, lambda w: F.xxhash64(w)))
+
+
+def _window_pairs(texts, dictionary, haystack, scope):
+    rows = dictionary.select("*", F.posexplode("needles").alias("_j", "_needle"))
+    rows = rows.withColumn("_anchor", F.xxhash64(F.substring("_needle", 1, v.MIN_FRAGMENT))).withColumnRenamed(scope, "_scope")
+    probes = texts.withColumn("_hay", haystack).select("*", F.explode(_window_hashes("_hay")).alias("_anchor"))
+    # a secret is reported by its first needle present, so no pair appears twice
+    earlier = F.exists(F.slice("needles", 1, F.col("_j")), lambda n: F.contains("_hay", n))
+    same = (probes[scope] == rows["_scope"]) & (probes["_anchor"] == rows["_anchor"])
+    out = probes.join(F.broadcast(rows), same & F.contains("_hay", F.col("_needle")) & ~earlier, "inner")
+    return out.drop("_hay", "_j", "_needle", "_scope").drop(probes["_anchor"]).drop(rows["_anchor"])
 
 
-def _anchored_pairs(texts, dictionary, haystack, scope):
+def _shuffled_pairs(texts, dictionary, haystack, scope):
     needle_rows = dictionary.withColumn("_needle", F.explode("needles"))
-    long = F.length("_needle") >= v.MIN_FRAGMENT
-    anchored = needle_rows.filter(long).select(
-        F.col(scope).alias("_scope"), F.xxhash64(F.substring("_needle", 1, v.MIN_FRAGMENT)).alias("_anchor"), "_needle",
-        "canary_id").distinct()
+    anchored = needle_rows.filter(F.length("_needle") >= v.MIN_FRAGMENT).select(
+        F.col(scope).alias("_scope"), F.xxhash64(F.substring("_needle", 1, v.MIN_FRAGMENT)).alias("_key"), "canary_id").distinct()
     keyed = texts.withColumn("_hay", haystack).withColumn("_row", F.struct("trace_id", "idx"))
-    windows = F.array_distinct(F.transform(
-        F.regexp_extract_all("_hay", F.lit(WINDOWS_OF_10), F.lit(1)), lambda w: F.xxhash64(w)))
-    probes = keyed.select(scope, "_row", F.explode(windows).alias("_anchor"))
-    found = (probes.join(anchored, (probes[scope] == anchored["_scope"]) & (probes["_anchor"] == anchored["_anchor"]))
+    probes = keyed.select(scope, "_row", F.explode(_window_hashes("_hay")).alias("_anchor"))
+    found = (probes.join(anchored, (probes[scope] == anchored["_scope"]) & (probes["_anchor"] == anchored["_key"]))
              .select("_row", F.col("_scope").alias(scope), "canary_id"))
     short = dictionary.filter(F.exists("needles", lambda n: F.length(n) < v.MIN_FRAGMENT)).select(scope, "canary_id", "needles")
     by_short = (keyed.join(short, scope).filter(_needle_present(F.col("_hay"))).select("_row", scope, "canary_id"))
@@ -92,7 +121,7 @@ def _anchored_pairs(texts, dictionary, haystack, scope):
             .filter(_needle_present(F.col("_hay"))).drop("_hay", "_row"))
 
 
-def match_hits(lanes: DataFrame, dictionary: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def match_hits(lanes: DataFrame, dictionary: DataFrame, max_rows: int = BROADCAST_ROWS, direct: int = DIRECT_PER_SCOPE) -> DataFrame:
     """The one dictionary join. One narrow row per (event, secret) that touch in any lane.
 
     ``v_*`` = full value in the lane, ``c_*`` = core, ``f_*`` = any fragment. The
@@ -100,7 +129,7 @@ def match_hits(lanes: DataFrame, dictionary: DataFrame, max_rows: int = BROADCAS
     """
     haystack = F.concat_ws("\n", "full", "args_text", F.when(F.col("blocked"), F.col("delivered")),
                            F.when(F.col("truncated"), F.col("visible")))
-    pairs = dictionary_pairs(lanes, dictionary, haystack, max_rows=max_rows)
+    pairs = dictionary_pairs(lanes, dictionary, haystack, max_rows=max_rows, direct=direct)
 
     def value_in(c):
         return F.contains(F.col(c), F.col("value"))

@@ -12,6 +12,7 @@ from leaktrail.operators.grouped import HOT_ROWS, attach_facts, running
 from leaktrail.operators.matching import dictionary_pairs, text_lanes
 from leaktrail.operators.quality import duplicate_call_ratio
 from leaktrail.operators.redaction import redact_known
+from leaktrail.session import staged
 
 
 def trace_facts(events: DataFrame) -> DataFrame:
@@ -126,6 +127,7 @@ def guard(events: DataFrame, dictionary: DataFrame, hot_rows: int = HOT_ROWS) ->
         "trace_id", "idx", "canary_id", "value", "core", "is_delivery",
         (reads & F.contains("full", c("value"))).alias("saw_value"), (reads & F.contains("full", c("core"))).alias("saw_core"),
         F.contains("guard_args", c("value")).alias("in_value"), F.contains("guard_args", c("core")).alias("in_core"))
+    pairs = staged(pairs, "guard-hits")  # read twice below; the texts are matched once
     known = pairs.groupBy("trace_id", "canary_id").agg(
         F.min(F.when(c("saw_value"), c("idx"))).alias("value_at"),
         F.min(F.when(c("saw_value") | c("saw_core"), c("idx"))).alias("core_at"),

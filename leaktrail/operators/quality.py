@@ -67,8 +67,8 @@ def flag_agreement(events: DataFrame, computed: DataFrame, flag: str) -> DataFra
 
 
 def duplicate_call_ratio(events: DataFrame, min_events: int = 6) -> DataFrame:
-    """Share of the most repeated (tool, args) call per trace."""
-    calls = events.groupBy("trace_id", "tool", F.coalesce("args", F.lit("{}")).alias("args")).agg(F.count(F.lit(1)).alias("n"))
+    """Share of the most repeated (tool, args) call per trace; arguments travel as a digest."""
+    calls = events.groupBy("trace_id", "tool", F.md5(F.coalesce("args", F.lit("{}"))).alias("args")).agg(F.count(F.lit(1)).alias("n"))
     return (calls.groupBy("trace_id").agg(F.max("n").alias("top"), F.sum("n").alias("n_events"),
                                           F.min_by("tool", F.struct(-F.col("n"), "tool")).alias("top_tool"))
             .filter(F.col("n_events") >= min_events).withColumn("ratio", rate("top", "n_events")))

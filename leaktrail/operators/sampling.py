@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from leaktrail import vocab as v
-from leaktrail.operators.grouped import ordered_ids
+from leaktrail.operators.grouped import first_in_order, ordered_ids
 
 PREFIX = 3  # hex digits: 4096 buckets of the hash order
 
@@ -30,8 +30,8 @@ def eligible(traces: DataFrame) -> DataFrame:
 
 def simple_sample(pool: DataFrame, key: str, size: int, seed=v.SAMPLE_SEED) -> DataFrame:
     """Exactly ``size`` rows without replacement (all rows when the pool is smaller)."""
-    ranked = ordered_ids(pool.withColumn("_h", draw_order(seed, key)), ["_h", key], F.substring("_h", 1, PREFIX), "_rank")
-    return ranked.filter(F.col("_rank") < size).drop("_h", "_rank")
+    hashed = pool.withColumn("_h", draw_order(seed, key))
+    return first_in_order(hashed, ["_h", key], F.substring("_h", 1, PREFIX), size).drop("_h")
 
 
 def allocate(cells: DataFrame, size: int) -> DataFrame:
@@ -68,21 +68,13 @@ def allocate(cells: DataFrame, size: int) -> DataFrame:
 def stratified_sample(pool: DataFrame, cell: Column, key: str, size: int, seed=v.SAMPLE_SEED) -> DataFrame:
     """Draw each stratum's allocation, with its own hash order.
 
-    Ranks are built per (stratum, hash bucket), so a dominant stratum is spread over
+    Rows are ranked per (stratum, hash bucket), so a dominant stratum spreads over
     4096 groups.
     """
     rows = pool.withColumn("cell", cell)
-    quota = allocate(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("pool")), size)
+    quota = allocate(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("pool")), size).select("cell", F.col("drawn").alias("quota"))
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), "cell", F.col(key).cast("string")), 256)
-    rows = rows.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, PREFIX))
-    counts = rows.groupBy("cell", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("cell").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("cell", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # buckets that start beyond the quota cannot contribute and are dropped before the sort
-    useful = offsets.join(quota, "cell").filter(F.col("_off") < F.col("drawn"))
-    inside = F.row_number().over(W.partitionBy("cell", "_b").orderBy("_h", key))
-    return (rows.join(useful, ["cell", "_b"]).withColumn("_r", F.col("_off") + inside)
-            .filter(F.col("_r") <= F.col("drawn")).drop("_h", "_b", "_off", "_r", "pool", "drawn"))
+    return first_in_order(rows.withColumn("_h", order), ["_h", key], F.substring("_h", 1, PREFIX), quota, ["cell"]).drop("_h")
 
 
 def coverage(pool: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leaktrail import vocab as v
 from leaktrail.operators import matching, signals
 from leaktrail.plans.registry import query, table
+from leaktrail.session import staged
 from leaktrail.plans.views import (DICTIONARY_SQL, TOOL_EVENTS_SQL, TRACES_SQL, secret_dictionary, tool_events, traces, with_sql)
 
 
@@ -154,7 +155,8 @@ def _labels(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    return matching.match_hits(matching.text_lanes(tool_events(spark, sf_dir)), secret_dictionary(spark, sf_dir))
+    """Hits as one staged narrow table: queries below read it more than once."""
+    return staged(matching.match_hits(matching.text_lanes(tool_events(spark, sf_dir)), secret_dictionary(spark, sf_dir)), "hits")
 
 
 @query("trace_signals", "SIG-0..12, SIG-14, JON-1..5", LABELS + "SELECT * FROM labels_of")
@@ -195,6 +197,14 @@ def dictionary_containment_anchored(spark, sf_dir):
     return pairs.select("trace_id", "idx", "canary_id")
 
 
+@query("dictionary_containment_windows", "JON-1 (medium dictionary form)", BASE + "SELECT trace_id, idx, canary_id FROM hits WHERE v_full OR v_args")
+def dictionary_containment_windows(spark, sf_dir):
+    texts = _lanes(spark, sf_dir).select("trace_id", "idx", "env_type", "full", "args_text")
+    d = secret_dictionary(spark, sf_dir).withColumn("needles", F.array("value"))
+    pairs = matching.dictionary_pairs(texts, d, F.concat_ws("\n", "full", "args_text"), direct=0)
+    return pairs.select("trace_id", "idx", "canary_id")
+
+
 @query("fragment_match", "JON-2", BASE + "SELECT trace_id, idx, canary_id FROM hits WHERE core_ok AND c_args AND NOT v_args")
 def fragment_match(spark, sf_dir):
     pairs = matching.fragment_join(_lanes(spark, sf_dir).select("trace_id", "idx", "env_type", "args_text"), secret_dictionary(spark, sf_dir), "args_text", "env_type")
@@ -291,7 +301,7 @@ def escalations(spark, sf_dir):
 def opaque_transfers(spark, sf_dir):
     lanes = _lanes(spark, sf_dir)
     d = secret_dictionary(spark, sf_dir)
-    return signals.opaque_transfers(signals.event_marks(lanes), matching.match_hits(lanes, d), d)
+    return signals.opaque_transfers(staged(signals.event_marks(lanes), "marks"), matching.match_hits(lanes, d), d)
 
 
 @query("danger_chain_hops", "SIG-13, WIN-10", BASE + """, steps AS (

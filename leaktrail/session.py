@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has at most this many rows (checked).
 BROADCAST_ROWS = 50_000
+#: ... and at most this many characters of content.
+BROADCAST_CHARS = 32_000_000
 
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -60,9 +62,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows to decide whether ``df`` may be broadcast."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> bool:
+    """Measure at most ``max_rows + 1`` rows (count and text size) to decide whether ``df`` may be broadcast."""
+    probe = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("c")).first()
+    return probe.n <= max_rows and (probe.c or 0) <= max_chars
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
