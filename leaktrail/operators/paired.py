@@ -125,10 +125,10 @@ def live_guard_report(baseline: DataFrame, defense: DataFrame, keys: list[str],
                         model="model" if "model" in baseline.columns else None)
     pairs = pairs.withColumn(mechanism, F.coalesce(F.col(f"{mechanism}_d"), F.col(f"{mechanism}_b")))
 
-    def totals(df, name):
-        return df.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias(f"n_{name}"), F.sum(F.col("useful").cast("int")).alias(f"useful_{name}"))
-
-    utility = totals(baseline, "baseline").join(totals(defense, "defense"), "one").drop("one")
+    both = baseline.select("useful", F.lit("baseline").alias("arm")).unionByName(defense.select("useful", F.lit("defense").alias("arm")))
+    utility = both.agg(*[x for name in ("baseline", "defense") for x in (
+        F.count_if(F.col("arm") == name).alias(f"n_{name}"),
+        F.count_if((F.col("arm") == name) & (F.col("useful").cast("int") == 1)).alias(f"useful_{name}"))])
     return {
         "safety": discordance(pairs),
         "safety_interval": task_difference_interval(pairs, cluster, resamples),

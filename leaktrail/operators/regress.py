@@ -63,13 +63,13 @@ def deviance_shares(df: DataFrame, first: str, second: str, leaked: Column) -> D
     cells = staged(cell_counts(df, [first, second], leaked), "cells")
     ll = one_factor_likelihoods(cells, [first, second]).groupBy().pivot("model", ["null", first, second]).agg(F.first("log_likelihood"))
     full = additive_likelihood(cells, [first, second])
-    n = cells.agg(F.sum("n").alias("n_rows"))
+    n = cells.agg(F.sum("n")).first()[0]
 
     def r2(x):
         return F.lit(1.0) - x / F.col("null")
 
-    out = ll.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").select(
-        r2(F.col(first)).alias("first_r2"), r2(F.col(second)).alias("second_r2"), r2(F.lit(full)).alias("full_r2"), "n_rows")
+    out = ll.select(r2(F.col(first)).alias("first_r2"), r2(F.col(second)).alias("second_r2"), r2(F.lit(full)).alias("full_r2"),
+                    F.lit(n).alias("n_rows"))
     return out.select("*", (F.col("first_r2") / F.col("full_r2") * 100).alias("first_share"),
                       (F.col("second_r2") / F.col("full_r2") * 100).alias("second_share"))
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["flow_queries", "scalar_queries", "rate_queries", "stat_queries", "run_queries", "redaction_queries"]
+MODULES = ["flow_queries", "scalar_queries", "rate_queries", "stat_queries", "run_queries", "redaction_queries", "source_queries"]
 
 
 def load_all() -> None:

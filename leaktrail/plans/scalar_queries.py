@@ -189,9 +189,9 @@ def data_paths(spark, sf_dir):
 @query("collection_windows", "PRJ-30", """SELECT user_id, first, last, CAST(first AS DATE) = CAST(last AS DATE) AS same_day FROM (
   SELECT user_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last FROM events GROUP BY ALL)""")
 def collection_windows(spark, sf_dir):
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    w = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(iso).alias("first"), F.max(iso).alias("last"))
-    return w.withColumn("same_day", F.to_date("first") == F.to_date("last"))
+    w = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    first, last = (F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") for c in ("a", "b"))
+    return w.select("user_id", first.alias("first"), last.alias("last"), (F.to_date("a") == F.to_date("b")).alias("same_day"))
 
 
 @query("evidence_lines", "PRJ-31, JDG-1", EVENTS + f"""SELECT trace_id, idx, 'Turn ' || turn || ': ' || server || '.' || tool || '(' ||
