@@ -91,3 +91,42 @@ def sanitized_copy(spark, sf_dir):
     path = _folder(spark, "clean")
     logs.write_sanitized(raw, "doc_id", "text", ["lang"], path)
     return spark.read.parquet(path).select("doc_id")
+
+
+def _turn_traces(spark, sf_dir):
+    """Conversation turns as nested traces of three events each."""
+    c = table(spark, sf_dir, "conversations")
+    servers = [("filesystem", "read_file"), ("sqlite", "write_query"), ("sqlite", "read_query")]
+    events = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(s).alias("server"), F.lit(t).alias("tool"),
+                                F.to_json(F.struct(F.substring("text", 1, 5).alias("n"))).alias("args"), F.col("text").alias("result_full"))
+                       for i, (s, t) in enumerate(servers)])
+    kept = F.slice(events, 1, (F.col("turn") % 4).cast("int"))
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("trace_id"), F.concat(F.lit("task"), F.col("conv_id") % 9).alias("task_id"), kept.alias("events"),
+                    F.when(F.col("conv_id") % 2 == 0, "risky_v1").otherwise("benign").alias("env_type"), F.col("role").alias("model"),
+                    (F.col("turn") % 3).cast("int").alias("tool_errors"), F.length("text"))
+
+
+@query("feature_rows", "PRJ-27, WIN-4", """SELECT conv_id || '-' || turn AS trace_id, turn % 4 AS n_events, CASE WHEN turn % 4 >= 2 THEN 1 ELSE 0 END AS n_writes,
+  CASE turn % 4 WHEN 2 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END AS cross_server_ratio, CAST(turn % 3 AS DOUBLE) / greatest(turn % 4, 1) AS tool_error_rate,
+  'task' || (conv_id % 9) || '::' || (CASE WHEN conv_id % 2 = 0 THEN 'risky' ELSE 'benign' END) || '::' || role AS group_id, 'safe_failure' AS outcome FROM conversations""")
+def feature_rows(spark, sf_dir):
+    from leaktrail import schema
+    from leaktrail.operators.features import feature_rows as build
+
+    # the full trace schema, with what the table cannot provide left empty
+    full = F.from_json(F.to_json(F.struct("*")), schema.TRACE)
+    traces = _turn_traces(spark, sf_dir).drop("length(text)").select(full.alias("t")).select("t.*")
+    return build(traces).select("trace_id", "n_events", "n_writes", "cross_server_ratio", "tool_error_rate", "group_id", "outcome")
+
+
+@query("judge_inputs", "JDG-1, PRJ-31", """SELECT conv_id || '-' || turn AS trace_id, CASE WHEN turn % 4 >= 2 THEN 'Turn 1: sqlite.write_query(' ELSE '(no outbound-channel operations)' END AS head,
+  CASE WHEN turn % 4 >= 2 THEN 1 ELSE 0 END AS cut, CASE WHEN conv_id % 2 = 0 THEN 10 ELSE 1 END AS n_secrets FROM conversations""")
+def judge_inputs(spark, sf_dir):
+    """Evidence of nested traces (arguments capped at two characters) with the secrets in scope."""
+    from leaktrail.operators import judged
+
+    scope = table(spark, sf_dir, "nation").filter("n_nationkey < 10").select(
+        F.lit("risky_v1").alias("env_type"), F.col("n_nationkey").alias("canary_id"), F.col("n_name").alias("value"))
+    inputs = judged.judge_inputs(judged.evidence_text(_turn_traces(spark, sf_dir), cap=2), scope)
+    head = F.when(F.col("evidence_text").startswith("Turn"), F.substring("evidence_text", 1, 27)).otherwise(F.col("evidence_text"))
+    return inputs.select("trace_id", head.alias("head"), F.col("n_truncated_events").alias("cut"), F.size(F.split("secret_list", "\n")).alias("n_secrets"))

@@ -49,3 +49,25 @@ def test_late_rows_go_aside(spark):
     on_time, late = sm.split_late(df, "t", df.filter("i = 2").first().t)
     assert [r.i for r in on_time.collect()] == [2] and [r.i for r in late.collect()] == [1]
     assert sm.split_late(df, "t", None)[1].isEmpty()
+
+
+def test_periodic_validation(spark, tmp_path):
+    import json
+
+    bad = [{"trace_id": f"t{i}", "events": [{"server": "sqlite", "tool": "read_query", "result_full": "Validation error"}, {"server": "shell", "tool": "x", "result_full": "error: y"}]} for i in range(4)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(json.dumps(t) for t in bad))
+    from leaktrail import schema
+
+    stream = spark.readStream.schema(schema.TRACE).json(str(tmp_path / "in"))
+    sm.validation_stream(stream, "trace_id", str(tmp_path / "out"), str(tmp_path / "cp"), 3).awaitTermination()
+    got = {r.server: (r.total, r.unhealthy) for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert got == {"sqlite": (3, True), "shell": (3, False)}
+
+
+def test_new_traces_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:00:00", ["e"]), ("a", "2024-01-01 00:10:00", ["e"]), ("b", "2024-01-01 00:00:00", [])], "trace_id string, t string, events array<string>")
+    rows.withColumn("t", F.col("t").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("trace_id string, t timestamp, events array<string>").parquet(str(tmp_path / "in"))
+    out = g.run_once(sm.new_traces(stream, "trace_id", "t"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert [r.trace_id for r in out.collect()] == ["a"]
