@@ -39,6 +39,18 @@ def attach_facts(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Col
     return salted.join(spread_facts.drop(weight), [*keys, "_salt"], how).drop("_salt")
 
 
+def salted_join(rows: DataFrame, dim: DataFrame, keys: list[str], spread: Column, salts: int = 32) -> DataFrame:
+    """Inner join of many rows with a narrow dimension too large to broadcast.
+
+    Every key's rows spread over ``salts`` tasks and the dimension is repeated as often,
+    so a key that a third of all rows share costs 1/(3 x salts) of them per task; AQE
+    can split further.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 _COMBINE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     "max": lambda a, b: F.greatest(a, b),

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from leaktrail import vocab as v
 from leaktrail.functions import outcome as o
 from leaktrail.functions import text as t
+from leaktrail.operators.grouped import salted_join
 from leaktrail.session import BROADCAST_ROWS, fits_broadcast
 
 WINDOWS_OF_10 = r"(?s)(?=(.{10}))"
@@ -58,7 +59,8 @@ def _needle_present(haystack: Column) -> Column:
 
 
 def dictionary_pairs(texts: DataFrame, dictionary: DataFrame, haystack: Column, scope: str = "env_type",
-                     max_rows: int = BROADCAST_ROWS, direct: int = DIRECT_PER_SCOPE) -> DataFrame:
+                     max_rows: int = BROADCAST_ROWS, direct: int = DIRECT_PER_SCOPE,
+                     row_id: tuple[str, ...] = ("trace_id", "idx")) -> DataFrame:
     """(text row, secret) pairs where a needle of the secret occurs in ``haystack``.
 
     Three exact forms, chosen by the measured size of the dictionary:
@@ -74,7 +76,7 @@ def dictionary_pairs(texts: DataFrame, dictionary: DataFrame, haystack: Column,
     lookup loses nothing. Secrets with a needle shorter than that use the first form.
     """
     if not fits_broadcast(dictionary, max_rows):
-        return _shuffled_pairs(texts, dictionary, haystack, scope)
+        return _shuffled_pairs(texts, dictionary, haystack, scope, row_id)
     per_scope = dictionary.groupBy(scope).count().agg(F.max("count")).first()[0] or 0
     if per_scope <= direct:
         return _direct_pairs(texts, dictionary, haystack, scope)
@@ -106,19 +108,20 @@ def _window_pairs(texts, dictionary, haystack, scope):
     return out.drop("_hay", "_j", "_needle", "_scope").drop(probes["_anchor"]).drop(rows["_anchor"])
 
 
-def _shuffled_pairs(texts, dictionary, haystack, scope):
-    needle_rows = dictionary.withColumn("_needle", F.explode("needles"))
-    anchored = needle_rows.filter(F.length("_needle") >= v.MIN_FRAGMENT).select(
-        F.col(scope).alias("_scope"), F.xxhash64(F.substring("_needle", 1, v.MIN_FRAGMENT)).alias("_key"), "canary_id").distinct()
-    keyed = texts.withColumn("_hay", haystack).withColumn("_row", F.struct("trace_id", "idx"))
-    probes = keyed.select(scope, "_row", F.explode(_window_hashes("_hay")).alias("_anchor"))
-    found = (probes.join(anchored, (probes[scope] == anchored["_scope"]) & (probes["_anchor"] == anchored["_key"]))
-             .select("_row", F.col("_scope").alias(scope), "canary_id"))
+def _shuffled_pairs(texts, dictionary, haystack, scope, row_id):
+    keyed = texts.withColumn("_hay", haystack)
+    row = F.struct(*row_id)
+    anchored = (dictionary.select(scope, "canary_id", F.explode("needles").alias("_needle"))
+                .filter(F.length("_needle") >= v.MIN_FRAGMENT)
+                .select(scope, F.xxhash64(F.substring("_needle", 1, v.MIN_FRAGMENT)).alias("_anchor"), "canary_id").distinct())
+    probes = keyed.select(*row_id, scope, F.explode(_window_hashes("_hay")).alias("_anchor"))
+    found = salted_join(probes, anchored, [scope, "_anchor"], row).select(*row_id, scope, "canary_id")
     short = dictionary.filter(F.exists("needles", lambda n: F.length(n) < v.MIN_FRAGMENT)).select(scope, "canary_id", "needles")
-    by_short = (keyed.join(short, scope).filter(_needle_present(F.col("_hay"))).select("_row", scope, "canary_id"))
-    pairs = found.unionByName(by_short).distinct()
-    return (keyed.join(pairs, ["_row", scope]).join(dictionary, [scope, "canary_id"])
-            .filter(_needle_present(F.col("_hay"))).drop("_hay", "_row"))
+    if not short.isEmpty():  # needles below ten characters have no anchor: tested one by one within their scope
+        by_short = salted_join(keyed, short, [scope], row).filter(_needle_present(F.col("_hay"))).select(*row_id, scope, "canary_id")
+        found = found.unionByName(by_short)
+    hits = keyed.join(found.distinct(), [*row_id, scope])
+    return salted_join(hits, dictionary, [scope, "canary_id"], row).filter(_needle_present(F.col("_hay"))).drop("_hay")
 
 
 def match_hits(lanes: DataFrame, dictionary: DataFrame, max_rows: int = BROADCAST_ROWS, direct: int = DIRECT_PER_SCOPE) -> DataFrame:

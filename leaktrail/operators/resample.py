@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from leaktrail import vocab as v
 from leaktrail.functions.stats import rate
 from leaktrail.operators.grouped import ordered_ids
+from leaktrail.session import staged
 
 _LO_HI = "lo double, hi double"
 
@@ -116,7 +117,7 @@ def cluster_replicates(clusters: DataFrame, key: str, total: str, count: str, re
 def cluster_interval(clusters: DataFrame, key: str, total: str, count: str, resamples: int = v.RESAMPLES,
                      seed: int = v.SEED, confidence: float = 0.95) -> DataFrame:
     """Percentile interval of the pooled mean when whole clusters are resampled (empty ones left out)."""
-    full = clusters.filter(F.col(count) > 0)
+    full = staged(clusters.filter(F.col(count) > 0), "clusters")  # counted, numbered and looked up below
     q = (1 - confidence) / 2
     reps = cluster_replicates(full, key, total, count, resamples, seed)
     p = F.percentile("stat", F.array(F.lit(q), F.lit(1 - q)))

@@ -107,7 +107,7 @@ def _turn_traces(spark, sf_dir):
 
 
 @query("feature_rows", "PRJ-27, WIN-4", """SELECT conv_id || '-' || turn AS trace_id, turn % 4 AS n_events, CASE WHEN turn % 4 >= 2 THEN 1 ELSE 0 END AS n_writes,
-  CASE turn % 4 WHEN 2 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END AS cross_server_ratio, CAST(turn % 3 AS DOUBLE) / greatest(turn % 4, 1) AS tool_error_rate,
+  CAST(CASE turn % 4 WHEN 2 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS cross_server_ratio, CAST(turn % 3 AS DOUBLE) / greatest(turn % 4, 1) AS tool_error_rate,
   'task' || (conv_id % 9) || '::' || (CASE WHEN conv_id % 2 = 0 THEN 'risky' ELSE 'benign' END) || '::' || role AS group_id, 'safe_failure' AS outcome FROM conversations""")
 def feature_rows(spark, sf_dir):
     from leaktrail import schema

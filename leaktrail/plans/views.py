@@ -69,7 +69,7 @@ SELECT user_id || '' AS trace_id, user_id, event_id AS idx, event_id AS turn, ts
                   WHEN n % 5 = 0 THEN c ELSE 'text' END) || '"}}'
         ELSE '{{"source": "' || src || '", "destination": "/tmp/x"}}' END AS args,
        CASE WHEN tool = 'read_file' THEN
-              CASE WHEN n % 11 = 0 THEN repeat('x', 12000) || s WHEN n % 13 = 0 THEN s2 WHEN n % 7 = 0 THEN 'half ' || c
+              CASE WHEN n % 11 = 0 THEN repeat('x', 12000) || s WHEN n % 13 = 0 THEN coalesce(s2, s) WHEN n % 7 = 0 THEN 'half ' || c
                    WHEN n % 5 = 0 THEN replace(s, '_', {{BS}} || '_') ELSE 'password = ' || s END
             WHEN tool = 'read_query' THEN CASE WHEN n % 3 = 0 THEN 'role ''admin'' password ' || s ELSE 'token ' || s END
             WHEN tool = 'execute_command' THEN 'exit_code: ' || (n % 3) || {{NL}} || (CASE WHEN n % 4 = 0 THEN s ELSE 'done' END)
