@@ -37,9 +37,8 @@ def simple_sample(pool: DataFrame, key: str, size: int, seed=v.SAMPLE_SEED) -> D
 def allocate(cells: DataFrame, size: int) -> DataFrame:
     """Proportional allocation by largest remainder; a cell that fills up is fixed and the rest re-split.
 
-    ``cells`` has one row per stratum (``cell``, ``pool``). Each round fixes at least
-    one cell, and only cell counts take part, so the loop stays small. The rounds run
-    on a frame of strata; nothing is gathered but the count of full cells.
+    ``cells`` has one row per stratum (``cell``, ``pool``): a small table of counts, which
+    is all that reaches the driver between rounds. Each round fixes at least one cell.
     """
     spark_cells = cells.filter("pool > 0").select("cell", "pool", F.lit(None).cast("bigint").alias("fixed"))
     while True:

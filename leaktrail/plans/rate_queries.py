@@ -10,9 +10,9 @@ from leaktrail.functions import text as t
 from leaktrail.functions.stats import rate, wilson
 from leaktrail.operators import dims, quality, rates
 from leaktrail.operators.grouped import first_wins
-from leaktrail.plans.flow_queries import BASE, LABELS, _hits, _list, _or
+from leaktrail.plans.flow_queries import BASE, LABELS, _hits
 from leaktrail.plans.registry import query, table
-from leaktrail.plans.views import (OUTCOMES_SQL, TOOL_EVENTS_SQL, TRACES_SQL, outcomes, secret_dictionary, tool_events, traces, with_sql)
+from leaktrail.plans.views import (OUTCOMES_SQL, TOOL_EVENTS_SQL, TRACES_SQL, outcomes, tool_events, traces, with_sql)
 
 OUT = with_sql(OUTCOMES_SQL)
 EVENTS = with_sql(TOOL_EVENTS_SQL)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from leaktrail import vocab as v
 from leaktrail.functions.stats import rate
 from leaktrail.operators import monitor as m
-from leaktrail.operators import quality
 from leaktrail.operators.grouped import running
 from leaktrail.plans.flow_queries import BASE, _list, event_bucket
 from leaktrail.plans.rate_queries import V, verdicts

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leaktrail import vocab as v
-from leaktrail.functions import outcome as o
 from leaktrail.functions import stats
 from leaktrail.operators import judged, paired, resample, sampling
 from leaktrail.plans.rate_queries import V, verdicts

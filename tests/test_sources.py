@@ -4,8 +4,6 @@ import hashlib
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from leaktrail.operators import dims
 from leaktrail.sources import logs
 
