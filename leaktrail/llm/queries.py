@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaktrail.llm import byte_bpe, quality, sharding, token_counts
+from leaktrail.llm import byte_bpe, quality, sharding, simhash, token_counts
 from leaktrail.llm.registry import query, table
 
 
@@ -37,3 +37,9 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.assign(table(spark, sf_dir, "documents"))
     return dealt.select("record.doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_simhash")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
