@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaktrail.llm import byte_bpe, quality, sharding, simhash, token_counts, toxicity
+from leaktrail.llm import byte_bpe, quality, sharding, simhash, substring_dedup, token_counts, toxicity
 from leaktrail.llm.registry import query, table
 
 
@@ -48,3 +48,9 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_substring_dedup")
+def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
