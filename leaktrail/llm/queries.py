@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaktrail.llm import byte_bpe, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from leaktrail.llm import byte_bpe, embedding_dedup, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 from leaktrail.llm.registry import query, table
 
 
@@ -61,3 +61,8 @@ def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", suffix_dedup.n_removed("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_embedding_dedup")
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
