@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaktrail.llm import byte_bpe, embedding_dedup, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from leaktrail.llm import byte_bpe, embedding_dedup, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 from leaktrail.llm.registry import query, table
 
 
@@ -66,3 +66,9 @@ def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_embedding_dedup")
 def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_source_mixing", mixing.SQL)
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("record.doc_id", "source", "pass", "block", F.round("weight", 9).alias("weight"))
