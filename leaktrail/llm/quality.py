@@ -70,16 +70,17 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, ``_h`` word hashes, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) per row of ``docs``.
+    """(``record`` of all input columns, ``_id``, ``_h`` word hashes, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) per row of ``docs``.
 
     A null text counts as empty: no words, all counts 0. Repeated three-word windows are found by sorting the windows'
     64-bit hashes inside the row, so a very long text costs n log n and no row leaves its task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = docs.select(F.col(id_col), words(F.col(text_col)).alias("_w"), lines.alias("_lines"),
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
+    step = docs.select(record, F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w"), lines.alias("_lines"),
                        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"))
-    step = step.select(F.col(id_col), "n_symbols", "_lines", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+    step = step.select("record", "_id", "n_symbols", "_lines", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
                        word_hashes(F.col("_w")).alias("_h"))
     h, w = F.col("_h"), F.col("_win")
     windows = F.transform(F.slice(h, 3, F.greatest(F.size(h) - 2, F.lit(0))), lambda c, k: F.xxhash64(F.get(h, k), F.get(h, k + 1), c))
@@ -90,16 +91,16 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = lambda x, k: F.coalesce(x["h"] == F.get(s, k)["h"], F.lit(False))
     twice = F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["k"], x["k"] + 1, x["k"] + 2)))))
-    return step.select(F.col(id_col), "_h", F.size("_h").cast("long").alias("n_words"), "word_chars", "n_symbols",
+    return step.select("record", "_id", "_h", F.size("_h").cast("long").alias("n_words"), "word_chars", "n_symbols",
                        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
                        F.when(s.isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS,
           threshold: float = THRESHOLD, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """One row per row of ``docs``: the id, the base counts, ``base_failed``, ``score`` and ``kept``.
+    """One row per row of ``docs``: ``record`` (every input column), the id, the base counts, ``base_failed``, ``score``, ``kept``.
 
-    Only the id and the text of ``docs`` are read, so other columns cannot clash. Repeated rows are judged alike; null
+    Input columns stay inside ``record``, so their names cannot clash; those that a caller drops are not read. Repeated rows are judged alike; null
     ids keep their row; a text without n-grams scores 0 and fails the base rules; an empty table gives no rows.
     """
     ratios = ratio_table(docs, trusted_rows(labels, target_rows), id_col, text_col, buckets)
@@ -109,5 +110,14 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     r = F.col("_r")
     total = F.aggregate("_g", F.lit(0.0), lambda acc, g: acc + F.get(r, g))
     scored = counted.withColumn("score", F.when(F.size("_g") == 0, 0.0).otherwise(total / F.size("_g")))
-    return scored.select(F.col(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+    return scored.select("record", F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score")
+
+
+def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps.
+
+    Rejected rows leave through a generator: a filter would be pushed below the projections and compute the words again
+    wherever the verdict uses them.
+    """
+    return judge(docs, labels, **options).select(F.inline(F.when(F.col("kept"), F.array("record"))))

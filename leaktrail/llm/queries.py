@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from leaktrail.llm import byte_bpe, embedding_dedup, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 from leaktrail.llm.registry import query, table
 
 
 @query("op1_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("record")
 
 
 @query("op2_token_counts")
@@ -72,3 +73,8 @@ def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("record.doc_id", "source", "pass", "block", F.round("weight", 9).alias("weight"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

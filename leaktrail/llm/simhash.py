@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaktrail.llm.graph import components, merge_labels
@@ -207,3 +207,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def hexadecimal(fp: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs`` that stay: of every component the row with its smallest id, one row if several have that id.
+
+    A component without any id keeps one row per fingerprint.
+    """
+    groups, _ = stage(near_duplicates(docs, id_col, text_col, budget), "groups")
+    chosen = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
+    once = Window.partitionBy(id_col).orderBy(id_col)
+    kept = docs.join(chosen, docs[id_col] == chosen["_id"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+    nameless = groups.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("_f")).distinct()
+    by_print = docs.where(F.col(id_col).isNull()).withColumn("_fp", fingerprint(F.col(text_col)))
+    other = by_print.join(nameless, by_print["_fp"] == nameless["_f"], "left_semi").withColumn(
+        "_n", F.row_number().over(Window.partitionBy("_fp").orderBy("_fp"))).where("_n = 1").drop("_n", "_fp")
+    return kept.unionByName(other)
