@@ -25,6 +25,25 @@ SHARED_BYTES = 40
 _END = -1  # key of a token's id in the suffix trie
 
 
+class _Pieces(dict):
+    """Packed ids of pre-tokens, in two generations: those in use move on, the others go with the old one."""
+
+    def __init__(self, codec: PrefixCodec):
+        super().__init__()
+        self.codec, self.older = codec, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.codec.encode_bytes(piece.encode("utf-8"))
+        if len(piece) <= SHARED_BYTES:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class PrefixCodec:
     """Encoder and decoder for a rank file (base64 token, rank per line)."""
 
@@ -44,7 +63,7 @@ class PrefixCodec:
         self.parts: dict[int, tuple[int, int]] = {}
         self.last: dict[bytes, int] = {}
         self.boundary: dict[int, bool] = {}
-        self.cache: dict[str, bytes] = {}
+        self.pieces = _Pieces(self)
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte."""
@@ -136,26 +155,16 @@ class PrefixCodec:
                             continue
                     stored[data[:end]] = token
                     break
-        out, end = [], len(data)
+        out, end, packed_, texts = b"", len(data), self.packed, self.token
         while end:
             token = stored[data[:end]]
-            out.append(self.packed[token])
-            end -= len(self.token[token])
-        return b"".join(reversed(out))
+            out = packed_[token] + out
+            end -= len(texts[token])
+        return out
 
     def encode(self, text: str) -> bytes:
         """Packed ids (little-endian, 32 bits) of a whole text; each match of the pattern by itself."""
-        known, out = self.cache, []
-        if len(known) > CACHE:
-            known.clear()
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.encode_bytes(piece.encode("utf-8"))
-                if len(piece) <= SHARED_BYTES:
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
