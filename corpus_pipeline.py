@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leaktrail.llm import byte_bpe, mixing, quality, simhash, suffix_dedup
 from leaktrail.llm.staging import discard, stage
+from leaktrail.session import importable
 
 #: Fingerprints, suffix arrays and token ids have no SQL form.
 ORACLE_SQL = None
@@ -25,11 +26,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies the document with the smallest id stays."""
+    importable(spark)
     return simhash.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings of 200 bytes go from the texts, with characters they cut; a document left without text goes."""
+    importable(spark)
+
     @F.arrow_udf("string")
     def whole_characters(column: pa.Array) -> pa.Array:
         return pa.array([b.as_py().decode("utf-8", "ignore") for b in column], pa.string())
@@ -50,6 +54,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (packed, 32 bits), with digests of the ids and of what they decode to."""
+    importable(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = docs.select("doc_id", "source", byte_bpe.encode(F.col("text"), *ranks).alias("ids"))
     both = ids.select("doc_id", "source", "ids", byte_bpe.decode(F.col("ids"), *ranks).alias("decoded"))
