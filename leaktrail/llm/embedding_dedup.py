@@ -55,28 +55,26 @@ def plan_tables(rows: int, dim: int, threshold: float = THRESHOLD, recall: float
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
-def learn(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and a (dim, bits) matrix of projections: rotations of the principal axes, each from another random start.
+def learn(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
+    """A (dim, bits) matrix of projections: rotations of the principal axes, each from another random start.
 
-    A rotation is improved by turns: signs of the rotated data are the best codes for it, and the rotation nearest to the
+    Data is not centred: links are angles at the origin, and around a mean inside a large group its vectors would part. A rotation is improved by turns: signs of the rotated data are the best codes for it, and the rotation nearest to the
     codes comes from a singular value decomposition.
     """
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    data, rng, out = centred @ axes, np.random.default_rng(seed), []
+    _, axes = np.linalg.eigh(sample.T @ sample)
+    data, rng, out = sample @ axes, np.random.default_rng(seed), []
     for _ in range(-(-bits // axes.shape[1])):
         rotation = np.linalg.qr(rng.standard_normal(axes.shape))[0]
         for _ in range(rounds):
             u, _, vt = np.linalg.svd(np.where(data @ rotation >= 0, 1.0, -1.0).T @ data)
             rotation = (u @ vt).T
         out.append(axes @ rotation)
-    return mean, np.concatenate(out, axis=1)[:, :bits]
+    return np.concatenate(out, axis=1)[:, :bits]
 
 
-def cells(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray, bits: int, tables: int) -> np.ndarray:
+def cells(vectors: np.ndarray, projection: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """(rows, tables): the substring of every vector in every table."""
-    code = ((unit(vectors) - mean) @ projection >= 0).reshape(len(vectors), tables, bits)
+    code = (unit(vectors) @ projection >= 0).reshape(len(vectors), tables, bits)
     return code @ (1 << np.arange(bits, dtype=np.int64))
 
 
@@ -137,12 +135,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                               F.col(id_col).isNotNull().alias("kept"))
     bits, tables = plan_tables(n, dim, threshold, recall)
     sample = classes.orderBy(F.xxhash64("vec"), "vec").limit(sample_rows).select("v").collect()
-    mean, projection = learn(unit(np.array([r.v for r in sample], np.float64)), bits * tables)
+    projection = learn(unit(np.array([r.v for r in sample], np.float64)), bits * tables)
 
     @F.arrow_udf("array<long>")
     def codes_of(column: pa.Array) -> pa.Array:
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
-        out = cells(flat, mean, projection, bits, tables) if len(column) else np.zeros((0, tables), np.int64)
+        out = cells(flat, projection, bits, tables) if len(column) else np.zeros((0, tables), np.int64)
         return pa.ListArray.from_arrays(np.arange(len(column) + 1, dtype=np.int32) * tables, pa.array(out.ravel()))
 
     coded, _ = stage(classes.withColumn("codes", codes_of(F.col("v"))), "vector-codes")

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: Buckets of the hashed n-grams.
 BUCKETS = 10_000
 #: Lowest mean log-likelihood ratio of a kept document.
-THRESHOLD = -0.1
+THRESHOLD = -0.08
+#: Grams of the raw corpus that the target multinomial is smoothed with, per bucket; little evidence then says little.
+PRIOR = 10
 #: At most this many labelled rows (the first by hash) stand for the trusted target.
 TARGET_ROWS = 20_000
 MIN_WORDS = 50
@@ -53,7 +55,9 @@ def trusted_rows(labels: DataFrame, limit: int = TARGET_ROWS) -> DataFrame:
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """One row: ``ratios``, the log-likelihood ratio per bucket, add-one smoothed over all buckets.
+    """One row: ``ratios``, the log-likelihood ratio per bucket.
+
+    The raw multinomial is add-one smoothed, the target's has ``PRIOR`` grams a bucket drawn from the raw one.
 
     ``trusted`` has at most ``TARGET_ROWS`` ids, so it is broadcast. Empty inputs give equal multinomials, ratios of 0.
     """
@@ -64,8 +68,9 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counted, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     rows = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("rows"),
-                    (F.sum("raw") + buckets).alias("all_raw"), (F.sum("target") + buckets).alias("all_target"))
-    ratio = F.transform("rows", lambda r: F.log((r["target"] + 1) / F.col("all_target")) - F.log((r["raw"] + 1) / F.col("all_raw")))
+                    (F.sum("raw") + buckets).alias("all_raw"), (F.sum("target") + PRIOR * buckets).alias("all_target"))
+    raw = lambda r: (r["raw"] + 1) / F.col("all_raw")
+    ratio = F.transform("rows", lambda r: F.log((r["target"] + PRIOR * buckets * raw(r)) / F.col("all_target")) - F.log(raw(r)))
     return rows.select(ratio.alias("ratios"))
 
 
@@ -97,11 +102,12 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS,
-          threshold: float = THRESHOLD, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """One row per row of ``docs``: ``record`` (every input column), the id, the base counts, ``base_failed``, ``score``, ``kept``.
+          threshold: float = THRESHOLD, target_rows: int = TARGET_ROWS, with_record: bool = False) -> DataFrame:
+    """One row per row of ``docs``: the id, the base counts, ``base_failed``, ``kept``, ``score``; on request ``record`` too.
 
-    Input columns stay inside ``record``, so their names cannot clash; those that a caller drops are not read. Repeated rows are judged alike; null
-    ids keep their row; a text without n-grams scores 0 and fails the base rules; an empty table gives no rows.
+    ``record`` holds every input column, so names cannot clash. Repeated rows are judged alike; null ids keep their row; a
+    text without n-grams scores 0 and fails the base rules; an empty table gives no rows. Rows leave through a generator:
+    without it a filter on the verdict would be pushed below the projections and compute the words again in each use.
     """
     ratios = ratio_table(docs, trusted_rows(labels, target_rows), id_col, text_col, buckets)
     counted = base_counts(docs, id_col, text_col)
@@ -110,14 +116,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     r = F.col("_r")
     total = F.aggregate("_g", F.lit(0.0), lambda acc, g: acc + F.get(r, g))
     scored = counted.withColumn("score", F.when(F.size("_g") == 0, 0.0).otherwise(total / F.size("_g")))
-    return scored.select("record", F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                         (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score")
+    columns = [F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+               (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score"]
+    return scored.select(F.inline(F.array(F.struct(*(["record"] if with_record else []), *columns))))
 
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps.
-
-    Rejected rows leave through a generator: a filter would be pushed below the projections and compute the words again
-    wherever the verdict uses them.
-    """
-    return judge(docs, labels, **options).select(F.inline(F.when(F.col("kept"), F.array("record"))))
+    """The rows of ``docs`` that ``judge`` keeps."""
+    return judge(docs, labels, with_record=True, **options).where("kept").select("record.*")

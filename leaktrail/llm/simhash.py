@@ -189,37 +189,41 @@ def links(prints: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -
     return dealt.groupBy("task").applyInPandas(lambda rows: _linked(rows, budget), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """(``id_col``, fp, component_id): a row per row of ``docs``; ``component_id`` is the smallest id its links reach.
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
-    Copies collapse to one fingerprint before anything is compared. Null and empty texts have fingerprint 0 and are
-    linked like any other. A null id keeps its row and is never a component's id unless the component has no other.
-    Repeated rows share fingerprint and component; an empty table gives no rows. Other columns are not read.
-    """
-    prints, _ = stage(docs.select(F.col(id_col).alias("_id"), fingerprint(F.col(text_col)).alias("fp")), "fingerprints")
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
+    """(_id, _t a hash of the text, fp, component: its smallest fingerprint, component_id: its smallest id) per row."""
+    prints, _ = stage(docs.select(F.col(id_col).alias("_id"), _text_key(text_col).alias("_t"), fingerprint(F.col(text_col)).alias("fp")), "fingerprints")
     classes, _ = stage(prints.groupBy("fp").agg(F.min("_id").alias("first")), "classes")
     reached = components(links(classes.select("fp"), budget))
     labelled = classes.join(reached, classes["fp"] == reached["u"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = labelled.join(smallest, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    return prints.join(labelled.join(smallest, "component").select("fp", "component", "component_id"), "fp")
 
 
-def hexadecimal(fp: Column | str) -> Column:
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """(``id_col``, fp, component_id): a row per row of ``docs``; ``component_id`` is the smallest id its links reach.
+
+    Copies collapse to one fingerprint before anything is compared. Null and empty texts have fingerprint 0 and are
+    linked like any other. A null id keeps its row and is never a component's id unless the component has no other.
+    Repeated rows share fingerprint and component; an empty table gives no rows. Other columns are not read.
+    """
+    return _grouped(docs, id_col, text_col, budget).select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component the row with its smallest id, one row if several have that id.
+    """One row of ``docs`` for every component: the one with its smallest id (a null id comes last), of several such any one."""
+    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_t").alias("t"))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    chosen = _grouped(docs, id_col, text_col, budget).groupBy("component").agg(F.min(order).alias("o")).select(
+        name(F.col("o.i")).alias("_i"), F.col("o.t").alias("_t"))
+    rows = docs.withColumns({"_i": name(F.col(id_col)), "_t": _text_key(text_col)})
+    once = Window.partitionBy("_i", "_t").orderBy("_t")
+    return rows.join(chosen, ["_i", "_t"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(
+        *[F.col(f"`{c}`") for c in docs.columns])
 
-    A component without any id keeps one row per fingerprint.
-    """
-    groups, _ = stage(near_duplicates(docs, id_col, text_col, budget), "groups")
-    chosen = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    once = Window.partitionBy(id_col).orderBy(id_col)
-    kept = docs.join(chosen, docs[id_col] == chosen["_id"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    nameless = groups.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("_f")).distinct()
-    by_print = docs.where(F.col(id_col).isNull()).withColumn("_fp", fingerprint(F.col(text_col)))
-    other = by_print.join(nameless, by_print["_fp"] == nameless["_f"], "left_semi").withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_fp").orderBy("_fp"))).where("_n = 1").drop("_n", "_fp")
-    return kept.unionByName(other)
+
+def hexadecimal(fp: Column | str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
