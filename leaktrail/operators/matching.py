@@ -13,6 +13,13 @@ from leaktrail.operators.grouped import salted_join
 from leaktrail.session import BROADCAST_ROWS, fits_broadcast
 
 WINDOWS_OF_10 = r"(?s)(?=(.{10}))"
+
+
+def windows_of(length: int) -> str:
+    """Pattern whose first group is every window of ``length`` characters."""
+    return rf"(?s)(?=(.{{{length}}}))"
+
+
 #: with at most this many secrets per scope, testing each of them is cheaper than hashing every window
 DIRECT_PER_SCOPE = 200
 
@@ -46,7 +53,7 @@ def text_lanes(events: DataFrame) -> DataFrame:
         t.is_flag("taint_blocked").alias("blocked"),
         tool.isin(v.WRITE_TOOLS).alias("is_write"), tool.isin(v.SINK_TOOLS).alias("is_sink"),
         tool.isin(v.BROWSER_INPUT_TOOLS).alias("is_browser_input"), tool.isin(v.DELIVERY_TOOLS).alias("is_delivery"),
-        t.visible_text("result_full", "result_truncated").alias("visible"), t.strip_md(full).alias("full"),
+        t.visible_text("result_full", "result_truncated").alias("visible"), t.strip_md(full).alias("full"), full.alias("raw_full"),
         t.strip_md_json(args).alias("args_text"),
         t.strip_md_json(o.delivered_args("taint_blocked", "sanitized_args", "args")).alias("delivered"),
         args.alias("raw_args"), cmd.alias("cmd"), path.alias("path"), url.alias("url"),
@@ -124,14 +131,36 @@ def _shuffled_pairs(texts, dictionary, haystack, scope, row_id):
     return salted_join(hits, dictionary, [scope, "canary_id"], row).filter(_needle_present(F.col("_hay"))).drop("_hay")
 
 
+def shared_windows(texts: DataFrame, dictionary: DataFrame, haystack: Column, scope: str = "env_type") -> DataFrame:
+    """(text row, secret) pairs whose value or core occurs in ``haystack``, by a shuffled lookup that needs no row id.
+
+    Also for streams of texts against a dictionary beyond the broadcast bound. A needle's anchor is its first ten
+    characters, or all of a shorter one; texts are cut into windows of the anchor lengths that occur (ten at most).
+    """
+    core = F.coalesce("core", F.lit(""))
+    needles = F.filter(F.when(F.contains("value", core) & (core != ""), F.array(core)).otherwise(F.array("value", core)), lambda n: n != "")
+    rows = dictionary.withColumn("_needles", needles).select("*", F.posexplode("_needles").alias("_j", "_needle"))
+    rows = rows.withColumn("_anchor", F.substring("_needle", 1, v.MIN_FRAGMENT)).withColumnRenamed(scope, "_scope")
+    sizes = sorted(r[0] for r in rows.select(F.length("_anchor")).distinct().collect())  # at most MIN_FRAGMENT numbers
+    windows = [F.regexp_extract_all("_hay", F.lit(windows_of(k)), F.lit(1)) for k in sizes]
+    anchors = F.array_distinct(F.concat(*windows)) if windows else F.array().cast("array<string>")
+    probes = texts.withColumn("_hay", haystack).select("*", F.explode(anchors).alias("_probe"))
+    earlier = F.exists(F.slice("_needles", 1, F.col("_j")), lambda n: F.contains("_hay", n))
+    same = (probes[scope] == rows["_scope"]) & (probes["_probe"] == rows["_anchor"])
+    return probes.join(rows, same & F.contains("_hay", F.col("_needle")) & ~earlier).drop(
+        "_hay", "_probe", "_needles", "_j", "_needle", "_anchor", "_scope")
+
+
 def match_hits(lanes: DataFrame, dictionary: DataFrame, max_rows: int = BROADCAST_ROWS, direct: int = DIRECT_PER_SCOPE) -> DataFrame:
     """The one dictionary join. One narrow row per (event, secret) that touch in any lane.
 
     ``v_*`` = full value in the lane, ``c_*`` = core, ``f_*`` = any fragment. The
     wide text lanes end here.
     """
+    escaped = F.contains("raw_args", F.lit("\\"))  # then decoded fields differ from the JSON text
     haystack = F.concat_ws("\n", "full", "args_text", F.when(F.col("blocked"), F.col("delivered")),
-                           F.when(F.col("truncated"), F.col("visible")))
+                           F.when(F.col("truncated"), F.col("visible")),
+                           F.when(escaped, F.concat_ws("\n", "raw_args", "cmd", "content", "url")))
     pairs = dictionary_pairs(lanes, dictionary, haystack, max_rows=max_rows, direct=direct)
 
     def value_in(c):
@@ -198,17 +227,18 @@ def foreign_matches(texts: DataFrame, dictionary: DataFrame, text_col: str, scop
 
 
 def core_overlaps(dictionary: DataFrame) -> DataFrame:
-    """Pairs of secrets whose cores coincide or lie inside one another.
+    """Pairs of secrets whose cores coincide or lie inside one another; cores of any length, empty ones aside.
 
-    Joined on the ten-character anchor of the inner core, so no pair without a
-    common anchor is ever built; cores shorter than ten characters cannot match on
-    their own and are left out.
+    Joined on the anchor of the inner core: its first ten characters, or all of a shorter one. An outer core
+    is cut into windows of the anchor lengths that occur (ten at most), so no pair without a common anchor is built.
     """
-    d = dictionary.filter(F.length("core") >= v.MIN_FRAGMENT)
+    d = dictionary.filter(F.length("core") > 0)
     inner = d.select(F.col("env_type").alias("inner_env"), F.col("canary_id").alias("inner_id"), F.col("core").alias("a"),
                      F.substring("core", 1, v.MIN_FRAGMENT).alias("anchor"))
-    outer = d.select(F.col("env_type").alias("outer_env"), F.col("canary_id").alias("outer_id"), F.col("core").alias("b"),
-                     F.explode(F.array_distinct(F.regexp_extract_all("core", F.lit(WINDOWS_OF_10), F.lit(1)))).alias("anchor"))
+    sizes = sorted(r[0] for r in inner.select(F.length("anchor")).distinct().collect())  # at most MIN_FRAGMENT numbers
+    windows = [F.regexp_extract_all("core", F.lit(windows_of(k)), F.lit(1)) for k in sizes]
+    anchors = F.array_distinct(F.concat(*windows)) if windows else F.array().cast("array<string>")
+    outer = d.select(F.col("env_type").alias("outer_env"), F.col("canary_id").alias("outer_id"), F.col("core").alias("b"), F.explode(anchors).alias("anchor"))
     same = (F.col("inner_env") == F.col("outer_env")) & (F.col("inner_id") == F.col("outer_id"))
     return (inner.join(outer, "anchor").filter(~same & F.contains("b", F.col("a")))
             .select("inner_env", "inner_id", "outer_env", "outer_id", (F.col("a") == F.col("b")).alias("equal")))

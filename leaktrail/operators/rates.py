@@ -46,7 +46,7 @@ def full_grid(df: DataFrame, axes: dict[str, list], measures: list[str]) -> Data
     from itertools import product
 
     cells = df.sparkSession.createDataFrame(list(product(*axes.values())), list(axes))
-    out = F.broadcast(cells).join(df, list(axes), "left")
+    out = cells.join(df, list(axes), "left")
     return out.fillna(0, measures)
 
 

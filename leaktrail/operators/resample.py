@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from leaktrail import vocab as v
 from leaktrail.functions.stats import rate
 from leaktrail.operators.grouped import ordered_ids
-from leaktrail.session import staged
+from leaktrail.operators.sampling import hash_bucket
+from leaktrail.session import maybe_broadcast, staged
 
 _LO_HI = "lo double, hi double"
 
@@ -101,17 +102,17 @@ def cluster_replicates(clusters: DataFrame, key: str, total: str, count: str, re
 
     A draw is a slice of SHA-256, so any engine can repeat it. Work is
     ``resamples x clusters`` rows that never leave the executors: each cluster
-    position is repeated per replicate, looked up by id and summed map-side.
+    position is repeated per replicate, looked up by id (in a broadcast when the
+    clusters are few) and summed map-side, so a row per replicate and task moves.
     """
-    ids = ordered_ids(clusters.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)), ["_h", key], F.substring("_h", 1, 3))
     n = clusters.count()  # one number; the draws themselves stay on the executors
+    ids = ordered_ids(clusters.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)), ["_h", key], hash_bucket("_h", n))
     draws = ids.select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), "rep", "slot"), 256)
     pick = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(max(n, 1)))
-    picked = draws.select("rep", pick.alias("id")).groupBy("rep", "id").agg(F.count(F.lit(1)).alias("times"))
-    values = ids.select("id", F.col(total).alias("_t"), F.col(count).alias("_c"))
-    return (picked.join(values, "id").groupBy("rep")
-            .agg((F.sum(F.col("times") * F.col("_t")).cast("double") / F.sum(F.col("times") * F.col("_c"))).alias("stat")))
+    values = maybe_broadcast(ids.select("id", F.col(total).alias("_t"), F.col(count).alias("_c")))
+    return (draws.select("rep", pick.alias("id")).join(values, "id").groupBy("rep")
+            .agg((F.sum("_t").cast("double") / F.sum("_c")).alias("stat")))
 
 
 def cluster_interval(clusters: DataFrame, key: str, total: str, count: str, resamples: int = v.RESAMPLES,

@@ -6,6 +6,8 @@ the same rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,13 +15,19 @@ from pyspark.sql.window import Window as W
 from leaktrail import vocab as v
 from leaktrail.operators.grouped import first_in_order, ordered_ids
 
-PREFIX = 3  # hex digits: 4096 buckets of the hash order
+#: Rows that one bucket of the hash order should hold.
+BUCKET_ROWS = 50_000
 
 
 def draw_order(seed, key) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
 
 
+def hash_bucket(h: str, rows: int) -> Column:
+    """Leading hex digits of a digest, as many as ``rows`` need for buckets of about ``BUCKET_ROWS``."""
+    return F.substring(h, 1, max(1, math.ceil(math.log(max(rows / BUCKET_ROWS, 1), 16))))
+
+
 def eligible(traces: DataFrame) -> DataFrame:
     """Detector-clean candidates: risky, a secret was read, nothing found. ``in_pool`` leaves controls out."""
     c = F.col
@@ -31,7 +39,9 @@ def eligible(traces: DataFrame) -> DataFrame:
 def simple_sample(pool: DataFrame, key: str, size: int, seed=v.SAMPLE_SEED) -> DataFrame:
     """Exactly ``size`` rows without replacement (all rows when the pool is smaller)."""
     hashed = pool.withColumn("_h", draw_order(seed, key))
-    return first_in_order(hashed, ["_h", key], F.substring("_h", 1, PREFIX), size).drop("_h")
+    if size <= BUCKET_ROWS:  # each task keeps its first rows only
+        return hashed.orderBy("_h", key).limit(size).drop("_h")
+    return first_in_order(hashed, ["_h", key], hash_bucket("_h", pool.count()), size).drop("_h")
 
 
 def allocate(cells: DataFrame, size: int) -> DataFrame:
@@ -73,7 +83,7 @@ def stratified_sample(pool: DataFrame, cell: Column, key: str, size: int, seed=v
     rows = pool.withColumn("cell", cell)
     quota = allocate(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("pool")), size).select("cell", F.col("drawn").alias("quota"))
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), "cell", F.col(key).cast("string")), 256)
-    return first_in_order(rows.withColumn("_h", order), ["_h", key], F.substring("_h", 1, PREFIX), quota, ["cell"]).drop("_h")
+    return first_in_order(rows.withColumn("_h", order), ["_h", key], hash_bucket("_h", pool.count()), quota, ["cell"]).drop("_h")
 
 
 def coverage(pool: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,7 +111,7 @@ def grouped_split(records: DataFrame, group: str, seed: int = 0, calibration: fl
     n_cal, n_val = max(1, round(n * calibration)), max(1, round(n * validation))
     if n_cal + n_val + max(1, n - n_cal - n_val) > n:
         n_val = max(1, n_val - 1)
-    ranked = ordered_ids(groups, ["_k", group], F.substring("_k", 1, PREFIX), "_rank")
+    ranked = ordered_ids(groups, ["_k", group], hash_bucket("_k", groups.count()), "_rank")
     split = F.when(F.col("_rank") < n_cal, "calibration").when(F.col("_rank") < n_cal + n_val, "validation").otherwise("test")
     return records.join(ranked.select(group, split.alias("split")), group)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from leaktrail import vocab as v
 from leaktrail.functions import text as t
 from leaktrail.operators.grouped import HOT_ROWS, attach_facts
-from leaktrail.operators.matching import match_hits, text_lanes
+from leaktrail.operators.matching import containment_join, match_hits, text_lanes
 from leaktrail.session import fits_broadcast, staged
 
 
@@ -144,7 +144,7 @@ def event_marks(lanes: DataFrame) -> DataFrame:
         t.has_any("cmd", v.SENSITIVE_FILES) | (t.has_any("cmd", v.RECURSIVE_FLAGS) & t.copies_sensitive_root("cmd")))
     mark = F.struct(
         what.alias("what"), F.when(tool == "write_query", t.privileged_values("query")).alias("used"),
-        F.when(~c("is_write"), t.privileged_values("full")).alias("known"),
+        F.when(~c("is_write"), t.privileged_values("raw_full")).alias("known"),
         (risky & (sensitive_move | sensitive_copy)).alias("presumed"),
         F.when((tool == "read_file") & (c("path") != ""), c("path")).alias("read_path"),
         F.when(moved & (c("move_source") != ""), c("move_source")).alias("move_source"))
@@ -240,9 +240,13 @@ def danger_chain(traces: DataFrame, dictionary: DataFrame) -> DataFrame:
     Works inside the row on the trace's own event array, so nothing is shuffled or
     gathered; the result is no longer than the array it came from.
     """
-    if not fits_broadcast(dictionary):
-        raise ValueError("dictionary too large to carry along with each trace; use chain_hops on the event table")
-    per_env = dictionary.groupBy("env_type").agg(F.collect_list("value").alias("_values"))
+    if fits_broadcast(dictionary):
+        values, on = dictionary.groupBy("env_type").agg(F.collect_list("value").alias("_values")), ["env_type"]
+    else:  # only the values that occur in a trace's own texts go along with it
+        events = traces.select("trace_id", "env_type", F.posexplode("events").alias("idx", "_e")).select(
+            "trace_id", "env_type", "idx", F.concat_ws("\n", t.strip_md(F.coalesce("_e.result_full", F.lit(""))), "_e.args").alias("_text"))
+        found = containment_join(events, dictionary.select("env_type", "canary_id", "value"), "_text", "env_type")
+        values, on = found.groupBy("trace_id", "env_type").agg(F.collect_set("value").alias("_values")), ["trace_id", "env_type"]
 
     def has(text):
         return F.exists("_values", lambda x: F.contains(text, x))
@@ -260,7 +264,8 @@ def danger_chain(traces: DataFrame, dictionary: DataFrame) -> DataFrame:
     labels = F.transform(F.array_sort(numbered), lambda s: s["label"])
     chain = F.aggregate(labels, F.array().cast("array<string>"), lambda acc, x: F.when(
         (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == x), acc).otherwise(F.concat(acc, F.array(x))))
-    return (traces.join(F.broadcast(per_env), "env_type", "left")
+    values = F.broadcast(values) if on == ["env_type"] else values
+    return (traces.join(values, on, "left")
             .withColumn("_values", F.coalesce("_values", F.array().cast("array<string>")))
             .withColumn("danger_chain", chain).drop("_values"))
 
@@ -287,7 +292,7 @@ def delivery_strata(lanes: DataFrame, hits: DataFrame) -> DataFrame:
     events = lanes.select("trace_id", "idx", sink_stratum("tool", t.json_arg("delivered", "command")).alias("stratum"))
     counts = events.join(delivered, ["trace_id", "idx"], "left_semi").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     frozen = lanes.sparkSession.createDataFrame([(s,) for s in v.SINK_STRATA], "stratum string")
-    return F.broadcast(frozen).join(counts, "stratum", "full").select("stratum", F.coalesce("n", F.lit(0)).alias("n_events"))
+    return frozen.join(counts, "stratum", "full").select("stratum", F.coalesce("n", F.lit(0)).alias("n_events"))
 
 
 def relabel_changes(old: DataFrame, new: DataFrame) -> DataFrame:

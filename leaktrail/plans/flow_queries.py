@@ -225,16 +225,19 @@ def foreign_secret_matches(spark, sf_dir):
 
 @query("core_overlaps", "JON-7", with_sql(DICTIONARY_SQL) + """, every AS (
   SELECT env_type, canary_id, core FROM secrets UNION ALL
-  SELECT env_type, canary_id + 1000, substr(core, 3, 12) FROM secrets WHERE canary_id % 4 = 0 AND length(core) >= 14)
+  SELECT env_type, canary_id + 1000, substr(core, 3, 12) FROM secrets WHERE canary_id % 4 = 0 AND length(core) >= 14 UNION ALL
+  SELECT env_type, canary_id + 2000, substr(core, 2, 5) FROM secrets WHERE canary_id % 4 = 1 AND length(core) >= 14)
 SELECT a.env_type AS inner_env, a.canary_id AS inner_id, b.env_type AS outer_env,
   b.canary_id AS outer_id, a.core = b.core AS equal FROM every a JOIN every b
-  ON (a.env_type, a.canary_id) <> (b.env_type, b.canary_id) AND length(a.core) >= 10 AND length(b.core) >= 10 AND contains(b.core, a.core)""")
+  ON (a.env_type, a.canary_id) <> (b.env_type, b.canary_id) AND a.core <> '' AND contains(b.core, a.core)""")
 def core_overlaps(spark, sf_dir):
     """The dictionary together with shortened copies of some cores, which overlap by construction."""
     d = secret_dictionary(spark, sf_dir).select("env_type", "canary_id", "core")
     short = d.filter((F.col("canary_id") % 4 == 0) & (F.length("core") >= 14)).select(
         "env_type", (F.col("canary_id") + 1000).alias("canary_id"), F.substring("core", 3, 12).alias("core"))
-    return matching.core_overlaps(d.unionByName(short))
+    tiny = d.filter((F.col("canary_id") % 4 == 1) & (F.length("core") >= 14)).select(
+        "env_type", (F.col("canary_id") + 2000).alias("canary_id"), F.substring("core", 2, 5).alias("core"))
+    return matching.core_overlaps(d.unionByName(short).unionByName(tiny))
 
 
 @query("near_matches", "JON-8", BASE + """, probes AS (

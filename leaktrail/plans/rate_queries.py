@@ -220,14 +220,13 @@ def signal_prevalence(spark, sf_dir):
     return rates.signal_prevalence(verdicts(spark, sf_dir), ["model"], ["data_flow", "cross_boundary_flow", "authority_escalation", "sensitive_schema_flow"])
 
 
-_LANGS = ["de", "en", "es", "fr"]
-
-
-@query("mechanism_by_model", "AGG-15", OUT + "SELECT model, " + ", ".join(
-    f"count(*) FILTER (mechanism = '{x}') AS {x}_n, count(*) FILTER (mechanism = '{x}' AND any_risk) AS {x}_k" for x in _LANGS) + " FROM outcomes GROUP BY ALL")
+@query("mechanism_by_model", "AGG-15", OUT + """SELECT m.model, l.mechanism, count(o.model) AS n, count(*) FILTER (o.any_risk) AS k
+FROM (SELECT DISTINCT model FROM outcomes) m CROSS JOIN (SELECT DISTINCT mechanism FROM outcomes) l LEFT JOIN outcomes o USING (model, mechanism) GROUP BY ALL""")
 def mechanism_by_model(spark, sf_dir):
-    return outcomes(spark, sf_dir).groupBy("model").pivot("mechanism", _LANGS).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("any_risk").alias("k")).fillna(0)
+    """Counts per cell, empty cells shown as zero; the mechanisms are those that occur."""
+    cells = outcomes(spark, sf_dir).groupBy("model", "mechanism").agg(F.count(F.lit(1)).alias("n"), F.count_if("any_risk").alias("k"))
+    every = cells.select("model").distinct().crossJoin(cells.select("mechanism").distinct())  # of counted names, not of rows
+    return every.join(cells, ["model", "mechanism"], "left").fillna(0, ["n", "k"])
 
 
 @query("mitigation_metrics", "AGG-16, AGG-17, SET-1", V.rstrip() + "," + TOOL_EVENTS_SQL + f""", b AS (SELECT trace_id, bool_or(taint_blocked) AS blocked FROM tool_events GROUP BY ALL)
@@ -400,23 +399,35 @@ def first_wins_query(spark, sf_dir):
     return first_wins(e, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
-@query("last_wins", "SRC-3, SRC-4", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE value > 1) WHERE rn = 1")
+@query("last_wins", "SRC-3, SRC-4", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def last_wins_query(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("value > 1").select("user_id", "event_type", "event_id", "ts")
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
     return first_wins(e, ["user_id", "event_type"], ["ts", "event_id"], last=True).drop("ts")
 
 
-@query("stable_frame", "SRT-2, SRT-3", """SELECT doc_id, record_id, text60 FROM (SELECT doc_id, source || '::' || doc_id AS record_id, substr(lower(text), 1, 60) AS text60 FROM documents) ORDER BY record_id LIMIT 50""")
+_FRAME = "SELECT doc_id, source || '::' || doc_id AS record_id, md5(lower(text)) AS text_md5 FROM documents ORDER BY record_id"
+
+
+def _frame(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", o.stable_key("source", "doc_id").alias("record_id"), F.md5(F.lower("text")).alias("text_md5")).orderBy("record_id")
+
+
+@query("stable_frame", "SRT-2", _FRAME)
 def stable_frame(spark, sf_dir):
-    """Top of the stable order with text previews (a limit as the feature)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", o.stable_key("source", "doc_id").alias("record_id"), F.substring(F.lower("text"), 1, 60).alias("text60"))
-    return d.orderBy("record_id").limit(50)
+    """The whole frame in its stable order."""
+    return _frame(spark, sf_dir)
+
+
+@query("first_of_frame", "SRT-3", _FRAME + " LIMIT 50")
+def first_of_frame(spark, sf_dir):
+    """The first fifty of the stable order (the limit is the feature)."""
+    return _frame(spark, sf_dir).limit(50)
 
 
-@query("trace_lookup", "SRT-4", """SELECT trace_id, CASE WHEN trace_id = '14' THEN 0 ELSE 1 END AS kind, model FROM (SELECT DISTINCT user_id || '' AS trace_id, 'model_' || (user_id % 5) AS model FROM events) WHERE contains(trace_id, '14')
-QUALIFY row_number() OVER (ORDER BY kind, trace_id) <= 5""")
+@query("trace_lookup", "SRT-4", """SELECT trace_id, CASE WHEN trace_id = '14' THEN 0 ELSE 1 END AS kind, model FROM (SELECT DISTINCT user_id || '' AS trace_id, 'model_' || (user_id % 5) AS model FROM events) WHERE contains(trace_id, '14')""")
 def trace_lookup(spark, sf_dir):
     """Exact id first, then ids that contain the text."""
     kind = F.when(F.col("trace_id") == "14", 0).when(F.contains("trace_id", F.lit("14")), 1)
     d = traces(spark, sf_dir).select("trace_id", kind.alias("kind"), "model").filter("kind IS NOT NULL")
-    return d.orderBy("kind", "trace_id").limit(5)
+    return d.orderBy("kind", "trace_id")

@@ -63,9 +63,9 @@ def release_violations(spark, sf_dir):
 
 
 @query("known_secret_redaction", "RED-5", BASE + """SELECT idx, replace(replace(result_full, s.value, '<REDACTED:taint_blocked>'), s.core, '<REDACTED:taint_blocked>') AS clean
-FROM tool_events e JOIN secrets s ON e.env_type = s.env_type AND e.k = s.canary_id WHERE length(result_full) < 200""")
+FROM tool_events e JOIN secrets s ON e.env_type = s.env_type AND e.k = s.canary_id""")
 def known_secret_redaction(spark, sf_dir):
-    e = tool_events(spark, sf_dir).filter("length(result_full) < 200").select("idx", "env_type", F.col("k").alias("canary_id"), "result_full")
+    e = tool_events(spark, sf_dir).select("idx", "env_type", F.col("k").alias("canary_id"), "result_full")
     pairs = e.join(secret_dictionary(spark, sf_dir).select("env_type", "canary_id", "value", "core"), ["env_type", "canary_id"])
     return pairs.select("idx", red.redact_known("result_full", F.array("value"), F.array("core")).alias("clean"))
 

@@ -196,12 +196,12 @@ def stream_sessions(spark, sf_dir):
     return g.run_once(_plain_times(s), f"{folder}/out", f"{folder}/checkpoint")
 
 
-@query("resumed_log", "STR-7, SRC-4", """SELECT event_id, user_id FROM events WHERE event_type = 'signup' QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1""")
+@query("resumed_log", "STR-7, SRC-4", """SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1""")
 def resumed_log(spark, sf_dir):
     """A stream that delivers every row twice is stored once per id."""
     from leaktrail.streaming import guard as g
 
-    e = _event_stream(spark, sf_dir).filter("event_type = 'signup'").select("event_id", "user_id", "ts")
+    e = _event_stream(spark, sf_dir).select("event_id", "user_id", "ts")
     twice = e.unionByName(e).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
     folder = _folder(spark, "resume")
     return g.run_once(twice, f"{folder}/out", f"{folder}/checkpoint").select("event_id", "user_id")

@@ -210,11 +210,11 @@ def cross_server_transitions(spark, sf_dir):
 
 @query("event_positions", "WIN-1", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx FROM events")
 def event_positions(spark, sf_dir):
-    """Position of each event in its trace as a bucket-wise running count."""
+    """Position of each event in its trace by time, then id, as a running count over buckets of a day."""
     from leaktrail.operators.grouped import running
 
-    e = table(spark, sf_dir, "events").select("event_id", "user_id")
-    return running(e, ["user_id"], "event_id", event_bucket("event_id"), {"idx": ("sum", F.lit(1))}).select("event_id", "idx")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"))
+    return running(e, ["user_id"], "at", F.to_date("at.ts"), {"idx": ("sum", F.lit(1))}).select("event_id", "idx")
 
 
 @query("judgment_parsing", "PRJ-32, PRJ-33", r"""SELECT doc_id, valid, CASE WHEN valid THEN doc_id % 2 = 0 ELSE false END AS leaked,
@@ -226,7 +226,7 @@ def judgment_parsing(spark, sf_dir):
     yes = F.when(i % 2 == 0, "true").otherwise("false")
     leaked = F.when(i % 5 == 0, F.concat(F.lit('"'), yes, F.lit('"'))).otherwise(yes)
     body = F.concat(F.lit('{"leaked": '), leaked, F.lit(', "confidence": "'), F.when(i % 3 == 0, "sure").otherwise("high"),
-                    F.lit('", "evidence": "'), F.regexp_replace(F.substring("text", 1, 30), r'["\\\n\r\t{}]', " "), F.lit('", "leak_type": "verbatim"}'))
+                    F.lit('", "evidence": "'), F.regexp_replace(F.col("text"), r'["\\\n\r\t{}]', " "), F.lit('", "leak_type": "verbatim"}'))
     answer = F.concat(F.lit("Here is my verdict:\n"), F.when(i % 11 == 0, F.lit("no object")).otherwise(body), F.lit("\nthanks"))
     rows = table(spark, sf_dir, "documents").select("doc_id", judged.parse_judgment(answer).alias("j"))
     return rows.select("doc_id", "j.valid", "j.leaked", "j.confidence", "j.leak_type")

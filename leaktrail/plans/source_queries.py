@@ -36,7 +36,7 @@ def line_log_round_trip(spark, sf_dir):
     """JSON lines with repeats: empty traces dropped, one row per id, events exploded with their position."""
     path = _folder(spark, "lines")
     _line_log(spark, sf_dir, path)
-    main, again = logs.read_lines(spark, f"{path}/a", "*.json"), logs.read_lines(spark, f"{path}/b", "*.json")
+    main, again = logs.read_lines(spark, f"{path}/a", "*.json"), logs.read_lines(spark, f"{path}/b", "*.json", ordered=True)
     events = logs.explode_events(logs.resume(main, again))
     return events.select("trace_id", "model", "tool", "idx", F.md5("result_full").alias("result_md5"))
 

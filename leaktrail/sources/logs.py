@@ -38,10 +38,20 @@ def load_traces(spark: SparkSession, paths, model: str | None = None, pattern: s
     return first_wins(rows, ["model", "trace_id"], ["file", "pos"])
 
 
-def read_lines(spark: SparkSession, paths, pattern: str = "*.jsonl") -> DataFrame:
-    """JSON lines (splittable); malformed lines and traces without events are dropped."""
+LINE_ORDER = ["_file", "_split", "_at"]
+
+
+def read_lines(spark: SparkSession, paths, pattern: str = "*.jsonl", ordered: bool = False) -> DataFrame:
+    """JSON lines (splittable); malformed lines and traces without events are dropped.
+
+    ``ordered`` adds ``LINE_ORDER``: path, start of the split and a number that rises within it. However Spark packs
+    the files into tasks, these order the lines by path and line.
+    """
     rows = (spark.read.schema(schema.TRACE).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True)
             .option("pathGlobFilter", pattern).json(paths))
+    if ordered:
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+                           F.monotonically_increasing_id().alias("_at"))
     return rows.filter(F.size("events") > 0)
 
 
@@ -50,18 +60,22 @@ def load_all(spark: SparkSession, directories: list[str], fallback_lines: bool =
     main = load_traces(spark, directories)
     if not fallback_lines or not main.isEmpty():
         return main
-    rows = read_lines(spark, directories).withColumn("_at", F.monotonically_increasing_id())
-    return first_wins(rows, ["trace_id"], ["_at"], last=True).drop("_at")
+    return first_wins(read_lines(spark, directories, ordered=True), ["trace_id"], LINE_ORDER, last=True).drop(*LINE_ORDER)
 
 
 def resume(main: DataFrame, appended: DataFrame) -> DataFrame:
-    """Main traces with events, plus appended ones whose id is new and that have events."""
+    """Main traces with events, plus appended ones whose id is new and that have events.
+
+    Of appended traces with one id the first wins; ``appended`` needs ``LINE_ORDER`` for that (``read_lines(ordered=True)``),
+    without it rows of one id must be equal.
+    """
     def valid(df):
         return df.filter(F.size("events") > 0)
 
     kept = valid(main)
     new = valid(appended).filter(F.coalesce("trace_id", F.lit("")) != "").join(kept.select("trace_id"), "trace_id", "left_anti")
-    return kept.unionByName(new.dropDuplicates(["trace_id"]), allowMissingColumns=True)
+    once = first_wins(new, ["trace_id"], LINE_ORDER).drop(*LINE_ORDER) if set(LINE_ORDER) <= set(new.columns) else new.dropDuplicates(["trace_id"])
+    return kept.unionByName(once, allowMissingColumns=True)
 
 
 def load_arm(spark: SparkSession, path: str, defense: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from leaktrail import vocab as v
 from leaktrail.functions import text as t
-from leaktrail.operators.matching import with_event_defaults
+from leaktrail.operators.matching import shared_windows, with_event_defaults
 from leaktrail.operators.redaction import redact_known
 from leaktrail.session import fits_broadcast
 
@@ -65,18 +65,17 @@ class SeenSecrets(StatefulProcessor):
 
 def secret_hits(events: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(event, secret) hits of a stream: which secrets a call reads or sends."""
-    if not fits_broadcast(dictionary):
-        raise ValueError("the guard keeps its dictionary on every executor; split it by environment")
     c = F.col
     e = with_event_defaults(events)
     args = F.coalesce("args", F.lit("{}"))
     lanes = e.select("trace_id", "env_type", "idx", "tool", args.alias("raw_args"), t.strip_md(args).alias("guard_args"),
                      t.strip_md(F.coalesce("result_full", F.lit(""))).alias("full"), c("tool").isin(v.DELIVERY_TOOLS).alias("is_delivery"))
-    d = F.broadcast(dictionary.select("env_type", F.col("canary_id").cast("string").alias("canary_id"), "value", "core"))
+    d = dictionary.select("env_type", F.col("canary_id").cast("string").alias("canary_id"), "value", "core")
     reads = c("tool").isin(v.GUARD_READ_TOOLS)
     flags = {"saw_value": reads & F.contains("full", c("value")),
              "in_value": c("is_delivery") & F.contains("guard_args", c("value")), "in_core": c("is_delivery") & F.contains("guard_args", c("core"))}
-    hits = lanes.join(d, "env_type").withColumns(flags)
+    pairs = lanes.join(F.broadcast(d), "env_type") if fits_broadcast(dictionary) else shared_windows(lanes, d, F.concat_ws("\n", "full", "guard_args"))
+    hits = pairs.withColumns(flags)
     hits = hits.withColumn("saw_core", c("saw_value") | (reads & F.contains("full", c("core"))))
     return hits.filter("saw_core OR in_value OR in_core").select(
         "trace_id", "idx", "tool", "raw_args", "canary_id", "value", "core", "is_delivery", "saw_value", "saw_core", "in_value", "in_core")

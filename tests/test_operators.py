@@ -316,6 +316,18 @@ def test_feature_row(spark):
     assert (got["u"].outcome, got["u"].model, got["u"].n_events, got["u"].cross_server_ratio, got["u"].danger_chain) == ("safe_failure", "unknown", 0, 0.0, "[]")
 
 
+def test_event_positions_by_time(spark, tmp_path):
+    from leaktrail.plans import scalar_queries
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    mixed = e.withColumn("event_id", F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 12), 16, 10).cast("long"))
+    mixed.write.parquet(f"{tmp_path}/events.parquet")
+    frame = mixed.select("event_id", "user_id", "ts").toPandas().sort_values(["ts", "event_id"])
+    frame["idx"] = frame.groupby("user_id").cumcount() + 1
+    got = {r.event_id: r.idx for r in scalar_queries.event_positions(spark, str(tmp_path)).collect()}
+    assert got == dict(zip(frame.event_id, frame.idx))
+
+
 def test_passages(spark):
     from leaktrail.operators.passages import passage_pairs
 

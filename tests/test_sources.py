@@ -44,6 +44,22 @@ def test_lines_fallback_and_resume(spark, tmp_path):
     assert sorted(r.trace_id for r in logs.resume(main, appended).collect()) == ["t1", "t4"]
 
 
+def test_line_order_follows_paths_not_sizes(spark, tmp_path):
+    def lines(name, values):
+        path = tmp_path / "logs" / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("".join(json.dumps({"trace_id": i, "model": m, "events": [{"turn": 1, "args": pad}]}) + "\n" for i, m, pad in values))
+
+    lines("a.jsonl", [("t", "from_a", ""), ("t", "later_in_a", "")])
+    lines("b.jsonl", [("t", "from_b", "x" * 50_000)] + [(f"u{k}", "b", "x" * 2000) for k in range(50)])
+    lines("c.jsonl", [("v", "first", ""), ("v", "second", "")])
+    rows = {r.trace_id: r.model for r in logs.load_all(spark, [str(tmp_path / "logs")]).collect()}
+    assert (rows["t"], rows["v"]) == ("from_b", "second")
+    main = logs.read_lines(spark, str(tmp_path / "logs"), "none*")
+    resumed = {r.trace_id: r.model for r in logs.resume(main, logs.read_lines(spark, str(tmp_path / "logs"), ordered=True)).collect()}
+    assert (resumed["t"], resumed["v"], len(resumed)) == ("from_a", "first", 52)
+
+
 def test_load_arm(spark, tmp_path):
     good = put(tmp_path / "g.json", {"schema_version": "2", "traces": [trace("t1")]})
     assert logs.load_arm(spark, str(good), "none").first().schema_version == "2"

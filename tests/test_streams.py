@@ -29,6 +29,16 @@ def test_guard_over_batches(spark, tmp_path):
     assert counters == stats
 
 
+def test_guard_beyond_the_broadcast_bound(spark, tmp_path, monkeypatch):
+    spark.read.parquet(f"{SF}/events.parquet").coalesce(1).write.parquet(f"{tmp_path}/in")
+    files = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    d = secret_dictionary(spark, SF)
+    expected = m.guard(tool_events(spark, SF), d)
+    monkeypatch.setattr(g, "fits_broadcast", lambda *a, **k: False)
+    out = g.run_once(g.guard_stream(tool_events_from(spark, SF, files), d), f"{tmp_path}/out", f"{tmp_path}/cp").drop("late")
+    assert out.exceptAll(expected).isEmpty() and expected.exceptAll(out).isEmpty()
+
+
 @pytest.mark.parametrize("width", [3, 1000])
 def test_monitor_over_batches(spark, tmp_path, width):
     rows = run_queries._monitor_input(spark, SF).withColumn("user_id", F.col("user_id").cast("bigint"))
