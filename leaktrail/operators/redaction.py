@@ -22,7 +22,6 @@ RULES = [
     ("username_variable", r"(USERNAME=)Administrator", "$1user"),
     ("computer_name", r"(COMPUTERNAME=)[A-Z0-9_-]+", "$1HOST"),
     ("logon_server", r"(LOGONSERVER=\\{2,4})[A-Z0-9_-]+", "$1HOST"),
-    ("base_url_variable", r"([A-Z_]*BASE_URL=)https?://[^\s\"'`,)]+", "$1<internal-gateway>"),
     ("judge_base_field", r"(\"judge_api_base\"\s*:\s*\")https?://[^\"]+(\")", "$1<internal-gateway>$2"),
 ]
 
@@ -50,6 +49,21 @@ def project_rules(project: str | None = None, users: list[str] | None = None, ho
     return out
 
 
+def variable_rules(urls: list[str] | None = None, paths: list[str] | None = None) -> list[tuple]:
+    """Rules for named variables in dumped environments: those whose value is a private URL, and those that hold a local path.
+
+    Other variables keep their values.
+    """
+    return ([(f"url_{n}", rf"(\b{_quote(n)}=)https?://[^\s\"'`,)]+", "$1<internal-gateway>") for n in urls or []]
+            + [(f"path_{n}", rf"(\b{_quote(n)}=)[^\s\"'`,)]+", "$1<HOME>") for n in paths or []])
+
+
+def folder_rules(folders: dict[str, str] | None = None) -> list[tuple]:
+    """Rules that rename the folders of a site's tools, the longest first."""
+    return [(f"folder_{k}", _quote(name), target) for k, (name, target) in
+            enumerate(sorted((folders or {}).items(), key=lambda x: (-len(x[0]), x[0])))]
+
+
 def host_rules(host: str | None) -> list[tuple]:
     """Rules that only run when a private host is configured."""
     if not host or not host.strip():

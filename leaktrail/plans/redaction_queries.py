@@ -12,13 +12,13 @@ from leaktrail.plans.views import OUTCOMES_SQL, outcomes, secret_dictionary, too
 
 #: documents with the traces a collection machine leaves behind
 _RAW = r"""raw AS (SELECT doc_id, source, lang, text || ' C:\\Users\\Administrator\\f' || doc_id || ' /Users/u' || (doc_id % 7) || '/x USERNAME=Administrator COMPUTERNAME=DESKTOP-' || (doc_id % 5)
-  || ' drwx Administrator 197121 System Administrators "judge_api_base": "https://h' || (doc_id % 3) || '.example/v1" http://gw.example/a' AS text FROM documents)"""
+  || ' drwx Administrator 197121 System Administrators "judge_api_base": "https://h' || (doc_id % 3) || '.example/v1" http://gw.example/a MODEL_BASE_URL=https://in.example/v1 OTHER_BASE_URL=https://out.example/v1 INIT_CWD=/opt/build/x' AS text FROM documents)"""
 
 
 def _raw(spark, sf_dir):
     i = F.col("doc_id")
     tail = [F.lit(" C:\\\\Users\\\\Administrator\\\\f"), i, F.lit(" /Users/u"), i % 7, F.lit("/x USERNAME=Administrator COMPUTERNAME=DESKTOP-"), i % 5,
-            F.lit(' drwx Administrator 197121 System Administrators "judge_api_base": "https://h'), i % 3, F.lit('.example/v1" http://gw.example/a')]
+            F.lit(' drwx Administrator 197121 System Administrators "judge_api_base": "https://h'), i % 3, F.lit('.example/v1" http://gw.example/a MODEL_BASE_URL=https://in.example/v1 OTHER_BASE_URL=https://out.example/v1 INIT_CWD=/opt/build/x')]
     d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "source", "lang", F.concat("text", *[x.cast("string") for x in tail]).alias("text"))
 
@@ -27,7 +27,7 @@ def _duck(pattern: str, repl: str) -> tuple[str, str]:
     return pattern.replace("'", "''"), repl.replace("$1", r"\1").replace("$2", r"\2")
 
 
-HOST_RULES = red.RULES + red.host_rules("gw.example")
+HOST_RULES = red.RULES + red.variable_rules(["MODEL_BASE_URL"], ["INIT_CWD"]) + red.host_rules("gw.example")
 
 
 def _chain(column: str, rules) -> str:

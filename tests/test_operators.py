@@ -212,6 +212,9 @@ def test_redaction(spark):
     assert spark.createDataFrame([('"base_url": "https://q.example/v1" https://q.example/x q.example qxexample',)], "x string").select(host).first()[0] == \
         '"base_url": "<internal-gateway>" <internal-gateway> internal-gateway qxexample'
     assert redaction.host_rules(" ") == []
+    named = redaction.variable_rules(["MY_BASE_URL"], ["INIT_CWD"]) + redaction.folder_rules({"ToolFiles": "tools", "ToolFilesNew": "tools-new"})
+    assert spark.createDataFrame([("MY_BASE_URL=https://a/b NOT_MY_BASE_URL=https://c X_BASE_URL=https://d INIT_CWD=/w/x ToolFilesNew/ToolFiles",)], "x string").select(
+        redaction.apply_rules("x", named)).first()[0] == "MY_BASE_URL=<internal-gateway> NOT_MY_BASE_URL=https://c X_BASE_URL=https://d INIT_CWD=<HOME> tools-new/tools"
     project = redaction.project_rules("Thing", ["annam", "annamaria"])
     assert spark.createDataFrame([("/Users/a/b/Thing/c annamaria",)], "x string").select(redaction.apply_rules("x", project)).first()[0] == "/thing/c user"
 
