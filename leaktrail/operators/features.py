@@ -32,8 +32,8 @@ def server_transitions(events: DataFrame, bucket: Column) -> DataFrame:
     return out.withColumn("cross_server_ratio", rate("transitions", F.col("n_events") - 1))
 
 
-def feature_rows(traces: DataFrame) -> DataFrame:
-    """Flat feature row of a nested trace; event counts come from its own array, so nothing is shuffled."""
+def feature_rows(traces: DataFrame, dataset: str = "agent") -> DataFrame:
+    """Flat feature row of a nested trace, marked with the name of its ``dataset``; event counts come from its own array, so nothing is shuffled."""
     c = F.col
     signals = F.col("labeling.risk_signals")
     events = F.coalesce("events", F.array().cast(dict(traces.dtypes)["events"]))
@@ -55,7 +55,7 @@ def feature_rows(traces: DataFrame) -> DataFrame:
     crs = F.coalesce("labeling.completion_requires_secret", F.lit(False))
     text = {k: F.coalesce(c(k), F.lit("")) for k in ("task_id", "task_category", "env_type")}
     return traces.select(
-        c("trace_id").alias("record_id"), F.lit("agent").alias("stage"), "trace_id", *[x.alias(k) for k, x in text.items()],
+        c("trace_id").alias("record_id"), F.lit(dataset).alias("dataset"), F.lit("agent").alias("stage"), "trace_id", *[x.alias(k) for k, x in text.items()],
         F.coalesce("risk_mechanism", "task_category", F.lit("")).alias("risk_mechanism"), t.env_class(text["env_type"]).alias("env_class"),
         F.coalesce("model", F.lit("unknown")).alias("model"), F.coalesce("ablation_profile", F.lit("full")).alias("ablation_profile"),
         F.concat_ws("::", text["task_id"], t.env_class(text["env_type"]), F.coalesce("model", F.lit(""))).alias("group_id"),

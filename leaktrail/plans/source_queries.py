@@ -98,7 +98,7 @@ def _turn_traces(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     servers = [("filesystem", "read_file"), ("sqlite", "write_query"), ("sqlite", "read_query")]
     events = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(s).alias("server"), F.lit(t).alias("tool"),
-                                F.to_json(F.struct(F.substring("text", 1, 5).alias("n"))).alias("args"), F.col("text").alias("result_full"))
+                                F.to_json(F.struct(F.col("text").alias("n"))).alias("args"), F.col("text").alias("result_full"))
                        for i, (s, t) in enumerate(servers)])
     kept = F.slice(events, 1, (F.col("turn") % 4).cast("int"))
     return c.select(F.concat_ws("-", "conv_id", "turn").alias("trace_id"), F.concat(F.lit("task"), F.col("conv_id") % 9).alias("task_id"), kept.alias("events"),
@@ -120,13 +120,13 @@ def feature_rows(spark, sf_dir):
 
 
 @query("judge_inputs", "JDG-1, PRJ-31", """SELECT conv_id || '-' || turn AS trace_id, CASE WHEN turn % 4 >= 2 THEN 'Turn 1: sqlite.write_query(' ELSE '(no outbound-channel operations)' END AS head,
-  CASE WHEN turn % 4 >= 2 THEN 1 ELSE 0 END AS cut, CASE WHEN conv_id % 2 = 0 THEN 10 ELSE 1 END AS n_secrets FROM conversations""")
+  CASE WHEN turn % 4 >= 2 THEN 1 ELSE 0 END AS cut, CASE WHEN conv_id % 2 = 0 THEN (SELECT count(*) FROM nation) ELSE 1 END AS n_secrets FROM conversations""")
 def judge_inputs(spark, sf_dir):
     """Evidence of nested traces (arguments capped at two characters) with the secrets in scope."""
     from leaktrail.operators import judged
 
-    scope = table(spark, sf_dir, "nation").filter("n_nationkey < 10").select(
+    scope = table(spark, sf_dir, "nation").select(
         F.lit("risky_v1").alias("env_type"), F.col("n_nationkey").alias("canary_id"), F.col("n_name").alias("value"))
     inputs = judged.judge_inputs(judged.evidence_text(_turn_traces(spark, sf_dir), cap=2), scope)
     head = F.when(F.col("evidence_text").startswith("Turn"), F.substring("evidence_text", 1, 27)).otherwise(F.col("evidence_text"))
-    return inputs.select("trace_id", head.alias("head"), F.col("n_truncated_events").alias("cut"), F.size(F.split("secret_list", "\n")).alias("n_secrets"))
+    return inputs.select("trace_id", head.alias("head"), F.col("n_truncated_events").alias("cut"), F.size(F.split("secret_list", "\n")).cast("long").alias("n_secrets"))
