@@ -180,3 +180,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = dict(docs.dtypes)[id_col]
     return by_block.cogroup(earlier.groupBy("_blk")).applyInPandas(
         _remove, f"_id {id_type}, n_words long, n_removed long, kept_text string").withColumnRenamed("_id", id_col)
+
+
+#: What ``remove_repeats`` gives for the documents table, digested, said in SQL.
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW} + 2)) AS i FROM d),
+k AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ')) AS key FROM s),
+e AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS i FROM k JOIN e USING (key) WHERE first < doc_id),
+c AS (SELECT p.doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (g.i IS NULL) AS kept
+      FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
