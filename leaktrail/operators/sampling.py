@@ -10,10 +10,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from leaktrail import vocab as v
 from leaktrail.operators.grouped import first_in_order, ordered_ids
+from leaktrail.session import staged
 
 #: Rows that one bucket of the hash order should hold.
 BUCKET_ROWS = 50_000
@@ -47,31 +47,28 @@ def simple_sample(pool: DataFrame, key: str, size: int, seed=v.SAMPLE_SEED) -> D
 def allocate(cells: DataFrame, size: int) -> DataFrame:
     """Proportional allocation by largest remainder; a cell that fills up is fixed and the rest re-split.
 
-    ``cells`` has one row per stratum (``cell``, ``pool``): a small table of counts, which
-    is all that reaches the driver between rounds. Each round fixes at least one cell.
+    ``cells`` has one row per stratum (``cell``, ``pool``). Every round is written to the shared folder; only three sums
+    reach the driver between rounds, and each round fixes at least one cell.
     """
-    spark_cells = cells.filter("pool > 0").select("cell", "pool", F.lit(None).cast("bigint").alias("fixed"))
+    open_ = F.col("fixed").isNull()
+    current = staged(cells.filter("pool > 0").select("cell", F.col("pool").cast("bigint").alias("pool"), F.lit(None).cast("bigint").alias("fixed")), "strata")
     while True:
-        free = W.partitionBy(F.col("fixed").isNull())
-        everything = W.partitionBy(F.lit(1))
-        target = (F.least(F.lit(size).cast("bigint"), F.sum("pool").over(everything))
-                  - F.coalesce(F.sum("fixed").over(everything), F.lit(0)))
-        d = spark_cells.withColumn("target", target).withColumn("free_pool", F.sum("pool").over(free))
-        product = F.col("target").cast("decimal(38,0)") * F.col("pool").cast("decimal(19,0)")
-        remainder = product % F.col("free_pool").cast("decimal(19,0)")
-        d = d.withColumn("floor", ((product - remainder) / F.col("free_pool")).cast("bigint"))
-        rank = F.row_number().over(W.partitionBy(F.col("fixed").isNull()).orderBy(F.desc("rem"), "cell"))
-        d = (d.withColumn("rem", remainder).withColumn("left", F.col("target") - F.sum("floor").over(free))
-             .withColumn("rank", rank))
-        d = d.withColumn("drawn", F.coalesce("fixed", F.col("floor") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)))
-        rows = d.select("cell", "pool", "fixed", "drawn").collect()  # one row per stratum
-        full = [r for r in rows if r.fixed is None and r.drawn >= r.pool]
-        open_ = [r for r in rows if r.fixed is None]
-        if not full or len(full) == len(open_):
-            return cells.sparkSession.createDataFrame([(r.cell, r.pool, r.drawn) for r in rows], "cell string, pool bigint, drawn bigint")
-        full_names = {r.cell for r in full}
-        spark_cells = cells.sparkSession.createDataFrame(
-            [(r.cell, r.pool, r.pool if r.cell in full_names else r.fixed) for r in rows], "cell string, pool bigint, fixed bigint")
+        sums = current.agg(F.sum("pool").alias("all"), F.coalesce(F.sum("fixed"), F.lit(0)).alias("fixed"),
+                           F.coalesce(F.sum(F.when(open_, F.col("pool"))), F.lit(0)).alias("free")).first()
+        target = min(size, sums["all"] or 0) - sums["fixed"]
+        product = F.lit(target).cast("decimal(38,0)") * F.col("pool").cast("decimal(19,0)")
+        remainder = product % F.lit(max(sums["free"], 1)).cast("decimal(19,0)")
+        floor = ((product - remainder) / F.lit(max(sums["free"], 1)).cast("decimal(19,0)")).cast("bigint")
+        split = current.withColumn("rem", F.when(open_, remainder)).withColumn("floor", F.when(open_, floor))
+        left = target - (split.agg(F.sum("floor")).first()[0] or 0)
+        more = split.filter(open_).orderBy(F.desc("rem"), "cell").limit(left).select("cell", F.lit(1).alias("more"))
+        drawn = F.coalesce("fixed", F.col("floor") + F.coalesce("more", F.lit(0)))
+        split = staged(split.join(more, "cell", "left").select("cell", "pool", "fixed", drawn.alias("drawn")), "strata")
+        full = open_ & (F.col("drawn") >= F.col("pool"))
+        state = split.agg(F.count_if(full).alias("full"), F.count_if(open_).alias("open")).first()
+        if state.full in (0, state.open):
+            return split.select("cell", "pool", "drawn")
+        current = staged(split.select("cell", "pool", F.when(full, F.col("pool")).otherwise(F.col("fixed")).alias("fixed")), "strata")
 
 
 def stratified_sample(pool: DataFrame, cell: Column, key: str, size: int, seed=v.SAMPLE_SEED) -> DataFrame:
