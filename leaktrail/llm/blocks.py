@@ -16,8 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leaktrail.llm.staging import stage
+
 #: Bytes of text per block.
 BLOCK_BYTES = 4_000_000
+#: A row repeated more often than this is dealt over all blocks.
+HOT_COPIES = 1_000
 #: Hashes that one route should take up.
 ROUTE_HASHES = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -75,11 +79,20 @@ def byte_values(data: np.ndarray) -> np.ndarray:
 
 
 def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """(``_id``, ``_text``, ``_blk``) of every row, and the bytes of all texts. Other columns are left behind."""
-    total = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first().b or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).cast("int")
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), block.alias("_blk")), total
+    """(``_id``, ``_text``, ``_blk``) of every row, and the bytes of all texts. Other columns are left behind.
+
+    Rows go by id and text. Where one row repeats more than ``HOT_COPIES`` times, rows go by their position too, and are
+    written once so that every step sees the same blocks; no block then grows with the copies of a row.
+    """
+    keys = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n"))
+    found = keys.groupBy("i", "t", "n").count().agg(F.sum(F.col("n") * F.col("count")).alias("bytes"), F.max("count").alias("copies")).first()
+    total = found.bytes or 0
+    blocks = F.lit(max(1, math.ceil(total / block_bytes)))
+    rows, by = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id", "_text"]
+    if (found.copies or 0) <= HOT_COPIES:
+        return rows.withColumn("_blk", F.pmod(F.xxhash64(*by), blocks).cast("int")), total
+    spread = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_blk", F.pmod(F.xxhash64(*by, "_at"), blocks).cast("int"))
+    return stage(spread.drop("_at"), "dealt")[0], total
 
 
 def routes_for(hashes: float, route_hashes: int = ROUTE_HASHES) -> int:

@@ -14,15 +14,20 @@ very many different stretches is dealt out by window instead of in one piece.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaktrail.llm.blocks import (BLOCK_BYTES, ROUTE_HASHES, Windows, byte_values, cover, cut_by_route, deal, found_in, joined, mix, packed,
+from leaktrail.llm.blocks import (Windows, byte_values, cover, cut_by_route, deal, found_in, joined, mix, packed,
                                   routes_for, spans_of)
 
 LENGTH = 200
+#: Bytes of text per block; a block holds some twenty arrays of eight bytes per byte.
+BLOCK_BYTES = 1_200_000
+ROUTE_HASHES = 250_000
 #: Bytes of the strings whose smallest hash names a window.
 NAME = 64
 #: A name with more different stretches than this is dealt out by window.
@@ -157,18 +162,50 @@ def _send_stretches(rows: pd.DataFrame, answers: pd.DataFrame, bits: int, length
     return packed(out, _SENT)
 
 
-def maximal_repeats(pieces: list[bytes], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats of at least ``length`` bytes: (bytes, all occurrences as (piece, offset)).
+class Repeats(NamedTuple):
+    """Maximal repeats: ``length[k]`` bytes at the sorted suffixes ``first[k]`` to ``last[k]`` - 1, each a place (piece, offset)."""
+
+    length: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    piece: np.ndarray
+    offset: np.ndarray
+
+    def groups(self) -> list[tuple[int, list[tuple[int, int]]]]:
+        """Every repeat with all its occurrences."""
+        return [(int(n), list(zip(self.piece[a:b].tolist(), self.offset[a:b].tolist()))) for n, a, b in zip(self.length, self.first, self.last)]
+
+    def ranges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, low, high): the places as merged ranges. Of the intervals around a suffix the innermost is the longest."""
+        longest = np.zeros(len(self.piece), np.int64)
+        for k in np.argsort(self.length, kind="stable"):
+            longest[self.first[k]:self.last[k]] = self.length[k]
+        at = np.flatnonzero(longest)
+        at = at[np.lexsort((self.offset[at], self.piece[at]))]
+        piece, low = self.piece[at], self.offset[at]
+        high = low + longest[at]
+        if not len(at):
+            return piece, low, high
+        room = int(high.max()) + 1
+        upto = np.maximum.accumulate(piece * room + high)
+        new = np.r_[True, piece[1:] * room + low[1:] > upto[:-1]]
+        ends = np.r_[np.flatnonzero(new)[1:], len(at)] - 1
+        return piece[new], low[new], upto[ends] - piece[ends] * room
+
+
+def maximal_repeats(pieces: list[bytes], length: int = LENGTH) -> Repeats:
+    """Maximal repeats of at least ``length`` bytes in ``pieces``.
 
     Suffixes are taken up where their first ``length`` bytes occur twice. A repeat is maximal if longer ones have fewer
     occurrences and the bytes before its occurrences differ; the start of a piece differs from everything.
     """
+    none = np.zeros(0, np.int64)
     data = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces], np.int64)
     ends = np.cumsum(sizes)
     n = np.maximum(sizes - length + 1, 0)
     if not n.sum():
-        return []
+        return Repeats(none, none, none, none, none)
     piece = np.repeat(np.arange(len(pieces)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = (ends - sizes)[piece] + offset
@@ -177,7 +214,7 @@ def maximal_repeats(pieces: list[bytes], length: int = LENGTH) -> list[tuple[int
     same = keys[order][1:] == keys[order][:-1]
     take = order[np.r_[same, False] | np.r_[False, same]]
     if not len(take):
-        return []
+        return Repeats(none, none, none, none, none)
     keys, piece, offset, start = keys[take], piece[take], offset[take], start[take]
     rest = ends[piece] - start - length
     width = -(-int(rest.max()) // 8) if rest.max() else 0
@@ -198,7 +235,8 @@ def maximal_repeats(pieces: list[bytes], length: int = LENGTH) -> list[tuple[int
         common = common + np.where(word < width, (64 - _bit_length(x)) // 8, 0)
     common = np.minimum(np.minimum(common, rest[1:]), rest[:-1])
     lcp = np.where(keys[1:] == keys[:-1], length + common, 0)
-    return [(size, [(int(piece[k]), int(offset[k])) for k in range(a, b)]) for size, a, b in _intervals(lcp.tolist(), left.tolist())]
+    found = np.array(_intervals(lcp.tolist(), left.tolist()), np.int64).reshape(-1, 3)
+    return Repeats(found[:, 0], found[:, 1], found[:, 2], piece, offset)
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -244,10 +282,8 @@ def _answer_stretches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
         sizes = joined(shipped["sizes"], "<u4").astype(np.int64)
         body, ends = b"".join(shipped["body"]), np.cumsum(sizes)
         pieces = [body[e - n:e] for e, n in zip(ends.tolist(), sizes.tolist())]
-        spans = [(p, at, at + size) for size, places in maximal_repeats(pieces, length) for p, at in places]
-        if spans:
-            which, low, high = np.array(sorted(spans), np.int64).T
-            out += _ranges(block[which], contents[which], low, high)
+        which, low, high = maximal_repeats(pieces, length).ranges()
+        out += _ranges(block[which], contents[which], low, high)
     dealt = rows[rows["kind"] == _WINDOW]
     if len(dealt):
         keys, contents = joined(dealt["keys"], "<u8"), joined(dealt["contents"], "<u8")
@@ -306,7 +342,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = by_block.applyInPandas(lambda rows: _send_names(rows, bits, length, name), "route long, _blk int, names binary, contents binary, twice binary")
     judged = names.groupBy("route").applyInPandas(lambda rows: _answer_names(rows, hot), "_blk int, contents binary, codes binary")
     sent = by_block.cogroup(judged.groupBy("_blk")).applyInPandas(
-        lambda rows, answers: _send_stretches(rows, answers, bits + 4, length, name),
+        lambda rows, answers: _send_stretches(rows, answers, bits + 5, length, name),
         "route long, _blk int, kind int, keys binary, contents binary, sizes binary, body binary")
     ranges = sent.groupBy("route").applyInPandas(lambda rows: _answer_stretches(rows, length), "_blk int, contents binary, lows binary, highs binary")
     return by_block.cogroup(ranges.groupBy("_blk")).applyInPandas(
