@@ -114,6 +114,17 @@ def packed(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns)
 
 
+def by_block_rows(block: np.ndarray, blobs, columns: list[str]) -> pd.DataFrame:
+    """One row per block: the block and ``blobs`` of the positions that belong to it."""
+    order = np.argsort(block, kind="stable")
+    ends = np.flatnonzero(np.r_[block[order][1:] != block[order][:-1], True]) + 1 if len(order) else []
+    rows, a = [], 0
+    for b in ends:
+        rows.append((int(block[order[a]]), *blobs(order[a:b])))
+        a = b
+    return packed(rows, columns)
+
+
 def joined(blobs: pd.Series, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype)
 

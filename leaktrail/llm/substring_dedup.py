@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaktrail.llm.blocks import (BLOCK_BYTES, ROUTE_HASHES, Windows, byte_values, cover, cut_by_route, deal, found_in, joined, packed,
+from leaktrail.llm.blocks import (BLOCK_BYTES, ROUTE_HASHES, Windows, by_block_rows, byte_values, cover, cut_by_route, deal, found_in, joined, packed,
                                   routes_for)
 
 WINDOW = 13
@@ -80,18 +80,7 @@ def _answer_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     keys, twice, block = keys[order], twice[order], block[order]
     again = keys[1:] == keys[:-1]
     shared = twice | np.r_[again, False] | np.r_[False, again]
-    return _by_block(block[shared], lambda k: (_six(keys[shared][k]),), ["_blk", "keys"])
-
-
-def _by_block(block: np.ndarray, blobs, columns: list[str]) -> pd.DataFrame:
-    """One row per block: the block and ``blobs`` of the positions that belong to it."""
-    order = np.argsort(block, kind="stable")
-    ends = np.flatnonzero(np.r_[block[order][1:] != block[order][:-1], True]) + 1 if len(order) else []
-    rows, a = [], 0
-    for b in ends:
-        rows.append((int(block[order[a]]), *blobs(order[a:b])))
-        a = b
-    return packed(rows, columns)
+    return by_block_rows(block[shared], lambda k: (_six(keys[shared][k]),), ["_blk", "keys"])
 
 
 def _send_windows(rows: pd.DataFrame, answers: pd.DataFrame, bits: int) -> pd.DataFrame:
@@ -131,7 +120,7 @@ def _answer_windows(rows: pd.DataFrame) -> pd.DataFrame:
     least = np.repeat(low[first], np.diff(np.r_[first, len(keys)]))
     take = least < high
     keys, least, block = keys[take], least[take], block[take]
-    return _by_block(block, lambda k: (keys[k].tobytes(), least[k].tobytes()), ["_blk", "keys", "low"])
+    return by_block_rows(block, lambda k: (keys[k].tobytes(), least[k].tobytes()), ["_blk", "keys", "low"])
 
 
 def _remove(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaktrail.llm.blocks import (Windows, byte_values, cover, cut_by_route, deal, found_in, joined, mix, packed,
+from leaktrail.llm.blocks import (Windows, by_block_rows, byte_values, cover, cut_by_route, deal, found_in, joined, mix, packed,
                                   routes_for, spans_of)
 
 LENGTH = 200
@@ -60,7 +60,7 @@ class Stretches:
         for part, at in zip(self.parts, self.offsets[:-1]):
             if len(part) >= length:
                 pieces.append(np.arange(at, at + len(part) - length + 1))
-        starts = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
+        starts = self.starts = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
         self.start = self.end = np.zeros(0, np.int64)
         self.name = self.content = np.zeros(0, np.uint64)
         if not len(starts):
@@ -110,17 +110,7 @@ def _answer_names(rows: pd.DataFrame, hot: int) -> pd.DataFrame:
     code[new_class & (classes[group] > hot)] |= _DEAL
     take = code > 0
     contents, code, block = contents[take], code[take], block[take]
-    return _by_block(block, lambda k: (contents[k].tobytes(), code[k].tobytes()), ["_blk", "contents", "codes"])
-
-
-def _by_block(block: np.ndarray, blobs, columns: list[str]) -> pd.DataFrame:
-    order = np.argsort(block, kind="stable")
-    cuts = np.flatnonzero(np.r_[block[order][1:] != block[order][:-1], True]) + 1 if len(order) else []
-    out, a = [], 0
-    for b in cuts:
-        out.append((int(block[order[a]]), *blobs(order[a:b])))
-        a = b
-    return packed(out, columns)
+    return by_block_rows(block, lambda k: (contents[k].tobytes(), code[k].tobytes()), ["_blk", "contents", "codes"])
 
 
 _SENT = ["route", "_blk", "kind", "keys", "contents", "sizes", "body"]
@@ -152,13 +142,10 @@ def _send_stretches(rows: pd.DataFrame, answers: pd.DataFrame, bits: int, length
     dealt = ship[code[ship] & _DEAL > 0]
     if len(dealt):
         n = (s.end - s.start)[dealt] - length + 1
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(s.start[dealt], n) + offset
-        keys, owner = s.windows.at(start, start + length), np.repeat(s.content[dealt], n)
-        order = np.argsort(keys, kind="stable")
-        keys, owner, offset = keys[order], owner[order], offset[order]
+        start = np.repeat(s.start[dealt], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        keys, n = np.unique(s.windows.at(start, start + length), return_counts=True)  # each window once per block
         for route, p in cut_by_route(keys, bits):
-            out.append((route, block, _WINDOW, keys[p].tobytes(), owner[p].tobytes(), offset[p].astype("<u4").tobytes(), b""))
+            out.append((route, block, _WINDOW, keys[p].tobytes(), (n[p] > 1).tobytes(), b"", b""))
     return packed(out, _SENT)
 
 
@@ -270,11 +257,11 @@ def _intervals(lcp: list[int], left: list[int]) -> list[tuple[int, int, int]]:
 
 
 def _answer_stretches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """To every block: contents with the ranges of them that are repeats (0 to 0: all of it)."""
-    columns, out = ["_blk", "contents", "lows", "highs"], []
+    """To every block: contents with the ranges of them that are repeats (0 to 0: all of it), and windows that are."""
+    columns, out = ["_blk", "kind", "contents", "lows", "highs"], []
     for block, contents in rows.loc[rows["kind"] == _BACK, ["_blk", "contents"]].itertuples(index=False):
         empty = bytes(len(contents) // 2)
-        out.append((int(block), contents, empty, empty))
+        out.append((int(block), _STRETCH, contents, empty, empty))
     shipped = rows[rows["kind"] == _STRETCH].sort_values("_blk")
     if len(shipped):
         contents = joined(shipped["contents"], "<u8")
@@ -283,28 +270,26 @@ def _answer_stretches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
         body, ends = b"".join(shipped["body"]), np.cumsum(sizes)
         pieces = [body[e - n:e] for e, n in zip(ends.tolist(), sizes.tolist())]
         which, low, high = maximal_repeats(pieces, length).ranges()
-        out += _ranges(block[which], contents[which], low, high)
+        where, which = block[which], contents[which]
+        out += by_block_rows(where, lambda k: (_STRETCH, which[k].tobytes(), low[k].astype("<u4").tobytes(), high[k].astype("<u4").tobytes()),
+                         columns).itertuples(index=False, name=None)
     dealt = rows[rows["kind"] == _WINDOW]
     if len(dealt):
-        keys, contents = joined(dealt["keys"], "<u8"), joined(dealt["contents"], "<u8")
-        offset = joined(dealt["sizes"], "<u4").astype(np.int64)
+        keys, twice = joined(dealt["keys"], "<u8"), joined(dealt["contents"], "?")
         block = np.repeat(dealt["_blk"].to_numpy(), dealt["keys"].map(len).to_numpy() // 8)
         order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        take = order[np.r_[same, False] | np.r_[False, same]]
-        if len(take):
-            out += _ranges(block[take], contents[take], offset[take], offset[take] + length)
+        keys, twice, block = keys[order], twice[order], block[order]
+        same = keys[1:] == keys[:-1]
+        take = twice | np.r_[same, False] | np.r_[False, same]
+        keys, block = keys[take], block[take]
+        out += by_block_rows(block, lambda k: (_WINDOW, keys[k].tobytes(), b"", b""), columns).itertuples(index=False, name=None)
     return packed(out, columns)
 
 
-def _ranges(block: np.ndarray, contents: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple]:
-    frame = _by_block(block, lambda k: (contents[k].tobytes(), low[k].astype("<u4").tobytes(), high[k].astype("<u4").tobytes()),
-                      ["_blk", "contents", "lows", "highs"])
-    return list(frame.itertuples(index=False, name=None))
-
-
 def _remove(rows: pd.DataFrame, answers: pd.DataFrame, length: int, name: int) -> pd.DataFrame:
     s = Stretches(rows["_text"].tolist(), length, name)
+    repeated = np.sort(joined(answers.loc[answers["kind"] == _WINDOW, "contents"], "<u8"))
+    answers = answers[answers["kind"] == _STRETCH]
     contents, low, high = joined(answers["contents"], "<u8"), joined(answers["lows"], "<u4").astype(np.int64), joined(answers["highs"], "<u4").astype(np.int64)
     order = np.argsort(s.content, kind="stable")
     a, b = np.searchsorted(s.content[order], contents, "left"), np.searchsorted(s.content[order], contents, "right")
@@ -313,6 +298,9 @@ def _remove(rows: pd.DataFrame, answers: pd.DataFrame, length: int, name: int) -
     at = order[k]
     low, high = np.repeat(low, n), np.repeat(high, n)
     start, end = s.start[at] + low, np.where(high == 0, s.end[at], s.start[at] + high)
+    if len(repeated):
+        windows = s.starts[found_in(repeated, s.windows.at(s.starts, s.starts + length))[0]]
+        start, end = np.r_[start, windows], np.r_[end, windows + length]
     gone = cover(len(s.data), start, end)
     out = []
     for part, x, y in zip(s.parts, s.offsets[:-1], s.offsets[1:]):
@@ -344,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = by_block.cogroup(judged.groupBy("_blk")).applyInPandas(
         lambda rows, answers: _send_stretches(rows, answers, bits + 5, length, name),
         "route long, _blk int, kind int, keys binary, contents binary, sizes binary, body binary")
-    ranges = sent.groupBy("route").applyInPandas(lambda rows: _answer_stretches(rows, length), "_blk int, contents binary, lows binary, highs binary")
+    ranges = sent.groupBy("route").applyInPandas(lambda rows: _answer_stretches(rows, length), "_blk int, kind int, contents binary, lows binary, highs binary")
     return by_block.cogroup(ranges.groupBy("_blk")).applyInPandas(
         lambda rows, answers: _remove(rows, answers, length, name),
         f"_id {id_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("_id", id_col)
