@@ -7,7 +7,6 @@ Every stage is one operator of ``leaktrail.llm`` over all rows its predecessor k
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,16 +33,11 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Repeated strings of 200 bytes go from the texts, with characters they cut; a document left without text goes."""
     importable(spark)
 
-    @F.arrow_udf("string")
-    def whole_characters(column: pa.Array) -> pa.Array:
-        return pa.array([b.as_py().decode("utf-8", "ignore") for b in column], pa.string())
-
     rest = [c for c in docs.columns if c != "text"]
     types = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes if c != "text")
     carried = docs.select(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("_rest"), "text")
-    left = suffix_dedup.remove_repeats(carried, id_col="_rest").where(F.octet_length("kept") > 0)
-    left = left.select(F.from_json("_rest", types).alias("_rest"), whole_characters("kept").alias("text"))
-    left = left.where(F.length("text") > 0).select("_rest.*", "text")
+    left = suffix_dedup.remove_repeats(carried, id_col="_rest", as_text=True).where(F.length("kept") > 0)
+    left = left.select(F.from_json("_rest", types).alias("_rest"), F.col("kept").alias("text")).select("_rest.*", "text")
     return left.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 

@@ -26,7 +26,7 @@ from leaktrail.llm.blocks import (Windows, by_block_rows, byte_values, cover, cu
 
 LENGTH = 200
 #: Bytes of text per block; a block holds some twenty arrays of eight bytes per byte.
-BLOCK_BYTES = 1_200_000
+BLOCK_BYTES = 800_000
 ROUTE_HASHES = 250_000
 #: Bytes of the strings whose smallest hash names a window.
 NAME = 64
@@ -286,7 +286,7 @@ def _answer_stretches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return packed(out, columns)
 
 
-def _remove(rows: pd.DataFrame, answers: pd.DataFrame, length: int, name: int) -> pd.DataFrame:
+def _remove(rows: pd.DataFrame, answers: pd.DataFrame, length: int, name: int, as_text: bool) -> pd.DataFrame:
     s = Stretches(rows["_text"].tolist(), length, name)
     repeated = np.sort(joined(answers.loc[answers["kind"] == _WINDOW, "contents"], "<u8"))
     answers = answers[answers["kind"] == _STRETCH]
@@ -311,14 +311,18 @@ def _remove(rows: pd.DataFrame, answers: pd.DataFrame, length: int, name: int) -
         else:
             out.append((len(part), [], part))
     done = pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
+    if as_text:
+        done["kept"] = [b.decode("utf-8", "ignore") for b in done["kept"]]
     done.insert(0, "_id", rows["_id"].array)
     return done
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, name: int = NAME,
-                   hot: int = HOT_STRETCHES, block_bytes: int = BLOCK_BYTES, route_hashes: int = ROUTE_HASHES) -> DataFrame:
+                   hot: int = HOT_STRETCHES, block_bytes: int = BLOCK_BYTES, route_hashes: int = ROUTE_HASHES, as_text: bool = False) -> DataFrame:
     """(``id_col``, n_bytes, spans, kept): per row of ``docs`` the removed runs of bytes and the bytes left.
 
+    With ``as_text``, ``kept`` is a string: the characters left, without those that a removed run cut.
+
     A byte goes if it lies in a string of ``length`` bytes that also starts at another place, in the same row or another;
     all occurrences go, and strings are judged on the input. Null and empty texts have no bytes and no spans. A repeated
     row is another place, so its text repeats. Ids are only carried along; other columns are not read. An empty table
@@ -334,8 +338,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "route long, _blk int, kind int, keys binary, contents binary, sizes binary, body binary")
     ranges = sent.groupBy("route").applyInPandas(lambda rows: _answer_stretches(rows, length), "_blk int, kind int, contents binary, lows binary, highs binary")
     return by_block.cogroup(ranges.groupBy("_blk")).applyInPandas(
-        lambda rows, answers: _remove(rows, answers, length, name),
-        f"_id {id_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("_id", id_col)
+        lambda rows, answers: _remove(rows, answers, length, name, as_text),
+        f"_id {id_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}").withColumnRenamed("_id", id_col)
 
 
 def n_removed(spans: Column | str) -> Column:
