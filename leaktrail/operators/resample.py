@@ -100,16 +100,20 @@ def difference_interval(df: DataFrame, ka: str, na: str, kb: str, nb: str, resam
 def cluster_replicates(clusters: DataFrame, key: str, total: str, count: str, resamples: int, seed: int) -> DataFrame:
     """One row per replicate: the pooled mean of n clusters drawn with replacement.
 
-    A draw is a slice of SHA-256, so any engine can repeat it. Work is
-    ``resamples x clusters`` rows that never leave the executors: each cluster
-    position is repeated per replicate, looked up by id (in a broadcast when the
-    clusters are few) and summed map-side, so a row per replicate and task moves.
+    A draw is eight hex digits of SHA-256, eight draws to a digest, so any engine can
+    repeat it. Work is ``resamples x clusters`` rows that never leave the executors:
+    each is looked up by id (in a broadcast when the clusters are few) and summed
+    map-side, so a row per replicate and task moves.
     """
     n = clusters.count()  # one number; the draws themselves stay on the executors
     ids = ordered_ids(clusters.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)), ["_h", key], hash_bucket("_h", n))
-    draws = ids.select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
-    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), "rep", "slot"), 256)
-    pick = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(max(n, 1)))
+    groups = -(-max(n, 1) // 8)
+    spark = clusters.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, resamples * groups // 200_000)
+    drawn = spark.range(0, resamples * groups, 1, parts).select(F.expr(f"id div {groups}").alias("rep"), (F.col("id") % groups).alias("g"))
+    drawn = drawn.withColumn("digest", F.sha2(F.concat_ws(":", F.lit(str(seed)), "rep", "g"), 256))
+    draws = drawn.select("rep", "digest", "g", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).where(F.col("g") * 8 + F.col("j") < n)
+    pick = F.pmod(F.conv(F.substring("digest", F.col("j") * 8 + 1, F.lit(8)), 16, 10).cast("bigint"), F.lit(max(n, 1)))
     values = maybe_broadcast(ids.select("id", F.col(total).alias("_t"), F.col(count).alias("_c")))
     return (draws.select("rep", pick.alias("id")).join(values, "id").groupBy("rep")
             .agg((F.sum("_t").cast("double") / F.sum("_c")).alias("stat")))

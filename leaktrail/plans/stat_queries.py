@@ -259,7 +259,7 @@ def difference_interval(spark, sf_dir):
 REPS = v.RESAMPLES
 _CLUSTER_SQL = f"""clusters AS (SELECT user_id, sum(d - b) AS total, count(*) AS cnt, sha256(user_id || '') AS h FROM pairs GROUP BY user_id),
 ids AS (SELECT *, row_number() OVER (ORDER BY h, user_id) - 1 AS id, count(*) OVER () AS n FROM clusters),
-draws AS (SELECT r.rep, ('0x' || substr(sha256('42:' || r.rep || ':' || i.id), 1, 8))::BIGINT % i.n AS pick FROM ids i, (SELECT unnest(range(0, {REPS})) AS rep) r),
+draws AS (SELECT r.rep, ('0x' || substr(sha256('42:' || r.rep || ':' || (i.id // 8)), CAST(1 + 8 * (i.id % 8) AS BIGINT), 8))::BIGINT % i.n AS pick FROM ids i, (SELECT unnest(range(0, {REPS})) AS rep) r),
 reps AS (SELECT rep, CAST(sum(total) AS DOUBLE) / sum(cnt) AS stat FROM draws JOIN ids ON pick = id GROUP BY rep)"""
 
 
