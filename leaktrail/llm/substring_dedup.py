@@ -12,7 +12,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from leaktrail.llm.blocks import (BLOCK_BYTES, ROUTE_HASHES, Windows, by_block_rows, byte_values, cover, cut_by_route, deal, found_in, joined, packed,
                                   routes_for)
