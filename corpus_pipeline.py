@@ -14,6 +14,8 @@ from leaktrail.llm import byte_bpe, mixing, quality, simhash, suffix_dedup
 from leaktrail.llm.staging import discard, stage
 from leaktrail.session import importable
 
+#: Pre-tokens an encoding worker remembers; workers of earlier stages still hold memory then.
+KEPT_WORDS = 250_000
 #: Fingerprints, suffix arrays and token ids have no SQL form.
 ORACLE_SQL = None
 
@@ -49,7 +51,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (packed, 32 bits), with digests of the ids and of what they decode to."""
     importable(spark)
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, KEPT_WORDS
     ids = docs.select("doc_id", "source", byte_bpe.encode(F.col("text"), *ranks).alias("ids"))
     both = ids.select("doc_id", "source", "ids", byte_bpe.decode(F.col("ids"), *ranks).alias("decoded"))
     return both.select("doc_id", "source", "ids", byte_bpe.n_ids("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),

@@ -37,7 +37,7 @@ class _Pieces(dict):
         if ids is None:
             ids = self.codec.encode_bytes(piece.encode("utf-8"))
         if len(piece) <= SHARED_BYTES:
-            if len(self) >= CACHE // 2:
+            if len(self) >= self.codec.keep // 2:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
@@ -47,7 +47,8 @@ class _Pieces(dict):
 class PrefixCodec:
     """Encoder and decoder for a rank file (base64 token, rank per line)."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, keep: int = CACHE):
+        self.keep = keep
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
         self.token = {rank: token for token, rank in self.ranks.items()}
@@ -135,7 +136,7 @@ class PrefixCodec:
             self.extend(data, last)
             return b"".join(map(self.packed.__getitem__, self.walk(data, last)))
         stored, suffixes, boundary = self.last, self.suffixes, self.boundary
-        if len(stored) > PREFIXES:
+        if len(stored) > self.keep * PREFIXES // CACHE:
             stored.clear()
         known = len(data)
         while known and data[:known] not in stored:
@@ -205,33 +206,34 @@ class EditableEncoding:
         return self.codec.walk(self.data, self.last)
 
 
-_CODECS: dict[tuple[str, str], PrefixCodec] = {}
+_CODECS: dict[tuple[str, str, int], PrefixCodec] = {}
 
 
-def codec(path: str, pattern: str) -> PrefixCodec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = PrefixCodec(path, pattern)
-    return _CODECS[path, pattern]
+def codec(path: str, pattern: str, keep: int = CACHE) -> PrefixCodec:
+    if (path, pattern, keep) not in _CODECS:
+        _CODECS[path, pattern, keep] = PrefixCodec(path, pattern, keep)
+    return _CODECS[path, pattern, keep]
 
 
-def encode(text: Column | str, path: str, pattern: str) -> Column:
+def encode(text: Column | str, path: str, pattern: str, keep: int = CACHE) -> Column:
     """Token ids of ``text`` as binary, little-endian unsigned 32-bit integers; null and empty texts give no ids.
 
-    Rows are independent: repeated rows give equal ids, an empty table none.
+    Rows are independent: repeated rows give equal ids, an empty table none. ``keep`` bounds the pre-tokens that a worker
+    remembers; fewer take less memory and more time and never change a result.
     """
     @F.arrow_udf("binary")
     def encoded(column: pa.Array) -> pa.Array:
-        c = codec(path, pattern)
+        c = codec(path, pattern, keep)
         return pa.array([c.encode(t.as_py() or "") for t in column], pa.binary())
 
     return encoded(text)
 
 
-def decode(ids: Column | str, path: str, pattern: str) -> Column:
+def decode(ids: Column | str, path: str, pattern: str, keep: int = CACHE) -> Column:
     """Bytes of packed ``ids``; null ids give empty bytes, an unknown id fails the task."""
     @F.arrow_udf("binary")
     def decoded(column: pa.Array) -> pa.Array:
-        c = codec(path, pattern)
+        c = codec(path, pattern, keep)
         return pa.array([c.decode(i.as_py() or b"") for i in column], pa.binary())
 
     return decoded(ids)
