@@ -175,36 +175,36 @@ def run_monitor_stream(spark, sf_dir):
 @query("stream_windows", "STR-8", """SELECT start, "end", event_type, n, n_leaks FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS "end", event_type, count(*) AS n, count(*) FILTER (value > 40) AS n_leaks
   FROM events GROUP BY ALL) WHERE "end" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_windows(spark, sf_dir):
-    """Daily windows; a window is emitted once the watermark (one hour behind) has passed its end."""
-    from leaktrail.streaming import guard as g
+    """Daily windows; a window is emitted once the watermark (one hour behind) has passed its end, late rows are added to it."""
     from leaktrail.streaming import monitor as sm
 
-    w = sm.window_counts(_event_stream(spark, sf_dir), "ts", "1 day", None, "1 hour", F.col("value") > 40, ["event_type"])
-    folder = _folder(spark, "windows")
-    return g.run_once(_plain_times(w), f"{folder}/out", f"{folder}/checkpoint")
+    leak, keys = F.col("value") > 40, ["event_type"]
+    closed, _, late, horizon = sm.run_with_late(
+        _event_stream(spark, sf_dir), "ts", "1 hour", lambda e: sm.window_counts(e, "ts", "1 day", None, "1 hour", leak, keys), _folder(spark, "windows"))
+    return _plain_times(sm.late_windows(closed, late, "ts", "1 day", None, horizon, leak, keys))
 
 
 @query("stream_sessions", "STR-8", """WITH s AS (SELECT user_id, ts, sum(CASE WHEN ts > prev + INTERVAL 1 HOUR OR prev IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid
   FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events))
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_sessions(spark, sf_dir):
-    from leaktrail.streaming import guard as g
+    """Sessions with a pause of one hour; users with late rows are cut anew from all their rows."""
     from leaktrail.streaming import monitor as sm
 
-    s = sm.sessions(_event_stream(spark, sf_dir), "ts", "1 hour", "10 minutes", "user_id")
-    folder = _folder(spark, "sessions")
-    return g.run_once(_plain_times(s), f"{folder}/out", f"{folder}/checkpoint")
+    closed, on_time, late, horizon = sm.run_with_late(
+        _event_stream(spark, sf_dir), "ts", "10 minutes", lambda e: sm.sessions(e, "ts", "1 hour", "10 minutes", "user_id"), _folder(spark, "sessions"))
+    return _plain_times(sm.late_sessions(closed, on_time, late, "ts", "1 hour", horizon, "user_id"))
 
 
 @query("resumed_log", "STR-7, SRC-4", """SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1""")
 def resumed_log(spark, sf_dir):
-    """A stream that delivers every row twice is stored once per id."""
-    from leaktrail.streaming import guard as g
+    """A stream that delivers every row twice is stored once per id; late rows are stored where their id is new."""
+    from leaktrail.streaming import monitor as sm
 
     e = _event_stream(spark, sf_dir).select("event_id", "user_id", "ts")
-    twice = e.unionByName(e).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
-    folder = _folder(spark, "resume")
-    return g.run_once(twice, f"{folder}/out", f"{folder}/checkpoint").select("event_id", "user_id")
+    stored, _, late, _ = sm.run_with_late(
+        e.unionByName(e), "ts", "1 day", lambda x: x.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"]), _folder(spark, "resume"))
+    return sm.late_ids(stored, late, "event_id", "ts").select("event_id", "user_id")
 
 
 @query("failure_stops", "STR-7, WIN-5", """SELECT user_id, min(event_id) AS stop_at FROM (SELECT event_id, user_id, pos - coalesce(max(CASE WHEN event_type <> 'error' THEN pos END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS n FROM (

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaktrail.operators import monitor as m
+from leaktrail.streaming.guard import run_once
 
 
 def monitor_stream(traces: DataFrame, run: str, order: str, bucket: Column, path: str, checkpoint: str, token_budget: int = 0,
@@ -63,7 +66,7 @@ def failure_stop(attempts: DataFrame, run: str, order: str, bucket: Column, limi
 
 
 def window_counts(events: DataFrame, ts: str, length: str, slide: str | None, delay: str, leak: Column, keys: list[str]) -> DataFrame:
-    """Calls and leaks per event-time window; late rows beyond the watermark are not counted."""
+    """Calls and leaks per event-time window; ``run_with_late`` keeps the rows behind the watermark for ``late_windows``."""
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
     return (events.withWatermark(ts, delay).groupBy(w.alias("w"), *keys)
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(leak).alias("n_leaks"))
@@ -71,7 +74,7 @@ def window_counts(events: DataFrame, ts: str, length: str, slide: str | None, de
 
 
 def sessions(events: DataFrame, ts: str, gap: str, delay: str, key: str) -> DataFrame:
-    """Sessions of a trace, closed by a pause of ``gap``."""
+    """Sessions of a trace, closed by a pause of ``gap``; ``late_sessions`` adds the rows behind the watermark."""
     return (events.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), key)
             .agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"))
 
@@ -80,3 +83,69 @@ def split_late(batch: DataFrame, ts: str, horizon) -> tuple[DataFrame, DataFrame
     """(on time, late) rows of a micro-batch against the horizon of the batches before it."""
     late = F.col(ts) < F.lit(horizon) if horizon is not None else F.lit(False)
     return batch.filter(~late), batch.filter(late)
+
+
+def _done(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def run_with_late(rows: DataFrame, ts: str, delay: str, build: Callable[[DataFrame], DataFrame], path: str) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
+    """Run the stateful query ``build`` over a stream and keep what its watermark would drop.
+
+    Each micro-batch is split at the horizon (latest time of the batches before it, less
+    ``delay``): rows behind it are stored in a late table, the others are handed to the
+    stateful query as one micro-batch of its own, so its watermark is never ahead of the
+    horizon. Batches are stored under their number and written once, so a replay feeds
+    nothing twice. Gives (output, rows on time, late rows, final horizon).
+    """
+    spark = rows.sparkSession
+    feed = spark.readStream.schema(rows.schema).parquet(f"{path}/on_time/batch=*")
+
+    def times(batch) -> DataFrame:
+        return spark.read.schema("latest timestamp").parquet(f"{path}/latest/batch={batch}")
+
+    def horizon(batch) -> int | None:
+        return times(batch).agg(F.unix_micros(F.max("latest") - F.expr(f"INTERVAL {delay}"))).first()[0]
+
+    def step(df: DataFrame, batch: int) -> None:
+        before = horizon(batch - 1) if batch > 0 else None
+        # a row at the watermark is dropped too, so it counts as late
+        on_time, late = split_late(df, ts, F.timestamp_micros(F.lit(before + 1)) if before is not None else None)
+        so_far = df.agg(F.max(ts).alias("latest"))
+        if batch > 0:
+            so_far = so_far.unionByName(times(batch - 1)).agg(F.max("latest").alias("latest"))
+        for name, part in (("late", late), ("latest", so_far), ("on_time", on_time)):
+            if not _done(spark, f"{path}/{name}/batch={batch}"):
+                part.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+        run_once(build(feed), f"{path}/out", f"{path}/checkpoint")
+
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/landing").trigger(availableNow=True).start().awaitTermination()
+
+    def stored(name):
+        return spark.read.schema(rows.schema).parquet(f"{path}/{name}/batch=*")
+
+    out = spark.read.schema(build(feed).schema).parquet(f"{path}/out")
+    return out, stored("on_time"), stored("late"), F.timestamp_micros(F.lit(horizon("*")))
+
+
+def late_windows(closed: DataFrame, late: DataFrame, ts: str, length: str, slide: str | None, horizon: Column, leak: Column, keys: list[str]) -> DataFrame:
+    """Closed windows with the counts of the late rows added; windows still open at the horizon stay out."""
+    w = F.window(ts, length, slide) if slide else F.window(ts, length)
+    more = (late.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(leak).alias("n_leaks"))
+            .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "n_leaks").filter(F.col("end") <= horizon))
+    return closed.unionByName(more).groupBy("start", "end", *keys).agg(F.sum("n").alias("n"), F.sum("n_leaks").alias("n_leaks"))
+
+
+def late_sessions(closed: DataFrame, on_time: DataFrame, late: DataFrame, ts: str, gap: str, horizon: Column, key: str) -> DataFrame:
+    """Closed sessions; a late row can join or lengthen sessions, so keys with late rows are cut anew from all their rows."""
+    touched = late.select(key).distinct()
+    again = (on_time.unionByName(late).join(touched, key, "left_semi").groupBy(F.session_window(ts, gap).alias("w"), key)
+             .agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"))
+    return closed.join(touched, key, "left_anti").unionByName(again.filter(F.col("end") <= horizon))
+
+
+def late_ids(stored: DataFrame, late: DataFrame, key: str, ts: str) -> DataFrame:
+    """The stored ids and the late rows whose id is not stored yet, one row per id."""
+    first = [F.min_by(c, ts).alias(c) for c in stored.columns if c != key]
+    return stored.unionByName(late.select(*stored.columns).join(stored.select(key), key, "left_anti")).groupBy(key).agg(*first)

@@ -81,3 +81,26 @@ def test_new_traces_once(spark, tmp_path):
     stream = spark.readStream.schema("trace_id string, t timestamp, events array<string>").parquet(str(tmp_path / "in"))
     out = g.run_once(sm.new_traces(stream, "trace_id", "t"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert [r.trace_id for r in out.collect()] == ["a"]
+
+
+@pytest.mark.parametrize("name", ["resumed_log", "stream_windows", "stream_sessions"])
+def test_late_files_are_not_lost(spark, tmp_path, name):
+    """Events in four files whose times overlap, the newest rows in the first file: the result is that of one file."""
+    import os
+
+    from tests.compare import rows_of
+
+    src = spark.read.parquet(f"{SF}/events.parquet")
+    day = F.dayofmonth("ts")
+    parts = [day > 20, (day <= 20) & (F.col("event_id") % 3 == 0), (day <= 20) & (F.col("event_id") % 3 == 1), (day <= 20) & (F.col("event_id") % 3 == 2)]
+    (tmp_path / "events.parquet").mkdir()
+    for i, cond in enumerate(parts):
+        src.filter(cond).coalesce(1).write.parquet(f"{tmp_path}/w{i}")
+        file = next((tmp_path / f"w{i}").glob("part-*.parquet"))
+        target = tmp_path / "events.parquet" / f"{i}.parquet"
+        target.write_bytes(file.read_bytes())
+        os.utime(target, (1_700_000_000 + 60 * i,) * 2)
+    query = getattr(run_queries, name)
+    got, want = query(spark, str(tmp_path)), query(spark, SF)
+    assert want.count() > 0
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, [tuple(r) for r in want.collect()])
