@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leaktrail import vocab as v
 from leaktrail.functions import outcome as o
 from leaktrail.functions.stats import rate
+from leaktrail.operators.grouped import running
 from leaktrail.operators.quality import require_empty
 from leaktrail.operators.resample import cluster_interval
 
@@ -87,6 +88,18 @@ def attribute_changes(pairs: DataFrame, names: list[str]) -> DataFrame:
     return pairs.agg(*[F.count_if(~F.col(f"{n}_b").eqNullSafe(F.col(f"{n}_d"))).alias(f"{n}_diff_pairs") for n in names])
 
 
+def paired_by_position(rows: DataFrame, key: str, first: Column, order: str, bucket: Column, carry: dict[str, str]) -> DataFrame:
+    """The n-th row of a key in one arm beside its n-th row in the other; rows without a partner stay, with ``side`` saying whose they are."""
+    numbered = running(rows.withColumn("_first", first), [key, "_first"], order, bucket, {"position": ("sum", F.lit(1))})
+
+    def arm(cond, suffix):
+        return numbered.filter(cond).select(key, "position", F.lit(True).alias(f"_{suffix}"), *[F.col(c).alias(f"{n}_{suffix}") for n, c in carry.items()])
+
+    both = arm(F.col("_first"), "b").join(arm(~F.col("_first"), "d"), [key, "position"], "full")
+    side = F.when(F.col("_d").isNull(), "baseline_only").when(F.col("_b").isNull(), "defense_only").otherwise("paired")
+    return both.withColumn("side", side).drop("_b", "_d")
+
+
 def registry_pairs(traces: DataFrame, registry: DataFrame, key: str, arm: str, first: str, second: str, value: Column) -> DataFrame:
     """Pair two environments on the task and require every registry task in both arms.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leaktrail import vocab as v
 from leaktrail.functions import stats
 from leaktrail.operators import judged, paired, resample, sampling
+from leaktrail.plans.flow_queries import event_bucket
 from leaktrail.plans.rate_queries import V, verdicts
 from leaktrail.plans.registry import query, table
 from leaktrail.plans.views import ARMS_SQL, OUTCOMES_SQL, arms, outcomes, with_sql
@@ -108,7 +109,10 @@ def risk_only_pair_rates(spark, sf_dir):
 SELECT count(*) FILTER (x.p IS DISTINCT FROM y.p) AS priority_diff_pairs, count(*) FILTER (x.s IS DISTINCT FROM y.s) AS status_diff_pairs
 FROM b x JOIN b y ON x.o_custkey = y.o_custkey AND x.k = 0 AND y.k = 1""")
 def attribute_changes(spark, sf_dir):
-    """Orders of the same customer in two arms (order number modulo 7): how often do attributes differ?"""
+    """Orders of the same customer in two arms (order number modulo 7): how often do attributes differ?
+
+    Its SQL reads two of seven order classes; ``attribute_changes_all`` compares every order.
+    """
     b = (table(spark, sf_dir, "orders").groupBy("o_custkey", (F.col("o_orderkey") % 7).alias("k"))
          .agg(F.max("o_orderpriority").alias("p"), F.max("o_orderstatus").alias("s"), F.count(F.lit(1)).alias("n")).filter("n = 1"))
     x = b.filter("k = 0").select("o_custkey", F.col("p").alias("priority_b"), F.col("s").alias("status_b"))
@@ -116,6 +120,20 @@ def attribute_changes(spark, sf_dir):
     return paired.attribute_changes(x.join(y, "o_custkey"), ["priority", "status"])
 
 
+@query("attribute_changes_all", "JON-13, RED-6", """WITH o AS (SELECT *, o_orderkey % 2 = 0 AS f, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 = 0 ORDER BY o_orderkey) AS position FROM orders),
+j AS (SELECT x.o_orderkey AS xk, y.o_orderkey AS yk, x.o_orderpriority AS xp, y.o_orderpriority AS yp, x.o_orderstatus AS xs, y.o_orderstatus AS ys
+  FROM (SELECT * FROM o WHERE f) x FULL JOIN (SELECT * FROM o WHERE NOT f) y ON x.o_custkey = y.o_custkey AND x.position = y.position)
+SELECT count(*) FILTER (xk IS NOT NULL AND yk IS NOT NULL) AS n_pairs, count(*) FILTER (yk IS NULL) AS n_baseline_only, count(*) FILTER (xk IS NULL) AS n_defense_only,
+  count(*) FILTER (xk IS NOT NULL AND yk IS NOT NULL AND xp IS DISTINCT FROM yp) AS priority_diff_pairs, count(*) FILTER (xk IS NOT NULL AND yk IS NOT NULL AND xs IS DISTINCT FROM ys) AS status_diff_pairs FROM j""")
+def attribute_changes_all(spark, sf_dir):
+    """Every order: arms by parity of the order number, a customer's n-th orders of both arms compared, orders without a partner counted."""
+    j = paired.paired_by_position(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderkey") % 2 == 0, "o_orderkey", event_bucket("o_orderkey"),
+                                  {"priority": "o_orderpriority", "status": "o_orderstatus"})
+    match = F.col("side") == "paired"
+    return j.agg(F.count_if(match).alias("n_pairs"), *[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in ("baseline_only", "defense_only")],
+                 *[F.count_if(match & ~F.col(f"{n}_b").eqNullSafe(F.col(f"{n}_d"))).alias(f"{n}_diff_pairs") for n in ("priority", "status")])
+
+
 @query("registry_pairs", "JON-10", """WITH cells AS (SELECT o_custkey, count(*) FILTER (o_orderkey % 2 = 0) AS n1, count(*) FILTER (o_orderkey % 2 = 1) AS n2,
   max(CAST(o_totalprice > 150000 AS INT)) FILTER (o_orderkey % 2 = 0) AS b, max(CAST(o_totalprice > 150000 AS INT)) FILTER (o_orderkey % 2 = 1) AS d FROM orders GROUP BY ALL HAVING n1 = 1 AND n2 = 1)
 SELECT o_custkey, b, d FROM cells""")

@@ -131,6 +131,16 @@ def test_pairing(spark):
             paired.paired_rows(base, bad, keys, "unsafe", model="model")
 
 
+def test_attribute_changes_read_every_order(spark, tmp_path):
+    """Orders of all seven classes, several per customer and arm; the one without a partner is counted."""
+    from leaktrail.plans.stat_queries import attribute_changes_all
+
+    data = [(2, 1, "a", "F"), (4, 1, "b", "F"), (6, 1, "a", "O"), (3, 1, "a", "O"), (5, 1, "c", "F"), (9, 2, "a", "F")]
+    spark.createDataFrame(data, "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = attribute_changes_all(spark, str(tmp_path)).first().asDict()
+    assert got == {"n_pairs": 2, "n_baseline_only": 1, "n_defense_only": 1, "priority_diff_pairs": 1, "status_diff_pairs": 1}
+
+
 def test_registry_pairs(spark):
     t = spark.createDataFrame([("a", "r", 1), ("a", "h", 0), ("b", "r", 1), ("b", "h", 1)], "task string, env string, u int")
     reg = spark.createDataFrame([("a",), ("b",)], "task string")
