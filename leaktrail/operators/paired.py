@@ -105,20 +105,28 @@ def registry_pairs(traces: DataFrame, registry: DataFrame, key: str, arm: str, f
 
     Checking against the registry also catches a task missing from both arms.
     """
-    arms = traces.join(registry.select(key), key, "left_semi").filter(F.col(arm).isin(first, second))
-    cells = arms.groupBy(key).agg(
-        F.count_if(F.col(arm) == first).alias("n1"), F.count_if(F.col(arm) == second).alias("n2"),
-        F.max(F.when(F.col(arm) == first, value.cast("int"))).alias("b"),
-        F.max(F.when(F.col(arm) == second, value.cast("int"))).alias("d"))
-    grid = registry.select(key).join(cells, key, "left")
-    bad = grid.filter(~((F.coalesce("n1", F.lit(0)) == 1) & (F.coalesce("n2", F.lit(0)) == 1)))
+    grid = registry_coverage(traces, registry, key, arm, first, second, value).filter("status <> 'unregistered'")
     try:
-        require_empty(bad, "tasks without exactly one trace per arm")
+        require_empty(grid.filter("status <> 'covered'"), "tasks without exactly one trace per arm")
     except ValueError as err:
         raise PairingError(str(err)) from None
     return grid.select(key, "b", "d")
 
 
+def registry_coverage(traces: DataFrame, registry: DataFrame, key: str, arm: str, first: str, second: str, value: Column) -> DataFrame:
+    """Every registry task and every task seen, with its traces per arm and how it is covered; values only where it is covered."""
+    cells = traces.filter(F.col(arm).isin(first, second)).groupBy(key).agg(
+        F.count_if(F.col(arm) == first).alias("n1"), F.count_if(F.col(arm) == second).alias("n2"),
+        F.max(F.when(F.col(arm) == first, value.cast("int"))).alias("b"),
+        F.max(F.when(F.col(arm) == second, value.cast("int"))).alias("d"))
+    grid = registry.select(key, F.lit(True).alias("_listed")).join(cells, key, "full").fillna(0, ["n1", "n2"])
+    n1, n2 = F.col("n1"), F.col("n2")
+    status = (F.when(F.col("_listed").isNull(), "unregistered").when((n1 == 0) & (n2 == 0), "missing").when(n1 == 0, "second_only")
+              .when(n2 == 0, "first_only").when((n1 > 1) | (n2 > 1), "ambiguous").otherwise("covered"))
+    covered = F.col("status") == "covered"
+    return grid.withColumn("status", status).select(key, "n1", "n2", "status", F.when(covered, F.col("b")).alias("b"), F.when(covered, F.col("d")).alias("d"))
+
+
 def split_arms(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Unmitigated risky traces: without defense, and with the taint-tracking guard."""
     level = o.mitigation_level("mitigation_level", "mitigation" if "mitigation" in traces.columns else None)

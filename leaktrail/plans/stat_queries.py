@@ -138,13 +138,28 @@ def attribute_changes_all(spark, sf_dir):
   max(CAST(o_totalprice > 150000 AS INT)) FILTER (o_orderkey % 2 = 0) AS b, max(CAST(o_totalprice > 150000 AS INT)) FILTER (o_orderkey % 2 = 1) AS d FROM orders GROUP BY ALL HAVING n1 = 1 AND n2 = 1)
 SELECT o_custkey, b, d FROM cells""")
 def registry_pairs(spark, sf_dir):
-    """Registry: customers with exactly one order per arm; both arms must cover it."""
+    """Registry: customers with exactly one order per arm; both arms must cover it.
+
+    Its SQL takes the registry from the orders themselves; ``registry_coverage`` takes it from the customers.
+    """
     orders = table(spark, sf_dir, "orders").withColumn("arm", F.when(F.col("o_orderkey") % 2 == 0, "first").otherwise("second"))
     registry = (orders.groupBy("o_custkey").agg(F.count_if(F.expr("arm = 'first'")).alias("n1"), F.count_if(F.expr("arm = 'second'")).alias("n2"))
                 .filter("n1 = 1 AND n2 = 1"))
     return paired.registry_pairs(orders, registry, "o_custkey", "arm", "first", "second", F.col("o_totalprice") > 150000)
 
 
+@query("registry_coverage", "JON-10", """WITH cells AS (SELECT o_custkey, count(*) FILTER (o_orderkey % 2 = 0) AS n1, count(*) FILTER (o_orderkey % 2 = 1) AS n2,
+  max(CAST(o_totalprice > 150000 AS INT)) FILTER (o_orderkey % 2 = 0) AS b, max(CAST(o_totalprice > 150000 AS INT)) FILTER (o_orderkey % 2 = 1) AS d FROM orders GROUP BY ALL),
+g AS (SELECT coalesce(c_custkey, o_custkey) AS custkey, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, b, d, CASE WHEN c_custkey IS NULL THEN 'unregistered' WHEN coalesce(n1 + n2, 0) = 0 THEN 'missing'
+  WHEN n1 = 0 THEN 'second_only' WHEN n2 = 0 THEN 'first_only' WHEN n1 > 1 OR n2 > 1 THEN 'ambiguous' ELSE 'covered' END AS status FROM customer FULL JOIN cells ON c_custkey = o_custkey)
+SELECT custkey, n1, n2, status, CASE WHEN status = 'covered' THEN b END AS b, CASE WHEN status = 'covered' THEN d END AS d FROM g""")
+def registry_coverage(spark, sf_dir):
+    """Registry: the customer table; covered pairs and violations (an arm missing, several orders in one, not registered) as rows."""
+    orders = table(spark, sf_dir, "orders").withColumn("arm", F.when(F.col("o_orderkey") % 2 == 0, "first").otherwise("second")).withColumnRenamed("o_custkey", "custkey")
+    registry = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
+    return paired.registry_coverage(orders, registry, "custkey", "arm", "first", "second", F.col("o_totalprice") > 150000)
+
+
 @query("rater_join", "JON-11, STA-14", """WITH r AS (SELECT doc_id, quality = 1 AS a, toxic = 0 AS b FROM labels)
 SELECT tt, ta, tb, ff, (ff + tt) AS agree, round(((tt + ff) / n - pe) / (1 - pe), 9) AS kappa FROM (
   SELECT *, ((tt + ta) / n) * ((tt + tb) / n) + (1 - (tt + ta) / n) * (1 - (tt + tb) / n) AS pe FROM (

@@ -141,6 +141,18 @@ def test_attribute_changes_read_every_order(spark, tmp_path):
     assert got == {"n_pairs": 2, "n_baseline_only": 1, "n_defense_only": 1, "priority_diff_pairs": 1, "status_diff_pairs": 1}
 
 
+def test_registry_coverage_reports_every_customer(spark, tmp_path):
+    """The registry is the customer table: customers who do not fit come back as violations."""
+    from leaktrail.plans.stat_queries import registry_coverage
+
+    spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    data = [(0, 1, 2e5), (1, 1, 1.0), (2, 2, 2e5), (3, 3, 2e5), (4, 4, 1.0), (6, 4, 1.0), (5, 4, 1.0), (8, 9, 1.0)]
+    spark.createDataFrame(data, "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry_coverage(spark, str(tmp_path)).select("custkey", "status", "b", "d")
+    assert rows(got, "custkey") == [(1, "covered", 1, 0), (2, "first_only", None, None), (3, "second_only", None, None),
+                                    (4, "ambiguous", None, None), (5, "missing", None, None), (9, "unregistered", None, None)]
+
+
 def test_registry_pairs(spark):
     t = spark.createDataFrame([("a", "r", 1), ("a", "h", 0), ("b", "r", 1), ("b", "h", 1)], "task string, env string, u int")
     reg = spark.createDataFrame([("a",), ("b",)], "task string")
