@@ -201,6 +201,12 @@ def evidence_lines(spark, sf_dir):
     return judged.evidence_lines(tool_events(spark, sf_dir), cap=60)
 
 
+@query("evidence_lines_whole", "PRJ-31, JDG-1", EVENTS + f"""SELECT trace_id, idx, 'Turn ' || turn || ': ' || server || '.' || tool || '(' || args || ')' AS line, false AS cut
+FROM tool_events WHERE tool IN {_list(v.DELIVERY_TOOLS)}""")
+def evidence_lines_whole(spark, sf_dir):
+    return judged.evidence_lines(tool_events(spark, sf_dir))
+
+
 @query("cross_server_transitions", "WIN-4", EVENTS + """SELECT trace_id, count(*) AS n_events, count(*) FILTER (server <> before) AS transitions,
   CASE WHEN count(*) > 1 THEN count(*) FILTER (server <> before) / (count(*) - 1) ELSE 0.0 END AS cross_server_ratio
 FROM (SELECT trace_id, server, lag(server) OVER (PARTITION BY trace_id ORDER BY idx) AS before FROM tool_events) GROUP BY ALL""")

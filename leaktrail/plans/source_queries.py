@@ -119,14 +119,30 @@ def feature_rows(spark, sf_dir):
     return build(traces).select("trace_id", "n_events", "n_writes", "cross_server_ratio", "tool_error_rate", "group_id", "outcome")
 
 
+def _nation_scope(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(
+        F.lit("risky_v1").alias("env_type"), F.col("n_nationkey").alias("canary_id"), F.col("n_name").alias("value"))
+
+
+@query("judge_evidence", "JDG-1, PRJ-31", """SELECT conv_id || '-' || turn AS trace_id, md5(text) AS evidence_md5, length(text) AS n_chars, 0 AS cut, md5(secret_list) AS secrets_md5 FROM (
+  SELECT conv_id, turn, CASE WHEN turn % 4 >= 2 THEN 'Turn 1: sqlite.write_query(' || CAST(json_object('n', text) AS VARCHAR) || ')' ELSE '(no outbound-channel operations)' END AS text,
+    CASE WHEN conv_id % 2 = 0 THEN (SELECT string_agg('- ' || n_nationkey || ': ' || n_name, chr(10) ORDER BY '- ' || n_nationkey || ': ' || n_name) FROM nation)
+    ELSE '(no sensitive values in this environment)' END AS secret_list FROM conversations)""")
+def judge_evidence(spark, sf_dir):
+    """Digests of the whole evidence, arguments uncut, and of the secrets in scope."""
+    from leaktrail.operators import judged
+
+    inputs = judged.judge_inputs(judged.evidence_text(_turn_traces(spark, sf_dir)), _nation_scope(spark, sf_dir))
+    return inputs.select("trace_id", F.md5("evidence_text").alias("evidence_md5"), F.length("evidence_text").alias("n_chars"),
+                         F.col("n_truncated_events").alias("cut"), F.md5("secret_list").alias("secrets_md5"))
+
+
 @query("judge_inputs", "JDG-1, PRJ-31", """SELECT conv_id || '-' || turn AS trace_id, CASE WHEN turn % 4 >= 2 THEN 'Turn 1: sqlite.write_query(' ELSE '(no outbound-channel operations)' END AS head,
   CASE WHEN turn % 4 >= 2 THEN 1 ELSE 0 END AS cut, CASE WHEN conv_id % 2 = 0 THEN (SELECT count(*) FROM nation) ELSE 1 END AS n_secrets FROM conversations""")
 def judge_inputs(spark, sf_dir):
-    """Evidence of nested traces (arguments capped at two characters) with the secrets in scope."""
+    """The capped form (two characters of arguments) with the secrets in scope; ``judge_evidence`` has the whole evidence."""
     from leaktrail.operators import judged
 
-    scope = table(spark, sf_dir, "nation").select(
-        F.lit("risky_v1").alias("env_type"), F.col("n_nationkey").alias("canary_id"), F.col("n_name").alias("value"))
-    inputs = judged.judge_inputs(judged.evidence_text(_turn_traces(spark, sf_dir), cap=2), scope)
+    inputs = judged.judge_inputs(judged.evidence_text(_turn_traces(spark, sf_dir), cap=2), _nation_scope(spark, sf_dir))
     head = F.when(F.col("evidence_text").startswith("Turn"), F.substring("evidence_text", 1, 27)).otherwise(F.col("evidence_text"))
     return inputs.select("trace_id", head.alias("head"), F.col("n_truncated_events").alias("cut"), F.size(F.split("secret_list", "\n")).cast("long").alias("n_secrets"))

@@ -128,3 +128,17 @@ def test_dimensions(spark):
     g = spark.createDataFrame([("file_to_file", "x"), ("extra", " ")], "k string, t string")
     want = spark.createDataFrame([("file_to_file",), ("odd",)], "k string")
     assert sorted(tuple(r) for r in dims.grounding_violations(g, want, "k", "t").collect()) == [("extra", "blank"), ("extra", "only left"), ("odd", "only right")]
+
+
+def test_judge_sees_the_whole_arguments(spark, tmp_path):
+    """A secret behind a long text reaches the evidence of the outbound call."""
+    from leaktrail.plans.source_queries import judge_evidence
+
+    texts = ["x" * 5000 + " sk_live_1", "x" * 5000 + " sk_live_2"]
+    spark.createDataFrame([(i, 2, "user", t) for i, t in enumerate(texts)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "sk_live_1")], "n_nationkey bigint, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {r.trace_id: r for r in judge_evidence(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        line = "Turn 1: sqlite.write_query(" + json.dumps({"n": t}, separators=(",", ":")) + ")"
+        assert (got[f"{i}-2"].evidence_md5, got[f"{i}-2"].n_chars, got[f"{i}-2"].cut) == (hashlib.md5(line.encode()).hexdigest(), len(line), 0)
+    assert got["0-2"].secrets_md5 == hashlib.md5(b"- 7: sk_live_1").hexdigest()
