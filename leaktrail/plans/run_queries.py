@@ -19,6 +19,8 @@ from leaktrail.session import shared_dir, staged
 EVENTS = with_sql(TOOL_EVENTS_SQL)
 #: traces per bucket of the run axis
 TRACES_PER_BUCKET = 100_000
+#: ordered ranges of traces that the monitored stream is fed in
+MONITOR_BATCHES = 4
 
 
 def _bucket(c="user_id"):
@@ -161,14 +163,20 @@ def taint_guard_stream(spark, sf_dir):
 
 @query("run_monitor_stream", "STR-3, STR-4", _MON + f"SELECT {_MON_COLS} FROM judged")
 def run_monitor_stream(spark, sf_dir):
-    """Traces arrive as a stream of files and are monitored batch by batch with carried state."""
+    """Traces arrive in ranges of their number, a bounded count of batches, each monitored on the state its predecessor left."""
     from leaktrail.streaming import monitor as sm
 
     folder = _folder(spark, "monitor")
-    rows = _monitor_input(spark, sf_dir)
-    rows.withColumn("part", F.floor(F.col("user_id") / 50)).repartition("part").write.partitionBy("part").parquet(f"{folder}/in")
-    for_order = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 10_000).parquet(f"{folder}/in/part=*")
-    sm.monitor_stream(for_order, "run", "user_id", _bucket(), folder, f"{folder}/checkpoint", 30_000_000).awaitTermination()
+    rows = staged(_monitor_input(spark, sf_dir), "monitor-input")
+    cuts, top = rows.agg(F.percentile_approx("user_id", [i / MONITOR_BATCHES for i in range(1, MONITOR_BATCHES)]), F.max("user_id")).first()
+    ends = sorted({c for c in cuts or [] if c < top})
+    for_order = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/part=*")
+    # a range is written only after its predecessor has been monitored, so the batches follow user_id whatever the files' times
+    for i, (low, high) in enumerate(zip([None, *ends], [*ends, None])):
+        part = rows if low is None else rows.filter(F.col("user_id") > low)
+        part = part if high is None else part.filter(F.coalesce(F.col("user_id") <= high, F.lit(low is None)))
+        part.write.parquet(f"{folder}/in/part={i:04d}")
+        sm.monitor_stream(for_order, "run", "user_id", _bucket(), folder, f"{folder}/checkpoint", 30_000_000).awaitTermination()
     return _mon_cols(sm.monitored(spark, folder))
 
 

@@ -104,3 +104,14 @@ def test_late_files_are_not_lost(spark, tmp_path, name):
     got, want = query(spark, str(tmp_path)), query(spark, SF)
     assert want.count() > 0
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, [tuple(r) for r in want.collect()])
+
+
+def test_monitored_stream_comes_in_ordered_batches(spark, tmp_path, monkeypatch):
+    """At least three batches, one after the other along user_id, give what the batch query gives."""
+    monkeypatch.setattr(run_queries, "_folder", lambda *_: str(tmp_path))
+    got, want = run_queries.run_monitor_stream(spark, SF), run_queries.run_monitor(spark, SF)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    spans = [spark.read.parquet(str(p)).agg(F.min("user_id"), F.max("user_id")).first()
+             for p in sorted((tmp_path / "traces").glob("batch=*"), key=lambda p: int(p.name.split("=")[1]))]
+    assert len(spans) >= 3
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
