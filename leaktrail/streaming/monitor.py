@@ -80,8 +80,8 @@ def sessions(events: DataFrame, ts: str, gap: str, delay: str, key: str) -> Data
 
 
 def split_late(batch: DataFrame, ts: str, horizon) -> tuple[DataFrame, DataFrame]:
-    """(on time, late) rows of a micro-batch against the horizon of the batches before it."""
-    late = F.col(ts) < F.lit(horizon) if horizon is not None else F.lit(False)
+    """(on time, late) rows of a micro-batch against the horizon of the batches before it; rows without a time count as late."""
+    late = F.col(ts).isNull() | (F.col(ts) < F.lit(horizon) if horizon is not None else F.lit(False))
     return batch.filter(~late), batch.filter(late)
 
 
@@ -147,5 +147,5 @@ def late_sessions(closed: DataFrame, on_time: DataFrame, late: DataFrame, ts: st
 
 def late_ids(stored: DataFrame, late: DataFrame, key: str, ts: str) -> DataFrame:
     """The stored ids and the late rows whose id is not stored yet, one row per id."""
-    first = [F.min_by(c, ts).alias(c) for c in stored.columns if c != key]
+    first = [F.min_by(c, F.struct(F.col(ts).isNull(), F.col(ts))).alias(c) for c in stored.columns if c != key]
     return stored.unionByName(late.select(*stored.columns).join(stored.select(key), key, "left_anti")).groupBy(key).agg(*first)

@@ -61,6 +61,14 @@ def test_late_rows_go_aside(spark):
     assert sm.split_late(df, "t", None)[1].isEmpty()
 
 
+def test_rows_without_a_time_go_aside(spark):
+    df = spark.createDataFrame([(1, 7, None), (2, 8, "2024-01-02 00:00:00")], "i int, u int, t string").withColumn("t", F.col("t").cast("timestamp"))
+    for horizon in (None, df.filter("i = 2").first().t):
+        on_time, late = sm.split_late(df, "t", horizon)
+        assert [r.i for r in on_time.collect()] == [2] and [r.i for r in late.collect()] == [1]
+    assert sorted((r.i, r.u) for r in sm.late_ids(on_time, late, "i", "t").collect()) == [(1, 7), (2, 8)]
+
+
 def test_periodic_validation(spark, tmp_path):
     import json
 
