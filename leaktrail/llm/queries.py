@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leaktrail.llm import byte_bpe, embedding_dedup, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from leaktrail.llm import (byte_bpe, embedding_dedup, mixing, negatives, packing, periodic, quality, sharding, simhash, substring_dedup, suffix_dedup,
+                           token_counts, toxicity)
 from leaktrail.llm.registry import query, table
 
 
@@ -75,6 +76,45 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("record.doc_id", "source", "pass", "block", F.round("weight", 9).alias("weight"))
 
 
+@query("op11_packing")
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op12_hard_negatives")
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents the words from one on repeat those that follow it, a period long."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    n = F.when(F.size("w") > 0, F.size("w"))
+    g = F.floor(F.col("h") / 10)
+    cut = words.select("*", n.alias("n"), (g % n).cast("int").alias("a"), g.alias("g"))
+    cut = cut.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    repeated = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    changed = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), F.slice(repeated, F.lit(1), rest))
+    return cut.select("doc_id", F.when(F.col("n").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def periodic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = planted(table(spark, sf_dir, "documents")).select("doc_id", periodic.find_runs("text").alias("f"))
+    longest = F.array_max(F.transform("f.runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.transform("f.runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")),
+                                                      F.lit("\n")))
+    out = found.select("doc_id", F.size("f.runs").cast("long").alias("n_runs"), longest.alias("l"),
+                       F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2(F.col("f.collapsed"), 256).alias("collapsed_sha256"))
+    period = -F.col("l.p")
+    return out.select("doc_id", "n_runs", (-F.col("l.s")).alias("start"), F.col("l.length").alias("length"), period.alias("period"),
+                      F.expr("1000 * l.length div -l.p").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
