@@ -9,20 +9,16 @@ from pyspark.sql.window import Window as W
 from leaktrail import vocab as v
 from leaktrail.functions import outcome as o
 from leaktrail.functions import text as t
+from leaktrail.operators.anchors import anchor_windows, needle_anchors
+from leaktrail.operators.automaton import scan
 from leaktrail.operators.grouped import salted_join
 from leaktrail.session import BROADCAST_ROWS, fits_broadcast
 
-WINDOWS_OF_10 = r"(?s)(?=(.{10}))"
-
-
 def windows_of(length: int) -> str:
     """Pattern whose first group is every window of ``length`` characters."""
     return rf"(?s)(?=(.{{{length}}}))"
 
 
-#: with at most this many secrets per scope, testing each of them is cheaper than hashing every window
-DIRECT_PER_SCOPE = 200
-
 EVENT_COLUMNS = {
     "trace_id": "string", "env_type": "string", "idx": "bigint", "turn": "bigint", "server": "string", "tool": "string",
     "args": "string", "result_full": "string", "result_truncated": "string", "success": "boolean", "error": "string",
@@ -66,136 +62,119 @@ def _needle_present(haystack: Column) -> Column:
 
 
 def dictionary_pairs(texts: DataFrame, dictionary: DataFrame, haystack: Column, scope: str = "env_type",
-                     max_rows: int = BROADCAST_ROWS, direct: int = DIRECT_PER_SCOPE,
-                     row_id: tuple[str, ...] = ("trace_id", "idx")) -> DataFrame:
-    """(text row, secret) pairs where a needle of the secret occurs in ``haystack``.
+                     max_rows: int = BROADCAST_ROWS, row_id: tuple[str, ...] = ("trace_id", "idx")) -> DataFrame:
+    """(text row, secret) pairs where a needle of the secret occurs in ``haystack``, with the dictionary's columns.
 
-    Three exact forms, chosen by the measured size of the dictionary:
+    Two exact forms, chosen by the measured size of the dictionary:
 
-    * few secrets per scope: broadcast, joined on ``scope`` with the containment test
-      as residual condition; the texts are not shuffled;
-    * more, but within the broadcast bound: each ten-character window of a text is
-      looked up among the needles' first ten characters, so the work per text no
-      longer grows with the dictionary; still no shuffle of texts;
-    * beyond the bound: the same lookup as a shuffled join of (window, row id).
-
-    A text that contains a needle contains the needle's first ten characters, so the
-    lookup loses nothing. Secrets with a needle shorter than that use the first form.
+    * within the broadcast bound one automaton of all needles reads each text once; the texts are not shuffled;
+    * beyond it the texts' windows are looked up among the needles' anchors. A needle's anchor is the rarest of
+      its ten-character windows (all of a shorter needle), and a Bloom filter of all anchors, run over the texts
+      first, lets only windows through that are an anchor or one of few false alarms. What is shuffled are those
+      windows with the row's id; a text moves once, and only if it has a candidate.
     """
     if not fits_broadcast(dictionary, max_rows):
-        return _shuffled_pairs(texts, dictionary, haystack, scope, row_id)
-    per_scope = dictionary.groupBy(scope).count().agg(F.max("count")).first()[0] or 0
-    if per_scope <= direct:
-        return _direct_pairs(texts, dictionary, haystack, scope)
-    short = F.exists("needles", lambda n: F.length(n) < v.MIN_FRAGMENT)
-    rare = dictionary.filter(short)
-    found = _window_pairs(texts, dictionary.filter(~short), haystack, scope)
-    return found if rare.isEmpty() else found.unionByName(_direct_pairs(texts, rare, haystack, scope))
-
-
-def _direct_pairs(texts, dictionary, haystack, scope):
-    return texts.withColumn("_hay", haystack).join(
-        F.broadcast(dictionary), (texts[scope] == dictionary[scope]) & _needle_present(F.col("_hay")), "inner"
-    ).drop(dictionary[scope]).drop("_hay")
-
-
-def _window_hashes(c) -> Column:
-    windows = F.regexp_extract_all(c, F.lit(WINDOWS_OF_10), F.lit(1))
-    return F.array_distinct(F.transform(windows, lambda w: F.xxhash64(w)))
-
+        return _anchored_pairs(texts, dictionary, haystack, scope, row_id)
+    rest = {c: F.col(f"`{c}`") for c in dictionary.columns if c != scope}
+    return scan(texts, dictionary, [haystack], {"_needle": F.col("needles")}, scope, carry=rest).drop("_needle")
 
-def _window_pairs(texts, dictionary, haystack, scope):
-    rows = dictionary.select("*", F.posexplode("needles").alias("_j", "_needle"))
-    rows = rows.withColumn("_anchor", F.xxhash64(F.substring("_needle", 1, v.MIN_FRAGMENT))).withColumnRenamed(scope, "_scope")
-    probes = texts.withColumn("_hay", haystack).select("*", F.explode(_window_hashes("_hay")).alias("_anchor"))
-    # a secret is reported by its first needle present, so no pair appears twice
-    earlier = F.exists(F.slice("needles", 1, F.col("_j")), lambda n: F.contains("_hay", n))
-    same = (probes[scope] == rows["_scope"]) & (probes["_anchor"] == rows["_anchor"])
-    out = probes.join(F.broadcast(rows), same & F.contains("_hay", F.col("_needle")) & ~earlier, "inner")
-    return out.drop("_hay", "_j", "_needle", "_scope").drop(probes["_anchor"]).drop(rows["_anchor"])
 
-
-def _shuffled_pairs(texts, dictionary, haystack, scope, row_id):
+def _anchored_pairs(texts, dictionary, haystack, scope, row_id):
     keyed = texts.withColumn("_hay", haystack)
     row = F.struct(*row_id)
-    anchored = (dictionary.select(scope, "canary_id", F.explode("needles").alias("_needle"))
-                .filter(F.length("_needle") >= v.MIN_FRAGMENT)
-                .select(scope, F.xxhash64(F.substring("_needle", 1, v.MIN_FRAGMENT)).alias("_anchor"), "canary_id").distinct())
-    probes = keyed.select(*row_id, scope, F.explode(_window_hashes("_hay")).alias("_anchor"))
-    found = salted_join(probes, anchored, [scope, "_anchor"], row).select(*row_id, scope, "canary_id")
-    short = dictionary.filter(F.exists("needles", lambda n: F.length(n) < v.MIN_FRAGMENT)).select(scope, "canary_id", "needles")
-    if not short.isEmpty():  # needles below ten characters have no anchor: tested one by one within their scope
-        by_short = salted_join(keyed, short, [scope], row).filter(_needle_present(F.col("_hay"))).select(*row_id, scope, "canary_id")
-        found = found.unionByName(by_short)
-    hits = keyed.join(found.distinct(), [*row_id, scope])
+    anchors = needle_anchors(dictionary.select(scope, "canary_id", F.explode("needles").alias("_needle")), [scope, "canary_id", "_needle"], scope)
+    anchors = anchors.select(scope, "_anchor", "canary_id").distinct()
+    probes = keyed.select(*row_id, scope, F.explode(anchor_windows(anchors, F.col("_hay"))).alias("_anchor"))
+    found = salted_join(probes, anchors, [scope, "_anchor"], row).select(*row_id, scope, "canary_id").distinct()
+    hits = keyed.join(found, [*row_id, scope])
     return salted_join(hits, dictionary, [scope, "canary_id"], row).filter(_needle_present(F.col("_hay"))).drop("_hay")
 
 
 def shared_windows(texts: DataFrame, dictionary: DataFrame, haystack: Column, scope: str = "env_type") -> DataFrame:
-    """(text row, secret) pairs whose value or core occurs in ``haystack``, by a shuffled lookup that needs no row id.
+    """(text row, secret) pairs whose value or core occurs in ``haystack``, by the anchored lookup without a row id.
 
-    Also for streams of texts against a dictionary beyond the broadcast bound. A needle's anchor is its first ten
-    characters, or all of a shorter one; texts are cut into windows of the anchor lengths that occur (ten at most).
+    Also for streams of texts against a dictionary beyond the broadcast bound. A text goes along once per window that
+    passes the anchors' filter.
     """
     core = F.coalesce("core", F.lit(""))
     needles = F.filter(F.when(F.contains("value", core) & (core != ""), F.array(core)).otherwise(F.array("value", core)), lambda n: n != "")
-    rows = dictionary.withColumn("_needles", needles).select("*", F.posexplode("_needles").alias("_j", "_needle"))
-    rows = rows.withColumn("_anchor", F.substring("_needle", 1, v.MIN_FRAGMENT)).withColumnRenamed(scope, "_scope")
-    sizes = sorted(r[0] for r in rows.select(F.length("_anchor")).distinct().collect())  # at most MIN_FRAGMENT numbers
-    windows = [F.regexp_extract_all("_hay", F.lit(windows_of(k)), F.lit(1)) for k in sizes]
-    anchors = F.array_distinct(F.concat(*windows)) if windows else F.array().cast("array<string>")
-    probes = texts.withColumn("_hay", haystack).select("*", F.explode(anchors).alias("_probe"))
+    whole = dictionary.withColumn("_needles", needles)
+    rows = needle_anchors(whole.select("*", F.posexplode("_needles").alias("_j", "_needle")), [scope, "canary_id", "_j"], scope)
+    rows = rows.withColumnRenamed(scope, "_scope")
+    probes = texts.withColumn("_hay", haystack)
+    probes = probes.select("*", F.explode(anchor_windows(rows, F.col("_hay"))).alias("_probe"))
     earlier = F.exists(F.slice("_needles", 1, F.col("_j")), lambda n: F.contains("_hay", n))
     same = (probes[scope] == rows["_scope"]) & (probes["_probe"] == rows["_anchor"])
     return probes.join(rows, same & F.contains("_hay", F.col("_needle")) & ~earlier).drop(
         "_hay", "_probe", "_needles", "_j", "_needle", "_anchor", "_scope")
 
 
-def match_hits(lanes: DataFrame, dictionary: DataFrame, max_rows: int = BROADCAST_ROWS, direct: int = DIRECT_PER_SCOPE) -> DataFrame:
-    """The one dictionary join. One narrow row per (event, secret) that touch in any lane.
+#: the texts a secret is looked for in, in the order of the bits of a mask
+LANES = ("visible", "full", "args_text", "delivered", "raw_args", "cmd", "content", "url")
 
-    ``v_*`` = full value in the lane, ``c_*`` = core, ``f_*`` = any fragment. The
-    wide text lanes end here.
-    """
-    escaped = F.contains("raw_args", F.lit("\\"))  # then decoded fields differ from the JSON text
-    haystack = F.concat_ws("\n", "full", "args_text", F.when(F.col("blocked"), F.col("delivered")),
-                           F.when(F.col("truncated"), F.col("visible")),
-                           F.when(escaped, F.concat_ws("\n", "raw_args", "cmd", "content", "url")))
-    pairs = dictionary_pairs(lanes, dictionary, haystack, max_rows=max_rows, direct=direct)
 
-    def value_in(c):
-        return F.contains(F.col(c), F.col("value"))
+def _lane_texts() -> list[Column]:
+    """The lanes; one that repeats another, or whose matches nobody asks for, is null."""
+    tool, differs = F.col("tool"), lambda a, b: F.when(~F.col(a).eqNullSafe(F.col(b)), F.col(a))
+    return [differs("visible", "full"), F.col("full"), F.col("args_text"), differs("delivered", "args_text"), differs("raw_args", "args_text"),
+            F.when(tool == "execute_command", F.col("cmd")),
+            F.when((tool == "write_file") & t.is_executable_path("path"), F.col("content")),
+            F.when(tool == "browser_navigate", F.col("url"))]
 
-    def core_in(c):
-        return F.contains(F.col(c), F.col("core"))
 
-    def fragment_in(c):
-        return F.exists("fragments", lambda f: F.contains(F.col(c), f))
+def match_hits(lanes: DataFrame, dictionary: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The one dictionary join. One narrow row per (event, secret) that touch in any lane.
+
+    ``v_*`` = full value in the lane, ``c_*`` = core, ``f_*`` = any fragment. The wide text lanes end here: each is read
+    once by the automaton, which answers for all lanes and kinds with three masks. Beyond the broadcast bound the lanes
+    of the (few) candidate pairs are tested one by one.
+    """
+    same = {"visible": "full", "delivered": "args_text", "raw_args": "args_text"}
+    if fits_broadcast(dictionary, max_rows):
+        kinds = {"_v": F.array("value"), "_c": F.array("core"), "_f": F.col("fragments")}
+        texts = F.struct(*[F.when(x.isNull(), F.lit(n)).alias(n) for n, x in zip(LANES, _lane_texts()) if n in same])
+        pairs = scan(lanes.withColumn("_same", texts), dictionary, _lane_texts(), kinds,
+                     carry={"canary_id": F.col("canary_id"), "core_ok": F.coalesce(F.length("core") >= v.MIN_FRAGMENT, F.lit(False))})
+
+        def in_lane(kind, lane):
+            bit = F.col(f"_{kind}").bitwiseAND(1 << LANES.index(lane)) != 0
+            if lane not in same:
+                return bit
+            other = F.col(f"_{kind}").bitwiseAND(1 << LANES.index(same[lane])) != 0
+            return F.when(F.col("_same").getField(lane).isNotNull(), other).otherwise(bit)
+    else:
+        escaped = F.contains("raw_args", F.lit("\\"))  # then decoded fields differ from the JSON text
+        haystack = F.concat_ws("\n", "full", "args_text", F.when(F.col("blocked"), F.col("delivered")),
+                               F.when(F.col("truncated"), F.col("visible")),
+                               F.when(escaped, F.concat_ws("\n", "raw_args", "cmd", "content", "url")))
+        pairs = dictionary_pairs(lanes, dictionary, haystack, max_rows=max_rows)
+        pairs = pairs.withColumn("core_ok", F.coalesce(F.length("core") >= v.MIN_FRAGMENT, F.lit(False)))
+
+        def in_lane(kind, lane):
+            x = F.col(lane)
+            found = {"v": F.contains(x, F.col("value")), "c": F.contains(x, F.col("core"))}
+            return F.coalesce(found[kind] if kind in found else F.exists("fragments", lambda f: F.contains(x, f)), F.lit(False))
 
     tool = F.col("tool")
     is_command = tool == "execute_command"
-    nothing = F.lit(False)
     flags = {
-        "v_vis": value_in("visible"), "c_vis": core_in("visible"), "f_vis": fragment_in("visible"),
-        "v_full": value_in("full"), "c_full": core_in("full"),
-        "v_args": value_in("args_text"), "c_args": core_in("args_text"), "f_args": fragment_in("args_text"),
-        "v_raw": value_in("raw_args"),
-        "v_cmd": F.when(is_command, value_in("cmd")).otherwise(nothing),
-        "f_cmd": F.when(is_command, fragment_in("cmd")).otherwise(nothing),
-        "v_exec": F.when((tool == "write_file") & t.is_executable_path("path"), value_in("content")).otherwise(nothing),
-        "v_out": F.when((F.col("server") == "fetch") & value_in("args_text"), True)
-                  .when(is_command & t.is_network_command("cmd"), value_in("cmd"))
-                  .when(tool == "browser_navigate", value_in("url")).otherwise(nothing),
-        "v_dlv": value_in("delivered"), "c_dlv": core_in("delivered"),
+        "v_vis": in_lane("v", "visible"), "c_vis": in_lane("c", "visible"), "f_vis": in_lane("f", "visible"),
+        "v_full": in_lane("v", "full"), "c_full": in_lane("c", "full"),
+        "v_args": in_lane("v", "args_text"), "c_args": in_lane("c", "args_text"), "f_args": in_lane("f", "args_text"),
+        "v_raw": in_lane("v", "raw_args"),
+        "v_cmd": is_command & in_lane("v", "cmd"), "f_cmd": is_command & in_lane("f", "cmd"),
+        "v_exec": (tool == "write_file") & t.is_executable_path("path") & in_lane("v", "content"),
+        "v_out": ((F.col("server") == "fetch") & in_lane("v", "args_text")) | (is_command & t.is_network_command("cmd") & in_lane("v", "cmd"))
+        | ((tool == "browser_navigate") & in_lane("v", "url")),
+        "v_dlv": in_lane("v", "delivered"), "c_dlv": in_lane("c", "delivered"),
         "sens_source": (((tool == "read_query") & t.has_sensitive_column("visible"))
                         | ((tool == "read_file") & t.is_sensitive_path("path"))
                         | (is_command & t.is_shell_read("cmd")
                            & (t.is_sensitive_path("cmd") | t.has_sensitive_column("visible")))),
     }
     keep = ["trace_id", "env_type", "idx", "turn", "server", "tool", "flagged", "blocked", "is_write", "is_sink",
-            "is_browser_input", "is_delivery", "canary_id"]
-    hits = pairs.select(*keep, (F.length("core") >= v.MIN_FRAGMENT).alias("core_ok"),
-                        *[c.alias(n) for n, c in flags.items()])
+            "is_browser_input", "is_delivery", "canary_id", "core_ok"]
+    hits = pairs.select(*keep, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()])
     event = W.partitionBy("trace_id", "idx")  # one event: at most one row per secret
 
     def read(value, core):
@@ -218,12 +197,21 @@ def fragment_join(texts: DataFrame, dictionary: DataFrame, text_col: str, scope:
         (F.length("core") >= v.MIN_FRAGMENT) & F.contains(x, F.col("core")) & ~F.contains(x, F.col("value")))
 
 
-def foreign_matches(texts: DataFrame, dictionary: DataFrame, text_col: str, scope: str = "env_type") -> DataFrame:
+def foreign_matches(texts: DataFrame, dictionary: DataFrame, text_col: str, scope: str = "env_type", max_rows: int = BROADCAST_ROWS,
+                    row_id: tuple[str, ...] = ("trace_id", "idx")) -> DataFrame:
     """Secrets of another environment found in a text (contamination); ``home`` is where the secret belongs."""
-    everywhere = (dictionary.withColumnRenamed(scope, "home").withColumn("_all", F.lit(1))
-                  .withColumn("needles", F.array("value")))
-    return (dictionary_pairs(texts.withColumn("_all", F.lit(1)), everywhere, F.col(text_col), "_all")
-            .filter(F.col("home") != F.col(scope)).drop("_all"))
+    values = dictionary.withColumn("needles", F.array("value"))
+    if fits_broadcast(dictionary, max_rows):
+        carry = {"home": F.col(scope), **{c: F.col(c) for c in values.columns if c != scope}}
+        found = scan(texts, values, [F.col(text_col)], {"_value": F.col("needles")}, scope, any_scope=True, carry=carry).drop("_value")
+        return found.filter(F.col("home") != F.col(scope))
+    everywhere = values.withColumnRenamed(scope, "home")
+    anchors = needle_anchors(everywhere.select("home", "canary_id", F.col("value").alias("_needle")), ["home", "canary_id"], "home")
+    probes = texts.select(*row_id, F.explode(anchor_windows(anchors, F.col(text_col))).alias("_anchor"))
+    row = F.struct(*row_id)
+    found = salted_join(probes, anchors.select("_anchor", "home", "canary_id"), ["_anchor"], row).select(*row_id, "home", "canary_id").distinct()
+    hits = texts.join(found, list(row_id)).filter(F.col("home") != F.col(scope))
+    return salted_join(hits, everywhere, ["home", "canary_id"], row).filter(F.contains(F.col(text_col), F.col("value")))
 
 
 def core_overlaps(dictionary: DataFrame) -> DataFrame:

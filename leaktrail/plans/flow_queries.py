@@ -197,11 +197,11 @@ def dictionary_containment_anchored(spark, sf_dir):
     return pairs.select("trace_id", "idx", "canary_id")
 
 
-@query("dictionary_containment_windows", "JON-1 (medium dictionary form)", BASE + "SELECT trace_id, idx, canary_id FROM hits WHERE v_full OR v_args")
+@query("dictionary_containment_windows", "JON-1 (large dictionary form for streams)", BASE + "SELECT trace_id, idx, canary_id FROM hits WHERE v_full OR v_args")
 def dictionary_containment_windows(spark, sf_dir):
     texts = _lanes(spark, sf_dir).select("trace_id", "idx", "env_type", "full", "args_text")
     d = secret_dictionary(spark, sf_dir).withColumn("needles", F.array("value"))
-    pairs = matching.dictionary_pairs(texts, d, F.concat_ws("\n", "full", "args_text"), direct=0)
+    pairs = matching.shared_windows(texts, d.withColumn("core", F.lit("")), F.concat_ws("\n", "full", "args_text"))
     return pairs.select("trace_id", "idx", "canary_id")
 
 

@@ -109,15 +109,14 @@ def test_mutation_recall(spark):
     assert out.filter("any_risk").count() == len(cases)
 
 
-@pytest.mark.parametrize("form", [dict(max_rows=0), dict(direct=0)], ids=["shuffled", "windows"])
-def test_large_dictionary_forms(spark, form):
+def test_large_dictionary_form(spark):
     _, events, dictionary = frames(spark, CASES)
     short = build_dictionary(spark.createDataFrame([("risky_v1", "short", "p4ss"), ("risky_v1", "short2", "Pg$1")], "env_type string, canary_id string, value string"))
     extra = spark.createDataFrame([("s", "risky_v1", 0, "read_file", "filesystem", "{}", "has Pg$1 and " + A)], "trace_id string, env_type string, idx int, tool string, server string, args string, result_full string")
     lanes = matching.text_lanes(events.unionByName(extra, allowMissingColumns=True))
     dictionary = dictionary.unionByName(short)
     a = matching.match_hits(lanes, dictionary)
-    b = matching.match_hits(lanes, dictionary, **form)
+    b = matching.match_hits(lanes, dictionary, max_rows=0)
     assert a.filter("canary_id = 'short2'").count() == 1 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
