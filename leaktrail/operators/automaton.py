@@ -64,7 +64,58 @@ class Matcher:
         return out
 
 
-_MATCHERS: dict[tuple, object] = {}
+def pieces(value: str, size: int) -> list[tuple[str, int]]:
+    """Aligned pieces of ``value`` and their places: every stretch of ``size`` characters holds one of them whole."""
+    width = (size + 1) // 2
+    return [(value[k:k + width], k) for k in range(0, len(value) - width + 1, width)] if size else []
+
+
+class NearMatcher:
+    """Finds values in another letter case and values of which one long stretch, ``share`` of it, is there.
+
+    ``rows`` holds (scope, [value], [value in lower case]) per secret; texts come as they are and in lower case. A long
+    stretch holds one of at most three aligned pieces of its value whole: pieces are found by the automaton and
+    extended to both sides as far as text and value agree.
+    """
+
+    def __init__(self, rows: list[tuple], any_scope: bool = False, share: float = 0.7, least: int = 8):
+        self.any_scope, self.values = any_scope, []
+        parts = []
+        for scope, (value,), _ in rows:
+            size = int(len(value or "") * share)
+            self.values.append((value, size))
+            parts.append((scope, [p for p, _ in pieces(value, size)] if size >= least else []))
+        self.exact = Matcher(parts, any_scope)
+        self.lower = Matcher([(scope, lowered) for scope, _, lowered in rows], any_scope)
+
+    def masks(self, scope, texts: list[str | None]) -> dict[int, list[int]]:
+        """Per secret found: whether its value is there in some letter case, and whether a long stretch of it is."""
+        text, lowered = texts
+        out = {number: [1, 0] for number in self.lower.masks(scope, [lowered])}
+        scope = None if self.any_scope else scope
+        for end, k in self.exact.ends(text or ""):
+            for number, _ in self.exact.owners[k].get(scope, ()):
+                if not (number in out and out[number][1]) and self._long(number, self.exact.patterns[k], text, end):
+                    out.setdefault(number, [0, 0])[1] = 1
+        return out
+
+    def _long(self, number: int, piece: str, text: str, end: int) -> bool:
+        value, size = self.values[number]
+        for part, at in pieces(value, size):
+            if part != piece:
+                continue
+            left, right, start = at, at + len(part), end + 1 - len(part)
+            while left and start and value[left - 1] == text[start - 1]:
+                left, start = left - 1, start - 1
+            stop = end + 1
+            while right < len(value) and stop < len(text) and value[right] == text[stop]:
+                right, stop = right + 1, stop + 1
+            if right - left >= size:
+                return True
+        return False
+
+
+_MATCHERS: dict[str, object] = {}
 
 
 def worker_cache(key, make):
@@ -77,12 +128,13 @@ def worker_cache(key, make):
 
 
 def scan(texts: DataFrame, dictionary: DataFrame, lanes: list[Column], kinds: dict[str, Column], scope: str = "env_type",
-         any_scope: bool = False, carry: dict[str, Column] | None = None) -> DataFrame:
+         any_scope: bool = False, carry: dict[str, Column] | None = None, finder: type = Matcher, answers: list[str] | None = None) -> DataFrame:
     """The columns of ``texts`` with ``carry`` and a mask per kind: one row per (text, secret) with a pattern in a lane.
 
     ``kinds`` names arrays of patterns of ``dictionary``; bit j of a kind's mask says that one of them occurs in lane j.
     A null lane holds nothing. Names of ``carry`` and ``kinds`` must not be columns of ``texts``. The dictionary must be
-    within the broadcast bound (``fits_broadcast``): it is gathered and sent to the workers.
+    within the broadcast bound (``fits_broadcast``): it is gathered and sent to the workers. Another ``finder`` may give
+    other numbers than masks; ``answers`` names them.
     """
     spark = texts.sparkSession
     importable(spark)
@@ -91,15 +143,16 @@ def scan(texts: DataFrame, dictionary: DataFrame, lanes: list[Column], kinds: di
     rows = known.collect()
     numbered = spark.createDataFrame([(k, r["_carry"]) for k, r in enumerate(rows)], known.select("_n", "_carry").schema)
     sent = spark.sparkContext.broadcast([(r["_home"], *[list(r[n] or ()) for n in kinds]) for r in rows])
-    key, names, found = uuid.uuid4().hex, ["n", *kinds], pa.list_(pa.struct([("n", pa.int64()), *[(n, pa.int64()) for n in kinds]]))
+    answers = answers or list(kinds)
+    key, names, found = uuid.uuid4().hex, ["n", *answers], pa.list_(pa.struct([("n", pa.int64()), *[(n, pa.int64()) for n in answers]]))
 
-    @F.arrow_udf("array<struct<n: bigint, " + ", ".join(f"`{n}`: bigint" for n in kinds) + ">>")
+    @F.arrow_udf("array<struct<n: bigint, " + ", ".join(f"`{n}`: bigint" for n in answers) + ">>")
     def hits(scopes: pa.Array, columns: pa.Array) -> pa.Array:
-        m = worker_cache(key, lambda: Matcher(sent.value, any_scope))
+        m = worker_cache(key, lambda: finder(sent.value, any_scope))
         return pa.array([[dict(zip(names, (n, *bits))) for n, bits in m.masks(s, row).items()]
                          for s, row in zip(scopes.to_pylist(), columns.to_pylist())], found)
 
     whole = [F.col(f"`{c}`") for c in texts.columns]
     flat = texts.select(*whole, F.explode(hits(F.col(scope), F.array(*lanes))).alias("_hit"))
     joined = flat.join(F.broadcast(numbered), F.col("_hit.n") == F.col("_n"))
-    return joined.select(*whole, *[F.col(f"_carry.{n}").alias(n) for n in carry or {}], *[F.col(f"_hit.{n}").alias(n) for n in kinds])
+    return joined.select(*whole, *[F.col(f"_carry.{n}").alias(n) for n in carry or {}], *[F.col(f"_hit.{n}").alias(n) for n in answers])

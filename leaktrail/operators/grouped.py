@@ -25,13 +25,13 @@ def attach_facts(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Col
                  how: str = "inner", hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """Join ``facts`` (one row per key; ``weight`` = rows of that key) onto ``rows``.
 
-    At most ``total rows / hot_rows`` keys can be hot, so the hot list is bounded
-    and safe to broadcast. A hot key's rows spread over ``salts`` tasks and its
+    At most ``total rows / hot_rows`` keys can be hot; their list is broadcast if its
+    measured size allows. A hot key's rows spread over ``salts`` tasks and its
     single fact row is repeated once per salt. All other keys join as they are.
     """
     is_hot = F.col(weight) > hot_rows
     hot = facts.filter(is_hot).select(*keys, F.lit(True).alias("_hot"))
-    salted = (rows.join(F.broadcast(hot), keys, "left")
+    salted = (rows.join(maybe_broadcast(hot), keys, "left")
               .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
               .drop("_hot"))
     spread_facts = facts.withColumn(

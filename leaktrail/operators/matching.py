@@ -10,7 +10,7 @@ from leaktrail import vocab as v
 from leaktrail.functions import outcome as o
 from leaktrail.functions import text as t
 from leaktrail.operators.anchors import anchor_windows, needle_anchors
-from leaktrail.operators.automaton import scan
+from leaktrail.operators.automaton import NearMatcher, scan
 from leaktrail.operators.grouped import salted_join
 from leaktrail.session import BROADCAST_ROWS, fits_broadcast
 
@@ -232,17 +232,26 @@ def core_overlaps(dictionary: DataFrame) -> DataFrame:
             .select("inner_env", "inner_id", "outer_env", "outer_id", (F.col("a") == F.col("b")).alias("equal")))
 
 
-def near_matches(texts: DataFrame, dictionary: DataFrame, text_col: str, scope: str = "env_type") -> DataFrame:
-    """Near misses: the value in another letter case, or 70 % of it in one piece."""
-    n = F.length("value")
-    size = F.floor(n * F.lit(0.7)).cast("int")
-    parts = F.when(size >= 8, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(F.col("value"), i, size))
-                   ).otherwise(F.array().cast("array<string>"))
-    lower = F.lower("value")
-    probes = dictionary.withColumn("parts", parts).withColumn("lowered", lower)
-    probes = probes.withColumn("needles", F.array_distinct(F.concat(F.array("lowered"), F.transform("parts", lambda p: F.lower(p)))))
+def near_matches(texts: DataFrame, dictionary: DataFrame, text_col: str, scope: str = "env_type", max_rows: int = BROADCAST_ROWS,
+                 row_id: tuple[str, ...] = ("trace_id", "idx")) -> DataFrame:
+    """Near misses: the value in another letter case, or 70 % of it (8 characters at least) in one piece.
+
+    A stretch of 70 % holds one of a value's few aligned pieces whole. They are what is searched for, so the number of
+    needles does not depend on how long the values are; candidates are verified by extending the piece.
+    """
     x = F.col(text_col)
-    hay = F.lower(x)
-    pairs = dictionary_pairs(texts, probes, hay, scope)
-    return pairs.withColumn("other_case", F.contains(F.lower(x), F.col("lowered"))).withColumn(
-        "long_part", F.exists("parts", lambda p: F.contains(x, p))).filter("other_case OR long_part").drop("parts", "lowered")
+    if fits_broadcast(dictionary, max_rows):
+        rest = {c: F.col(f"`{c}`") for c in dictionary.columns if c != scope}
+        kinds = {"_value": F.array("value"), "_lowered": F.array(F.lower("value"))}
+        found = scan(texts, dictionary, [x, F.lower(x)], kinds, scope, carry=rest, finder=NearMatcher, answers=["other_case", "long_part"])
+        return found.withColumns({c: F.col(c) != 0 for c in ("other_case", "long_part")})
+    size = F.floor(F.length("value") * F.lit(0.7)).cast("int")
+    width = F.floor((size + 1) / 2).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), F.length("value") - width + 1, width), lambda i: F.lower(F.substring(F.col("value"), i, width)))
+    nothing = F.array().cast("array<string>")
+    probes = dictionary.withColumn("needles", F.array_distinct(F.concat(F.array(F.lower("value")), F.when(size >= 8, cut).otherwise(nothing))))
+    pairs = dictionary_pairs(texts, probes, F.lower(x), scope, max_rows=max_rows, row_id=row_id)
+    parts = F.when(size >= 8, F.transform(F.sequence(F.lit(1), F.length("value") - size + 1), lambda i: F.substring(F.col("value"), i, size))
+                   ).otherwise(nothing)
+    pairs = pairs.withColumn("_parts", parts).withColumn("other_case", F.contains(F.lower(x), F.lower("value")))
+    return pairs.withColumn("long_part", F.exists("_parts", lambda p: F.contains(x, p))).filter("other_case OR long_part").drop("_parts")
