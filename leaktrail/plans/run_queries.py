@@ -158,7 +158,7 @@ def taint_guard_stream(spark, sf_dir):
     g.use_rocksdb(spark)
     events = tool_events_from(spark, sf_dir, _event_stream(spark, sf_dir))
     folder = _folder(spark, "guard")
-    return g.run_once(g.guard_stream(events, secret_dictionary(spark, sf_dir)), f"{folder}/out", f"{folder}/checkpoint")
+    return g.run_guard(events, tool_events(spark, sf_dir), secret_dictionary(spark, sf_dir), f"{folder}/out", f"{folder}/checkpoint")
 
 
 @query("run_monitor_stream", "STR-3, STR-4", _MON + f"SELECT {_MON_COLS} FROM judged")

@@ -1,15 +1,18 @@
 """Taint guard over an event stream.
 
-Matching and redaction are ordinary JVM expressions (a stream-static join with the
-dictionary, then literal replacement). Only the question "was this secret read
-earlier in this trace?" needs state, so the stateful operator sees nothing but
-(event, secret) hits and keeps two numbers per secret and trace.
+Matching is one automaton over the texts of a call (or the anchored lookup beyond the broadcast
+bound), redaction is literal replacement. Only the question "was this secret read earlier in this
+trace?" needs state. It is kept per (trace, secret): the first read of the value and of the core,
+two numbers that new reads can only lower. A call is blocked if they lie before it, so neither
+order nor a walk over rows is needed, a busy trace spreads over its secrets, and a state that
+nothing touches for ``ttl`` goes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,76 +20,112 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from leaktrail import vocab as v
 from leaktrail.functions import text as t
+from leaktrail.operators.automaton import scan
 from leaktrail.operators.matching import shared_windows, with_event_defaults
 from leaktrail.operators.redaction import redact_known
-from leaktrail.session import fits_broadcast
+from leaktrail.session import fits_broadcast, importable
 
-_OUT = "trace_id string, idx bigint, tool string, raw_args string, n_verbatim bigint, n_fragment bigint, late boolean, values array<string>, cores array<string>"
+#: How long the state of a (trace, secret) lives after its last read or call.
+TTL_MS = 7 * 24 * 3600 * 1000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CALL = "trace_id string, canary_id string, idx bigint, verbatim boolean, fragment boolean, value_known boolean, core_known boolean, late boolean"
+_NEVER = 2**62
 
 
-class SeenSecrets(StatefulProcessor):
-    """Per trace: when each secret's value and core were first read, and how far the trace has been processed."""
+class SeenSecret(StatefulProcessor):
+    """Per (trace, secret): when its value and core were first read, and the last call or read processed."""
+
+    def __init__(self, ttl_ms: int | None = TTL_MS):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "canary_id string", "value_at bigint, core_at bigint")
-        self.last = handle.getValueState("last", "idx bigint")
+        self.seen = handle.getValueState("seen", "value_at bigint, core_at bigint, done bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("idx", kind="stable")
-        done = self.last.get()[0] if self.last.exists() else -1
-        far = 2**62
-        out = []
-        for idx, call in batch.groupby("idx", sort=True):
-            values, cores, verbatim, fragment = [], [], 0, 0
-            for r in call.itertuples():  # check first ...
-                value_at, core_at = self.seen.getValue((r.canary_id,)) if self.seen.containsKey((r.canary_id,)) else (far, far)
-                if r.is_delivery:
-                    known_value, known_core = value_at < idx, core_at < idx
-                    hit_value, hit_core = known_value and r.in_value, known_core and r.in_core
-                    if hit_value or hit_core:
-                        values += [r.value] if known_value else []
-                        cores += [r.core] if known_core else []
-                        verbatim, fragment = verbatim + bool(hit_value), fragment + bool(hit_core)
-            for r in call.itertuples():  # ... then observe the same event
-                if r.saw_value or r.saw_core:
-                    value_at, core_at = self.seen.getValue((r.canary_id,)) if self.seen.containsKey((r.canary_id,)) else (far, far)
-                    self.seen.updateValue((r.canary_id,), (min(value_at, idx) if r.saw_value else value_at, min(core_at, idx)))
-            if verbatim or fragment:
-                first = call.iloc[0]
-                out.append((key[0], int(idx), first.tool, first.raw_args, verbatim, fragment, bool(idx <= done), values, cores))
-        self.last.update((max(done, int(batch["idx"].max())),))
-        names = [c.strip().split(" ")[0] for c in _OUT.split(",")]
-        yield pd.DataFrame(out, columns=names)
+        value_at, core_at, done = self.seen.get() if self.seen.exists() else (_NEVER, _NEVER, -1)
+        last, calls = done, []
+        for part in rows:
+            idx = part["idx"].to_numpy(np.int64)
+            saw_value, saw_core = part["saw_value"].to_numpy(bool), part["saw_core"].to_numpy(bool)
+            value_at = min(value_at, int(idx[saw_value].min(initial=_NEVER)))
+            core_at = min(core_at, int(idx[saw_core].min(initial=_NEVER)))
+            last = max(last, int(idx.max(initial=-1)))
+            calls.append(part.loc[part["is_delivery"], ["idx", "in_value", "in_core"]])
+        self.seen.update((value_at, core_at, last))
+        call = pd.concat(calls)  # of one secret in one trace in one micro-batch, three narrow columns
+        value_known, core_known = call["idx"] > value_at, call["idx"] > core_at
+        out = pd.DataFrame({"trace_id": key[0], "canary_id": key[1], "idx": call["idx"], "verbatim": value_known & call["in_value"],
+                            "fragment": core_known & call["in_core"], "value_known": value_known, "core_known": core_known, "late": call["idx"] <= done})
+        yield out[out["verbatim"] | out["fragment"]]
 
     def close(self) -> None:
         pass
 
 
+def _lanes(events: DataFrame) -> DataFrame:
+    args = F.coalesce("args", F.lit("{}"))
+    return with_event_defaults(events).select(
+        "trace_id", "env_type", "idx", "tool", args.alias("raw_args"), t.strip_md(args).alias("guard_args"),
+        t.strip_md(F.coalesce("result_full", F.lit(""))).alias("full"), F.col("tool").isin(v.DELIVERY_TOOLS).alias("is_delivery"))
+
+
 def secret_hits(events: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(event, secret) hits of a stream: which secrets a call reads or sends."""
+    """(event, secret) hits of a stream or table: which secrets a call reads or sends; no texts go along."""
     c = F.col
-    e = with_event_defaults(events)
-    args = F.coalesce("args", F.lit("{}"))
-    lanes = e.select("trace_id", "env_type", "idx", "tool", args.alias("raw_args"), t.strip_md(args).alias("guard_args"),
-                     t.strip_md(F.coalesce("result_full", F.lit(""))).alias("full"), c("tool").isin(v.DELIVERY_TOOLS).alias("is_delivery"))
+    lanes = _lanes(events)
     d = dictionary.select("env_type", F.col("canary_id").cast("string").alias("canary_id"), "value", "core")
     reads = c("tool").isin(v.GUARD_READ_TOOLS)
-    flags = {"saw_value": reads & F.contains("full", c("value")),
-             "in_value": c("is_delivery") & F.contains("guard_args", c("value")), "in_core": c("is_delivery") & F.contains("guard_args", c("core"))}
-    pairs = lanes.join(F.broadcast(d), "env_type") if fits_broadcast(dictionary) else shared_windows(lanes, d, F.concat_ws("\n", "full", "guard_args"))
-    hits = pairs.withColumns(flags)
-    hits = hits.withColumn("saw_core", c("saw_value") | (reads & F.contains("full", c("core"))))
-    return hits.filter("saw_core OR in_value OR in_core").select(
-        "trace_id", "idx", "tool", "raw_args", "canary_id", "value", "core", "is_delivery", "saw_value", "saw_core", "in_value", "in_core")
+    narrow = ["trace_id", "idx", "canary_id", "is_delivery", "saw_value", "saw_core", "in_value", "in_core"]
+    if fits_broadcast(dictionary):
+        texts = [F.when(reads, c("full")), F.when(c("is_delivery"), c("guard_args"))]
+        found = scan(lanes, d, texts, {"_v": F.array("value"), "_c": F.array("core")}, carry={"canary_id": c("canary_id")})
+        bits = {"saw_value": ("_v", 1), "saw_core": ("_c", 1), "in_value": ("_v", 2), "in_core": ("_c", 2)}
+        hits = found.withColumns({n: c(kind).bitwiseAND(bit) != 0 for n, (kind, bit) in bits.items()})
+    else:
+        flags = {"saw_value": reads & F.contains("full", c("value")), "saw_core": reads & F.contains("full", c("core")),
+                 "in_value": c("is_delivery") & F.contains("guard_args", c("value")), "in_core": c("is_delivery") & F.contains("guard_args", c("core"))}
+        hits = shared_windows(lanes, d, F.concat_ws("\n", "full", "guard_args")).withColumns({n: F.coalesce(f, F.lit(False)) for n, f in flags.items()})
+        hits = hits.filter("saw_value OR saw_core OR in_value OR in_core")
+    return hits.withColumn("saw_core", c("saw_value") | c("saw_core")).select(*narrow)
+
+
+def known_calls(events: DataFrame, dictionary: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
+    """(call, secret) rows of an event stream: calls that send a secret read earlier in their trace.
+
+    ``late`` marks calls not behind everything already processed of their (trace, secret). A read that arrives after a
+    call it should have preceded no longer blocks that call, but all later ones.
+    """
+    importable(events.sparkSession)
+    return secret_hits(events, dictionary).groupBy("trace_id", "canary_id").transformWithStateInPandas(
+        statefulProcessor=SeenSecret(ttl_ms), outputStructType=_CALL, outputMode="Append", timeMode="ProcessingTime")
+
+
+def redacted_calls(known: DataFrame, events: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Blocked calls with redacted arguments, from (call, secret) rows and the events they belong to.
+
+    A call has at most one row per secret, so the lists are as long as the secrets found in one call.
+    """
+    c = F.col
+    d = dictionary.select("env_type", c("canary_id").cast("string").alias("canary_id"), "value", "core")
+    calls = with_event_defaults(events).select("trace_id", "idx", "env_type", "tool", F.coalesce("args", F.lit("{}")).alias("raw_args"))
+    blocked = known.select("trace_id", "idx").distinct()
+    texts = calls.join(blocked, ["trace_id", "idx"], "left_semi")
+    values = known.join(texts.select("trace_id", "idx", "env_type"), ["trace_id", "idx"]).join(d, ["env_type", "canary_id"])
+    per_call = values.groupBy("trace_id", "idx").agg(
+        F.count_if("verbatim").alias("n_verbatim"), F.count_if("fragment").alias("n_fragment"), F.max("late").alias("late"),
+        F.collect_list(F.when(c("value_known"), c("value"))).alias("values"), F.collect_list(F.when(c("core_known"), c("core"))).alias("cores"))
+    return texts.join(per_call, ["trace_id", "idx"]).select(
+        "trace_id", "idx", "tool", "n_verbatim", "n_fragment", "late", redact_known("raw_args", "values", "cores").alias("sanitized_args"))
+
 
+def run_guard(events: DataFrame, log: DataFrame, dictionary: DataFrame, path: str, checkpoint: str, ttl_ms: int | None = TTL_MS) -> DataFrame:
+    """Guard everything a stream of events has available; blocked calls with redacted arguments.
 
-def guard_stream(events: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Blocked calls of an event stream with redacted arguments. ``late`` marks calls behind already processed ones."""
-    stateful = secret_hits(events, dictionary).groupBy("trace_id").transformWithStateInPandas(
-        statefulProcessor=SeenSecrets(), outputStructType=_OUT, outputMode="Append", timeMode="None")
-    return stateful.select("trace_id", "idx", "tool", "n_verbatim", "n_fragment", "late",
-                           redact_known("raw_args", "values", "cores").alias("sanitized_args"))
+    The stream leaves narrow (call, secret) rows under ``path``; arguments are fetched from ``log``, the stored events, only
+    for blocked calls.
+    """
+    known = run_once(known_calls(events, dictionary, ttl_ms), path, checkpoint, empty_batches=False)
+    return redacted_calls(known, log, dictionary)
 
 
 def guard_counters(blocked: DataFrame) -> DataFrame:
@@ -99,9 +138,19 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process everything available, write to ``path`` and read it back."""
-    q = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-         .outputMode(mode).trigger(availableNow=True).start())
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", empty_batches: bool = True) -> DataFrame:
+    """Process everything available, write to ``path`` and read it back.
+
+    A query whose state expires by the clock always has a reason for one more batch without data; without
+    ``empty_batches`` it ends with the data.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, str(empty_batches and before == "true").lower())
+    try:  # the query takes its settings when it starts
+        q = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+             .outputMode(mode).trigger(availableNow=True).start())
+    finally:
+        conf.set(name, before)
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -20,7 +20,7 @@ def test_guard_over_batches(spark, tmp_path):
         src.filter((F.col("event_id") >= cut[i]) & (F.col("event_id") < cut[i + 1])).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     files = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     d = secret_dictionary(spark, SF)
-    out = g.run_once(g.guard_stream(tool_events_from(spark, SF, files), d), f"{tmp_path}/out", f"{tmp_path}/cp").drop("late")
+    out = g.run_guard(tool_events_from(spark, SF, files), tool_events(spark, SF), d, f"{tmp_path}/out", f"{tmp_path}/cp").drop("late")
     expected = m.guard(tool_events(spark, SF), d)
     assert expected.count() > 0
     assert out.exceptAll(expected).isEmpty() and expected.exceptAll(out).isEmpty()
@@ -35,10 +35,59 @@ def test_guard_beyond_the_broadcast_bound(spark, tmp_path, monkeypatch):
     d = secret_dictionary(spark, SF)
     expected = m.guard(tool_events(spark, SF), d)
     monkeypatch.setattr(g, "fits_broadcast", lambda *a, **k: False)
-    out = g.run_once(g.guard_stream(tool_events_from(spark, SF, files), d), f"{tmp_path}/out", f"{tmp_path}/cp").drop("late")
+    out = g.run_guard(tool_events_from(spark, SF, files), tool_events(spark, SF), d, f"{tmp_path}/out", f"{tmp_path}/cp").drop("late")
     assert out.exceptAll(expected).isEmpty() and expected.exceptAll(out).isEmpty()
 
 
+LOG = "trace_id string, env_type string, idx bigint, tool string, args string, result_full string"
+
+
+def guard_batches(spark, tmp_path, batches, ttl_ms=g.TTL_MS, pause=0.0):
+    """Blocked calls after each of several micro-batches, each started anew from the checkpoint."""
+    import time
+
+    from leaktrail.functions.secrets import build_dictionary
+
+    d = build_dictionary(spark.createDataFrame([("risky_v1", f"s{k}", f"sk_live_{k}abcdefghijklmnop") for k in range(4)], "env_type string, canary_id string, value string"))
+    (tmp_path / "in").mkdir()
+    files = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in/*")
+    log = spark.createDataFrame([r for b in batches for r in b], LOG)
+    for i, rows in enumerate(batches):
+        for part in (0, 1):
+            spark.createDataFrame(rows[part::2], LOG).coalesce(1).write.parquet(f"{tmp_path}/in/{i}{part}")
+        out = g.run_guard(files, log, d, f"{tmp_path}/out", f"{tmp_path}/cp", ttl_ms)
+        yield {(r.trace_id, r.idx): (r.late, r.sanitized_args) for r in out.collect()}
+        time.sleep(pause)
+
+
+def _read(trace, idx, k):
+    return (trace, "risky_v1", idx, "read_file", "{}", f"got sk_live_{k}abcdefghijklmnop")
+
+
+def _send(trace, idx, *ks):
+    return (trace, "risky_v1", idx, "write_file", '{"content": "' + " ".join(f"sk_live_{k}abcdefghijklmnop" for k in ks) + '"}', "ok")
+
+
+def test_guard_late_calls_over_three_batches(spark, tmp_path):
+    batches = [[_read("a", 1, 0), _send("a", 5, 0), _send("a", 6, 1), _read("b", 9, 2)],
+               [_send("a", 3, 0), _read("a", 4, 1), _send("b", 2, 2), _send("b", 10, 2, 3)],
+               [_send("a", 7, 0, 1), _read("a", 2, 1), _read("b", 1, 3), _send("c", 8, 0)]]
+    first, second, third = guard_batches(spark, tmp_path, batches)
+    assert {k: late for k, (late, _) in first.items()} == {("a", 5): False}
+    # a call that comes late is checked against what was read before it, and the read of a secret late blocks later calls only
+    assert {k: late for k, (late, _) in second.items()} == {("a", 5): False, ("a", 3): True, ("b", 10): False}
+    assert {k: late for k, (late, _) in third.items()} == {("a", 5): False, ("a", 3): True, ("b", 10): False, ("a", 7): False}
+    assert third["a", 7][1].count("REDACTED") == 2 and "sk_live_3" in third["b", 10][1] and "sk_live_2" not in third["b", 10][1]
+
+
+def test_guard_state_expires(spark, tmp_path):
+    batches = [[_read("a", 1, 0), _read("b", 1, 1)], [_send("a", 5, 0), _send("b", 6, 1)]]
+    *_, kept = guard_batches(spark, tmp_path, batches)
+    (tmp_path / "short").mkdir()
+    *_, gone = guard_batches(spark, tmp_path / "short", batches, ttl_ms=1, pause=0.5)
+    assert set(kept) == {("a", 5), ("b", 6)} and gone == {}
+
+
 @pytest.mark.parametrize("width", [3, 1000])
 def test_monitor_over_batches(spark, tmp_path, width):
     rows = run_queries._monitor_input(spark, SF).withColumn("user_id", F.col("user_id").cast("bigint"))
