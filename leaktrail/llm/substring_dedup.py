@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from leaktrail.llm.blocks import (BLOCK_BYTES, ROUTE_HASHES, Windows, by_block_rows, byte_values, cover, cut_by_route, deal, found_in, joined, packed,
-                                  routes_for)
+from leaktrail.llm.blocks import BLOCK_BYTES, ROUTE_HASHES, Windows, by_block_rows, cover, cut_by_route, deal, found_in, joined, packed, routes_for
+from leaktrail.llm.periodic import split_words
 
 WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+SEED = 42
 #: Bits of an anchor's hash that are exchanged; the last of six bytes tells whether the block has it twice.
 _ANCHOR_BITS = 47
 
@@ -30,15 +31,12 @@ class BlockWords:
 
     def __init__(self, texts: list[str | None]):
         self.parts = [(t or "").encode("utf-8") for t in texts]
-        data = np.frombuffer(b"\n".join(self.parts) + b"\n", np.uint8)
-        blank = _SPACE[data]
-        before = np.r_[True, blank[:-1]]
-        start, end = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
-        hashes = Windows(byte_values(data)).at(start, end)
-        offsets = np.cumsum([0] + [len(p) + 1 for p in self.parts])
-        self.first = np.searchsorted(start, offsets)  # the first word of each document, and the end
+        words, self.first = split_words(pa.array(texts, pa.string()))  # the first word of each document, and the end
+        coded = words.dictionary_encode()
+        distinct = np.array([xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], np.uint64)
+        hashes = distinct[coded.indices.to_numpy()]
         self.doc = np.repeat(np.arange(len(self.parts)), np.diff(self.first))
-        self.place = np.arange(len(start)) - self.first[self.doc]
+        self.place = np.arange(len(hashes)) - self.first[self.doc]
         self.windows = Windows(hashes)
 
     def hashes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +153,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts have no words. A row with a null id neither loses words nor counts as an earlier one, and rows
     of the same id do not count as earlier for each other. Ids are integers. Only id and text are read. An empty table
-    gives no rows. Windows are compared by 64-bit hashes of their words.
+    gives no rows. Words are named by XXH64 of their bytes, windows by a 64-bit hash of their words' names.
     """
     dealt, total = deal(docs, id_col, text_col, block_bytes)
     bits = routes_for(total / 6 * len(COVER) / PERIOD, route_hashes)

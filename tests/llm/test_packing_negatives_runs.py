@@ -268,3 +268,18 @@ def test_query_plants_and_finds(spark, tmp_path):
         assert tuple(got[i]) == (i, len(runs), s, length, q, 1000 * length // q if q else None,
                                  sha("".join(f"{a},{b},{c}\n" for a, b, c in sorted(runs, key=lambda r: (r[0], r[2])))), sha(collapsed(w, runs)))
     assert planted > 20
+
+
+# ---- substring removal
+
+
+def test_structured_words_are_not_taken_for_equal(spark):
+    """Thue-Morse words and their complements collide under polynomials modulo a power of two, whatever the letters."""
+    from leaktrail.llm import substring_dedup
+
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(4_096))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    shared = " ".join(f"w{k}" for k in range(12))
+    texts = [f"{shared} {morse}", f"{shared} {other}", f"{shared} {morse} tail", None, ""]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()}
+    assert got == {0: (13, 0), 1: (13, 0), 2: (14, 13), 3: (0, 0), 4: (0, 0)}
