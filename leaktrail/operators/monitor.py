@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from leaktrail import vocab as v
 from leaktrail.functions import text as t
@@ -167,3 +168,63 @@ def recent_health(traces: DataFrame, events: DataFrame, order: str, last: int =
     bad_errors = blocking & (rate("error_in_result", "total") > 0.5) & (F.col("error_in_result") >= 3)
     bad_empty = (F.col("server") == "git") & (rate("empty", "total") > 0.3)
     return out.withColumn("unhealthy", bad_errors | bad_empty)
+
+
+def validation_input(traces: DataFrame, events: DataFrame) -> DataFrame:
+    """``traces`` with what validation needs of their events: per server the calls, error texts and empty results."""
+    per_server = events.groupBy("trace_id", "server").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(t.has_error_text("result_full")).alias("errors"),
+        F.count_if(F.trim(F.coalesce("result_full", F.lit(""))) == "").alias("empty"))
+    called = per_server.groupBy("trace_id").agg(F.collect_list(F.struct("server", "total", "errors", "empty")).alias("called"))
+    nothing = F.array().cast(called.schema["called"].dataType)
+    return traces.join(called, "trace_id", "left").withColumn("called", F.coalesce("called", nothing))
+
+
+def with_position(traces: DataFrame, run: str, order: str, bucket: Column) -> DataFrame:
+    """``pos``: 1 for the first trace of a run, counted bucket by bucket."""
+    return running(traces, [run], order, bucket, {"pos": ("sum", F.lit(1))})
+
+
+def periodic_validation(positioned: DataFrame, run: str, early: int = v.EARLY_TRACES, every: int = v.PERIODIC_TRACES,
+                        last: int = v.EARLY_TRACES) -> DataFrame:
+    """One row per (run, checkpoint): is the run healthy, judged by its last ``last`` traces?
+
+    Checkpoints are the ``early``-th trace and every multiple of ``every`` that the run has reached. A server fails with
+    over half of at least three calls in error (browser and shell calls may fail), git also with over 30 % empty
+    results, and a mechanism that needs git fails if at least two of its traces never called it. A trace goes to the
+    checkpoints it is near to, two at most, so nothing is joined to windows.
+    """
+    c = F.col
+    regular = F.ceil(c("pos") / F.lit(every)) * every
+    near = F.filter(F.array_distinct(F.array(F.lit(early).cast("long"), regular.cast("long"))),
+                    lambda k: (c("pos") <= k) & (c("pos") > k - last))
+    rows = positioned.select(run, "mechanism", "called", "pos", F.explode(near).alias("checkpoint"))
+    git_task = c("mechanism") == "git_history_leak"
+    traces = rows.groupBy(run, "checkpoint").agg(
+        F.count(F.lit(1)).alias("n_traces"), F.max("pos").alias("_reached"), F.count_if(git_task).alias("_git_tasks"),
+        F.count_if(git_task & F.exists("called", lambda s: s["server"] == "git")).alias("_git_used"))
+    calls = rows.select(run, "checkpoint", F.inline("called")).groupBy(run, "checkpoint", "server").agg(
+        *[F.sum(n).alias(n) for n in ("total", "errors", "empty")])
+    failing = ~c("server").isin("browser", "shell") & (rate("errors", "total") > 0.5) & (c("errors") >= 3)
+    servers = calls.groupBy(run, "checkpoint").agg(
+        F.array_join(F.array_sort(F.collect_set(F.when(failing, c("server")))), "+").alias("failing_servers"),
+        F.max((c("server") == "git") & (rate("empty", "total") > 0.3)).alias("git_empty"))
+    out = traces.filter(c("_reached") == c("checkpoint")).join(servers, [run, "checkpoint"], "left")
+    out = out.select(run, "checkpoint", "n_traces", F.coalesce("failing_servers", F.lit("")).alias("failing_servers"),
+                     F.coalesce("git_empty", F.lit(False)).alias("git_empty"),
+                     ((c("_git_tasks") >= 2) & (c("_git_used") == 0)).alias("git_unused"))
+    return out.withColumn("healthy", (c("failing_servers") == "") & ~c("git_empty") & ~c("git_unused"))
+
+
+def recent_tokens(positioned: DataFrame, run: str, last: int = v.TOKEN_TRACES, block: int = 100_000) -> DataFrame:
+    """``recent_tokens`` and ``recent_traces``: tokens and number of the last ``last`` traces up to each one.
+
+    The run is cut into blocks of positions and a block gets the last rows of the one before it along, so a window
+    never holds a whole run.
+    """
+    at = F.floor(F.col("pos") / block)
+    overlap = F.when((F.col("pos") % block) > block - last, F.array(at, at + 1)).otherwise(F.array(at))
+    rows = positioned.withColumn("_at", at).withColumn("_block", F.explode(overlap))
+    window = W.partitionBy(run, "_block").orderBy("pos").rowsBetween(1 - last, 0)
+    out = rows.withColumn("recent_tokens", F.sum("total_tokens").over(window)).withColumn("recent_traces", F.count(F.lit(1)).over(window))
+    return out.filter(F.col("_at") == F.col("_block")).drop("_at", "_block")

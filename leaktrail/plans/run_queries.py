@@ -13,7 +13,7 @@ from leaktrail.operators.grouped import running
 from leaktrail.plans.flow_queries import BASE, _list, event_bucket
 from leaktrail.plans.rate_queries import V, verdicts
 from leaktrail.plans.registry import query, table
-from leaktrail.plans.views import TOOL_EVENTS_SQL, secret_dictionary, tool_events, with_sql
+from leaktrail.plans.views import TOOL_EVENTS_SQL, TRACES_SQL, secret_dictionary, tool_events, traces, with_sql
 from leaktrail.session import shared_dir, staged
 
 EVENTS = with_sql(TOOL_EVENTS_SQL)
@@ -109,6 +109,73 @@ def recent_health(spark, sf_dir):
     return m.recent_health(e.select("trace_id", "user_id").distinct(), e, "user_id", v.PERIODIC_TRACES)
 
 
+_VALIDATION = with_sql(TOOL_EVENTS_SQL, TRACES_SQL) + f""", per AS (SELECT trace_id, server, count(*) AS total,
+  count(*) FILTER (contains(lower(result_full), 'validation error') OR contains(lower(result_full), 'required property') OR contains(lower(result_full), 'invalid') OR contains(lower(result_full), 'error:')) AS errors,
+  count(*) FILTER (trim(result_full) = '') AS empty FROM tool_events GROUP BY ALL),
+tr AS (SELECT trace_id, user_id, user_id % 3 AS run, mechanism, row_number() OVER w AS pos, count(*) OVER (PARTITION BY user_id % 3) AS n FROM traces WINDOW w AS (PARTITION BY user_id % 3 ORDER BY user_id)),
+cp AS (SELECT DISTINCT run, {v.EARLY_TRACES} AS c FROM tr WHERE n >= {v.EARLY_TRACES} UNION SELECT DISTINCT run, unnest(range({v.PERIODIC_TRACES}, n + 1, {v.PERIODIC_TRACES})) FROM tr),
+win AS (SELECT cp.run, c, trace_id, mechanism FROM cp JOIN tr ON cp.run = tr.run AND pos <= c AND pos > c - {v.EARLY_TRACES}),
+srv AS (SELECT run, c, server, sum(total) AS total, sum(errors) AS errors, sum(empty) AS empty FROM win JOIN per USING (trace_id) GROUP BY ALL),
+bad AS (SELECT run, c, coalesce(string_agg(server, '+' ORDER BY server) FILTER (server NOT IN ('browser', 'shell') AND errors / total > 0.5 AND errors >= 3), '') AS failing_servers,
+  bool_or(server = 'git' AND empty / total > 0.3) AS git_empty FROM srv GROUP BY ALL),
+git AS (SELECT run, c, count(*) AS n_traces, count(*) FILTER (mechanism = 'git_history_leak') >= 2
+  AND count(*) FILTER (mechanism = 'git_history_leak' AND EXISTS (SELECT 1 FROM per WHERE per.trace_id = win.trace_id AND server = 'git')) = 0 AS git_unused FROM win GROUP BY ALL)
+SELECT *, failing_servers = '' AND NOT git_empty AND NOT git_unused AS healthy FROM (
+  SELECT run, c AS checkpoint, n_traces, coalesce(failing_servers, '') AS failing_servers, coalesce(git_empty, false) AS git_empty, git_unused FROM git LEFT JOIN bad USING (run, c))"""
+
+
+def _validation_input(spark, sf_dir):
+    """Traces in order of their number, three runs, with the calls and tokens of their events."""
+    e = tool_events(spark, sf_dir)
+    t = traces(spark, sf_dir).select("trace_id", "user_id", (F.col("user_id") % 3).alias("run"), "mechanism")
+    tokens = F.aggregate("called", F.lit(0).cast("long"), lambda n, s: n + s["total"]) * 20000
+    return staged(m.validation_input(t, e).withColumn("total_tokens", tokens), "validation-input")
+
+
+@query("periodic_validation", "STR-6, WIN-9, AGG-26", _VALIDATION)
+def periodic_validation(spark, sf_dir):
+    return m.periodic_validation(m.with_position(_validation_input(spark, sf_dir), "run", "user_id", _bucket()), "run")
+
+
+_TOKENS = EVENTS + f"""SELECT user_id, run, pos, CAST(sum(tokens) OVER w AS BIGINT) AS recent_tokens, count(*) OVER w AS recent_traces FROM (
+  SELECT user_id, user_id % 3 AS run, count(*) * 20000 AS tokens, row_number() OVER (PARTITION BY user_id % 3 ORDER BY user_id) AS pos FROM tool_events GROUP BY user_id)
+WINDOW w AS (PARTITION BY run ORDER BY pos ROWS BETWEEN {v.TOKEN_TRACES - 1} PRECEDING AND CURRENT ROW)"""
+
+
+@query("recent_tokens", "WIN-9", _TOKENS)
+def recent_tokens(spark, sf_dir):
+    out = m.recent_tokens(m.with_position(_validation_input(spark, sf_dir), "run", "user_id", _bucket()), "run")
+    return out.select("user_id", "run", "pos", "recent_tokens", "recent_traces")
+
+
+def _validated_stream(spark, sf_dir):
+    """Feed the traces in ordered ranges, each a batch that finds the ring its predecessor left; the folder of the results."""
+    from leaktrail.streaming import monitor as sm
+
+    folder = _folder(spark, "validation")
+    rows = _validation_input(spark, sf_dir)
+    cuts = rows.agg(F.percentile_approx("user_id", [i / MONITOR_BATCHES for i in range(1, MONITOR_BATCHES)])).first()[0] or []
+    ends = sorted(set(cuts))
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/part=*")
+    for i, (low, high) in enumerate(zip([None, *ends], [*ends, None])):
+        part = rows if low is None else rows.filter(F.col("user_id") > low)
+        (part if high is None else part.filter(F.col("user_id") <= high)).write.parquet(f"{folder}/in/part={i:04d}")
+        sm.periodic_validation_stream(stream, "run", "user_id", _bucket(), folder, f"{folder}/checkpoint").awaitTermination()
+    return folder
+
+
+@query("periodic_validation_stream", "STR-6", _VALIDATION)
+def periodic_validation_stream(spark, sf_dir):
+    schema = "run bigint, checkpoint bigint, n_traces bigint, failing_servers string, git_empty boolean, git_unused boolean, healthy boolean"
+    return spark.read.schema(schema).parquet(f"{_validated_stream(spark, sf_dir)}/health/batch=*")
+
+
+@query("recent_tokens_stream", "WIN-9", _TOKENS)
+def recent_tokens_stream(spark, sf_dir):
+    schema = "user_id bigint, run bigint, pos bigint, recent_tokens bigint, recent_traces bigint"
+    return spark.read.schema(schema).parquet(f"{_validated_stream(spark, sf_dir)}/tokens/batch=*")
+
+
 _GUARD = BASE.rstrip() + rf""", g AS (SELECT l.trace_id, l.idx, l.tool, l.args, s.canary_id, s.value, s.core, l.is_delivery,
     regexp_replace(l.args, '\\([_*\[\]()~`>#+\-=|{{}}.!])', '\1', 'g') AS ga, l.full_text, l.tool IN {_list(v.GUARD_READ_TOOLS)} AS rd
   FROM lanes l JOIN secrets s ON l.env_type = s.env_type),

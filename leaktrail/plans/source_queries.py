@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from leaktrail import vocab as v
@@ -17,15 +18,20 @@ def _folder(spark, name):
     return f"{shared_dir(spark)}/leaktrail/logs/{name}-{uuid.uuid4().hex}"
 
 
-def _line_log(spark, sf_dir, path):
-    """Conversation turns as one-event traces, every third id written twice, some without events."""
+def _logged_turns(spark, sf_dir):
+    """Conversation turns as one-event traces, some without events."""
     c = table(spark, sf_dir, "conversations")
     event = F.struct(F.col("turn").cast("int").alias("turn"), F.lit("memory").alias("server"), F.col("role").alias("tool"),
                      F.to_json(F.struct(F.substring("text", 1, 20).alias("note"))).alias("args"), F.col("text").alias("result_full"))
     tid = F.concat_ws("-", "conv_id", "turn")
     rows = c.select(tid.alias("trace_id"), F.concat(F.lit("m"), F.col("conv_id") % 3).alias("model"), F.lit("risky_v1").alias("env_type"),
                     F.lit("first").alias("outcome"), F.when(F.col("turn") % 5 == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("_e"), event.alias("_ev"))
-    rows = rows.withColumn("events", F.transform("_e", lambda _: F.col("_ev"))).drop("_e", "_ev")
+    return rows.withColumn("events", F.transform("_e", lambda _: F.col("_ev"))).drop("_e", "_ev")
+
+
+def _line_log(spark, sf_dir, path):
+    """The traces as JSON lines, every third id written twice."""
+    rows = _logged_turns(spark, sf_dir)
     rows.write.json(f"{path}/a")
     rows.filter(F.crc32("trace_id") % 3 == 0).withColumn("outcome", F.lit("second")).write.json(f"{path}/b")
 
@@ -41,6 +47,64 @@ def line_log_round_trip(spark, sf_dir):
     return events.select("trace_id", "model", "tool", "idx", F.md5("result_full").alias("result_md5"))
 
 
+_HEADER = {"schema_version": "3", "pipeline_git_commit": "abc", "task_taxonomy_version": "t2", "labeling_rules_version": "r1"}
+
+
+@query("envelope_files", "SRC-1, SRC-2, SRC-3, SNK-1", r"""SELECT conv_id || '-' || turn AS trace_id, 'm' || (conv_id % 3) AS model, 'first' AS outcome, 'r1' AS labeling_rules_version, role AS tool, CAST(0 AS BIGINT) AS idx, md5(text) AS result_md5
+FROM conversations WHERE turn % 5 <> 4
+UNION ALL SELECT 'bare-' || conv_id || '-' || turn, 'm' || (conv_id % 3), 'first', NULL, role, 0, md5(text) FROM conversations WHERE turn % 5 <> 4 AND conv_id % 7 = 0""")
+def envelope_files(spark, sf_dir):
+    """Two directories of envelopes, the second with repeats, beside bare lists and a corrupt file: the first one wins per id."""
+    path, rows = _folder(spark, "envelopes"), _logged_turns(spark, sf_dir)
+    logs.write_envelopes(rows, f"{path}/a", _HEADER)
+    logs.write_envelopes(rows.filter(F.crc32("trace_id") % 3 == 0).withColumn("outcome", F.lit("second")), f"{path}/b", _HEADER)
+    bare = rows.filter(F.split_part("trace_id", F.lit("-"), F.lit(1)).cast("bigint") % 7 == 0).withColumn("trace_id", F.concat(F.lit("bare-"), "trace_id"))
+    lists = bare.groupBy(F.pmod(F.xxhash64("trace_id"), F.lit(64))).agg(F.to_json(F.collect_list(F.struct(*bare.columns))).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/c")
+    spark.range(1).selectExpr("'{\"schema_version\": \"3\", \"traces\": [{\"trace_id\"' AS value").write.text(f"{path}/d")
+    found = logs.load_traces(spark, [f"{path}/{k}" for k in "abcd"], pattern="part-*")
+    kept = found.select("trace_id", "model", "outcome", "labeling_rules_version", F.posexplode("events").alias("idx", "e"))
+    return kept.select("trace_id", "model", "outcome", "labeling_rules_version", "e.tool", F.col("idx").cast("bigint").alias("idx"),
+                       F.md5("e.result_full").alias("result_md5"))
+
+
+@query("arm_files", "SRC-5", r"""SELECT conv_id || '-' || turn AS trace_id, CASE conv_id % 2 WHEN 0 THEN 'none' ELSE 'taint_tracking' END AS defense, 'r1' AS labeling_rules_version,
+  CAST(turn % 5 <> 4 AS INT) AS n_events FROM conversations""")
+def arm_files(spark, sf_dir):
+    """Two arms in directories of their own; each is read with the check that all its traces carry its defense."""
+    path, rows = _folder(spark, "arms"), _logged_turns(spark, sf_dir).withColumn("mitigation_level", F.lit("none"))
+    odd, arms = F.split_part("trace_id", F.lit("-"), F.lit(1)).cast("bigint") % 2, []
+    for name, cond in (("none", odd == 0), ("taint_tracking", odd == 1)):
+        logs.write_envelopes(rows.filter(cond).withColumn("defense", F.lit(name)), f"{path}/{name}", _HEADER)
+        arms.append(logs.load_arm(spark, f"{path}/{name}", name, pattern="part-*"))
+    return arms[0].unionByName(arms[1]).select("trace_id", "defense", "labeling_rules_version", F.size("events").alias("n_events"))
+
+
+@query("appended_log", "SNK-2", "SELECT event_id, user_id, event_type FROM events")
+def appended_log(spark, sf_dir):
+    """Events streamed into an append-only log, started twice on one checkpoint: nothing is written again."""
+    path = _folder(spark, "appended")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").select("event_id", "user_id", "event_type")
+    for _ in range(2):
+        logs.append_stream(rows, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).json(f"{path}/log")
+
+
+@query("report_files", "SNK-4", "SELECT event_type, count(*) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY ALL")
+def report_files(spark, sf_dir):
+    """A report under a name of its own; a second report under that name is refused and leaves the first."""
+    path = _folder(spark, "report")
+    report = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+    logs.write_report(report, path)
+    try:
+        logs.write_report(report.limit(0), path)
+    except AnalysisException as err:
+        if "PATH_ALREADY_EXISTS" not in str(err):
+            raise
+    return spark.read.schema(report.schema).json(path)
+
+
 @query("partitioned_log_round_trip", "SNK-1, SRC-2, SET-1", V + "SELECT model, env_class, count(*) AS n, 'r1' AS labeling_rules_version FROM verdicts WHERE model = 'model_1' AND env_class = 'risky' GROUP BY ALL")
 def partitioned_log_round_trip(spark, sf_dir):
     """A versioned log partitioned by model and environment class; the filter prunes partitions."""

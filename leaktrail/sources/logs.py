@@ -78,9 +78,9 @@ def resume(main: DataFrame, appended: DataFrame) -> DataFrame:
     return kept.unionByName(once, allowMissingColumns=True)
 
 
-def load_arm(spark: SparkSession, path: str, defense: str) -> DataFrame:
+def load_arm(spark: SparkSession, path: str, defense: str, pattern: str = "*.json") -> DataFrame:
     """One arm with its header; every trace must carry the expected defense and no mitigation."""
-    arm = read_envelopes(spark, path, "*.json")
+    arm = read_envelopes(spark, path, pattern)
     wrong = arm.filter(~F.coalesce((F.col("defense") == defense) & (F.col("mitigation_level") == "none"), F.lit(False)))
     require_empty(wrong.select("trace_id", "defense", "mitigation_level"), f"arm is not uniformly defense={defense!r}")
     if arm.isEmpty():
@@ -150,6 +150,28 @@ def write_log(df: DataFrame, path: str, header: dict[str, str], mode: str = "err
         "model", "env_class").parquet(path)
 
 
+def write_envelopes(traces: DataFrame, path: str, header: dict[str, str], per_file: int = 500) -> None:
+    """Versioned envelopes of one model each, about ``per_file`` traces a file; the committer makes the write all-or-nothing.
+
+    A model's traces are dealt by a hash of their id, so no row holds all of a busy model. Read back with
+    ``read_envelopes(spark, path, "part-*")``.
+    """
+    counts = traces.groupBy(F.col("model").alias("_model")).agg(F.ceil(F.count(F.lit(1)) / F.lit(per_file)).alias("_files"))
+    dealt = traces.join(counts, F.col("model").eqNullSafe(F.col("_model")))
+    known = [f for f in spark_fields(schema.TRACE) if f in traces.columns]
+    files = (dealt.withColumn("_file", F.pmod(F.xxhash64("trace_id"), F.col("_files")))
+             .groupBy("model", "_file").agg(F.collect_list(F.struct(*known)).alias("traces")))
+    head = [F.lit(header[h]).alias(h) for h in schema.HEADER if h in header]
+    (files.select(F.to_json(F.struct(*head, "traces")).alias("value"))
+     .write.mode("errorifexists").option("maxRecordsPerFile", 1).text(path))
+
+
+def spark_fields(ddl: str) -> list[str]:
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl).fieldNames()
+
+
 def append_stream(stream: DataFrame, path: str, checkpoint: str):
     """Append-only log of a stream, exactly once through its checkpoint."""
     return (stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)

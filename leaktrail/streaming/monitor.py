@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leaktrail import vocab as v
 from leaktrail.operators import monitor as m
 from leaktrail.streaming.guard import run_once
 
@@ -43,6 +44,36 @@ def monitored(spark, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/traces")
 
 
+def periodic_validation_stream(traces: DataFrame, run: str, order: str, bucket: Column, path: str, checkpoint: str):
+    """Validate a stream of traces (``operators.monitor.validation_input``) at the checkpoints it reaches.
+
+    What goes from batch to batch is a ring of the last traces of every run, as many as the longest window needs. A
+    batch numbers its traces behind the ring, judges the checkpoints it completes under ``health`` and gives each new
+    trace the tokens of its window under ``tokens``. Ring and results are stored under the batch's number, so a replay
+    overwrites its own.
+    """
+    spark, kept = traces.sparkSession, max(v.TOKEN_TRACES, v.EARLY_TRACES)
+
+    def step(df: DataFrame, batch: int) -> None:
+        new = m.with_position(df, run, order, bucket)
+        if batch > 0:
+            ring = spark.read.parquet(f"{path}/ring/batch={batch - 1}")
+            done = ring.groupBy(run).agg(F.max("pos").alias("_done"))
+            new = new.join(done, run, "left").withColumn("pos", F.col("pos") + F.coalesce("_done", F.lit(0))).drop("_done")
+        new.write.mode("overwrite").parquet(f"{path}/new/batch={batch}")
+        new = spark.read.schema(new.schema).parquet(f"{path}/new/batch={batch}")
+        rows = new if batch == 0 else new.unionByName(ring)
+        first = new.groupBy(run).agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+        health = m.periodic_validation(rows, run).join(first, run).filter(F.col("checkpoint") >= F.col("_first")).drop("_first", "_last")
+        health.write.mode("overwrite").parquet(f"{path}/health/batch={batch}")
+        tokens = m.recent_tokens(rows, run).join(first, run).filter(F.col("pos") >= F.col("_first"))
+        tokens.select(run, order, "pos", "recent_tokens", "recent_traces").write.mode("overwrite").parquet(f"{path}/tokens/batch={batch}")
+        last = rows.join(first, run, "left").filter(F.col("_last").isNull() | (F.col("pos") > F.col("_last") - kept))
+        last.select(*new.columns).write.mode("overwrite").parquet(f"{path}/ring/batch={batch}")
+
+    return traces.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def validation_stream(traces: DataFrame, order: str, path: str, checkpoint: str, last: int):
     """Health of the last traces after every micro-batch (``traces`` carry their events)."""
     from leaktrail.sources.logs import explode_events

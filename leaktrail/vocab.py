@@ -124,6 +124,7 @@ MAX_DUPLICATE_RATIO = 0.7
 MAX_FAILURE_RUN = 5
 EARLY_TRACES = 5
 PERIODIC_TRACES = 20
+TOKEN_TRACES = 20
 
 # --- fixed values: statistics ---------------------------------------------------
 Z95 = 1.959963984540054
