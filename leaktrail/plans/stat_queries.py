@@ -10,12 +10,13 @@ from leaktrail.operators import judged, paired, resample, sampling
 from leaktrail.plans.flow_queries import event_bucket
 from leaktrail.plans.rate_queries import V, verdicts
 from leaktrail.plans.registry import query, table
-from leaktrail.plans.views import ARMS_SQL, OUTCOMES_SQL, arms, outcomes, with_sql
+from leaktrail.plans.views import ARMS_SQL, OUTCOMES_SQL, WHOLE_ARMS_SQL, arms, outcomes, tool_events, whole_arms, with_sql
+from leaktrail.session import staged
 
 OUT = with_sql(OUTCOMES_SQL)
 ARMS = with_sql(ARMS_SQL)
 Z = repr(v.Z95)
-PAIRS = ARMS.rstrip() + ", pairs AS (SELECT user_id, event_type, b.unsafe AS b, d.unsafe AS d FROM arms b JOIN arms d USING (user_id, event_type) WHERE b.arm = 'baseline' AND d.arm = 'defense')\n"
+PAIRS = with_sql(ARMS_SQL, WHOLE_ARMS_SQL).rstrip() + ", pairs AS (SELECT user_id, event_type, b.unsafe AS b, d.unsafe AS d FROM whole_arms b JOIN whole_arms d USING (user_id, event_type) WHERE b.arm = 'baseline' AND d.arm = 'defense')\n"
 CELLS = "cells AS (SELECT event_type, count(*) AS n, count(*) FILTER (b = 0 AND d = 1) AS b, count(*) FILTER (b = 1 AND d = 0) AS c FROM pairs GROUP BY ALL)\n"
 #: ln n! in DuckDB
 LF = "lgamma(({}) + 1.0)"
@@ -30,13 +31,14 @@ def _arms(spark, sf_dir):
     return a.filter("arm = 'baseline'"), a.filter("arm = 'defense'")
 
 
+def _whole_arms(spark, sf_dir):
+    a = whole_arms(spark, sf_dir)
+    return a.filter("arm = 'baseline'"), a.filter("arm = 'defense'")
+
+
 def _pairs(spark, sf_dir):
-    """Cells present in both arms; a user seen in one half only cannot be paired and is reported by ``pairing_audit``."""
-    b, d = _arms(spark, sf_dir)
-    keys = ["user_id", "event_type"]
-    b = b.join(d.select(*keys), keys, "left_semi")
-    d = d.join(b.select(*keys), keys, "left_semi")
-    return paired.paired_rows(b, d, keys, "unsafe")
+    """Whole arms over the registry of cells, paired; a cell that an arm lacks or has twice aborts."""
+    return paired.paired_rows(*_whole_arms(spark, sf_dir), ["user_id", "event_type"], "unsafe")
 
 
 def _cells(spark, sf_dir):
@@ -345,11 +347,19 @@ def grouped_split(spark, sf_dir):
 
 @query("live_guard_report", "STA-20")
 def live_guard_report(spark, sf_dir):
-    """Safety, utility and diagnostics of the two arms, stacked as (section, name, value)."""
-    b, d = _arms(spark, sf_dir)
-    keys = ["user_id", "event_type"]
-    b, d = b.join(d.select(*keys), keys, "left_semi"), d.join(b.select(*keys), keys, "left_semi")
-    b, d = (x.withColumn("mechanism", F.col("event_type")).withColumn("residual", F.lit(0)).withColumn("blocked", 1 - F.col("unsafe")) for x in (b, d))
+    """Safety, utility and diagnostics of the two whole arms, stacked as (section, name, value).
+
+    A cell is blocked if the guard blocked one of its calls, and has a residual if a blocked call still carries the core.
+    """
+    keys, c = ["user_id", "event_type"], F.col
+    half = F.when(c("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp"), "baseline").otherwise("defense")
+    kinds = table(spark, sf_dir, "events").select(c("event_id").alias("idx"), "event_type")
+    guarded = tool_events(spark, sf_dir).join(kinds, "idx").groupBy(*keys, half.alias("arm")).agg(
+        F.max(c("taint_blocked").cast("int")).alias("blocked"),
+        F.max((c("taint_blocked") & F.contains("sanitized_args", c("secret_core"))).cast("int")).alias("residual"))
+    whole = whole_arms(spark, sf_dir).join(guarded, [*keys, "arm"], "left").fillna(0, ["blocked", "residual"]).withColumn("mechanism", c("event_type"))
+    whole = staged(whole, "whole-arms")
+    b, d = whole.filter("arm = 'baseline'"), whole.filter("arm = 'defense'")
     parts = paired.live_guard_report(b, d, keys, "user_id", "mechanism", resamples=REPS)
     out = None
     for name, frame in parts.items():

@@ -188,6 +188,10 @@ ARMS_SELECT = """SELECT user_id, event_type, CASE WHEN ts < TIMESTAMP '2024-01-1
   CAST(max(value) > 40 AS INT) AS unsafe, CAST(min(value) < 5 AS INT) AS useful FROM {events} GROUP BY 1, 2, 3"""
 ARMS_SQL = "arms AS (" + ARMS_SELECT.replace("{events}", "events") + ")"
 
+#: every registered cell in both arms; an arm that has no event of a cell has nothing unsafe and nothing useful there
+WHOLE_ARMS_SQL = """registered AS (SELECT user_id, event_type, unnest(['baseline', 'defense']) AS arm FROM (SELECT DISTINCT user_id, event_type FROM events)),
+whole_arms AS (SELECT user_id, event_type, arm, coalesce(a.unsafe, 0) AS unsafe, coalesce(a.useful, 0) AS useful FROM registered LEFT JOIN arms a USING (user_id, event_type, arm))"""
+
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(OUTCOMES_SELECT, documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
@@ -197,5 +201,12 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ARMS_SELECT, events=table(spark, sf_dir, "events"))
 
 
+def whole_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both arms over the registry of cells (users and the kinds of events they have at any time)."""
+    registered = table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
+    sides = registered.select("*", F.explode(F.array(F.lit("baseline"), F.lit("defense"))).alias("arm"))
+    return sides.join(arms(spark, sf_dir), ["user_id", "event_type", "arm"], "left").fillna(0, ["unsafe", "useful"])
+
+
 def with_sql(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"

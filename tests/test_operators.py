@@ -131,6 +131,19 @@ def test_pairing(spark):
             paired.paired_rows(base, bad, keys, "unsafe", model="model")
 
 
+def test_whole_arms_pair_and_a_missing_cell_aborts(spark):
+    from leaktrail.plans.stat_queries import _whole_arms
+    from leaktrail.plans.views import arms
+
+    b, d = _whole_arms(spark, "/root/testdata/sf0.001")
+    keys = ["user_id", "event_type"]
+    cells = arms(spark, "/root/testdata/sf0.001").select(*keys).distinct().count()
+    assert paired.paired_rows(b, d, keys, "unsafe").count() == b.count() == cells
+    first = d.orderBy(*keys).limit(1)
+    with pytest.raises(paired.PairingError, match="incomplete"):
+        paired.paired_rows(b, d.join(first, keys, "left_anti"), keys, "unsafe")
+
+
 def test_attribute_changes_read_every_order(spark, tmp_path):
     """Orders of all seven classes, several per customer and arm; the one without a partner is counted."""
     from leaktrail.plans.stat_queries import attribute_changes_all
