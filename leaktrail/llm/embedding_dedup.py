@@ -6,7 +6,8 @@ substring, that is a cell of a table. The number of bits of a substring follows
 of vectors, the number of tables follows from the recall wanted at the threshold. Cells are
 reranked with the original vectors in double precision; a pair that meets in several tables
 counts in the first. Large cells are compared in blocks of rows. Only counts per vector and
-a spanning forest of the links leave a task.
+a spanning forest of the links leave a task. Vectors of different lengths have no cosine;
+every length that two different vectors have gets rotations and tables of its own.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ SEED = 42
 #: Rows of a cell that are compared at once; a larger cell is cut into blocks, and pairs of blocks are compared.
 CELL_ROWS = 1_000
 TASK_ROWS = 20_000
+_FOUND = "vec long, other long, links long"
 
 
-def usable(vector: Column | str, dim: int) -> Column:
-    """Whether a vector can be linked: of length ``dim``, finite, not null or zero."""
+def usable(vector: Column | str) -> Column:
+    """Whether a vector can be linked: finite, not null, empty or zero."""
     v = F.col(vector) if isinstance(vector, str) else vector
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
-    return F.coalesce(v.isNotNull() & (F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -115,24 +117,8 @@ def _compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return out.astype({"vec": "int64", "other": "Int64", "links": "int64"})
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD,
-                    recall: float = RECALL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(``id_col``, n_links, component_id, kept): a row per row of ``vectors``.
-
-    Links are pairs with cosine of at least ``threshold``, computed from the vectors as they are; pairs below it never
-    link. Equal vectors collapse to one class before anything is compared and link with each other. Vectors that are
-    null, zero, not finite or of another length than most link with nothing; so do rows with a null id, whose component
-    is null. Rows of one id count as one vector if equal. Only id and vector are read; an empty table gives no rows.
-    """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).alias("v"))
-    sizes = rows.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = sizes.n if sizes else 0
-    good = rows.where(F.col("vec").isNotNull() & usable("v", dim))
-    classes, _ = stage(good.groupBy("v").agg(F.min("vec").alias("vec"), F.countDistinct("vec").alias("copies")), "vector-classes")
-    n = classes.count()
-    if n == 0:
-        return vectors.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"),
-                              F.col(id_col).isNotNull().alias("kept"))
+def _links(classes: DataFrame, n: int, dim: int, threshold: float, recall: float, sample_rows: int) -> DataFrame:
+    """(vec, other, links) as ``_compare`` gives them, of ``n`` different vectors of length ``dim``."""
     bits, tables = plan_tables(n, dim, threshold, recall)
     sample = classes.orderBy(F.xxhash64("vec"), "vec").limit(sample_rows).select("v").collect()
     projection = learn(unit(np.array([r.v for r in sample], np.float64)), bits * tables)
@@ -154,8 +140,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         "vec", "copies", "v", "codes", "table", "cell", "part", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"))
     tasks = max(1, math.ceil(n * tables / TASK_ROWS))
     dealt = blocks.withColumn("task", F.pmod(F.xxhash64("table", "cell", "a", "b"), F.lit(tasks)))
-    found, _ = stage(dealt.groupBy("task").applyInPandas(lambda r: _compare(r.drop(columns="task"), threshold), "vec long, other long, links long"),
-                     "vector-links")
+    found = dealt.groupBy("task").applyInPandas(lambda r: _compare(r.drop(columns="task"), threshold), _FOUND)
+    return stage(found, "vector-links")[0]
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD,
+                    recall: float = RECALL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(``id_col``, n_links, component_id, kept): a row per row of ``vectors``.
+
+    Links are pairs with cosine of at least ``threshold``, computed from the vectors as they are; pairs below it never
+    link, nor do vectors of different lengths. Equal vectors collapse to one class before anything is compared and link
+    with each other. Vectors that are null, empty, zero or not finite link with nothing; so do rows with a null id, whose
+    component is null. Rows of one id count as one vector if equal. Only id and vector are read; an empty table gives no
+    rows. Lengths with two different vectors or more are run one after the other.
+    """
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).alias("v"))
+    good = rows.where(F.col("vec").isNotNull() & usable("v"))
+    classes, _ = stage(good.groupBy("v").agg(F.min("vec").alias("vec"), F.countDistinct("vec").alias("copies")), "vector-classes")
+    sizes = classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("dim").collect()
+    found = vectors.sparkSession.createDataFrame([], _FOUND)
+    for dim, n in sizes:
+        found = found.unionByName(_links(classes.where(F.size("v") == dim), n, dim, threshold, recall, sample_rows))
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     reached = components(found.where("other is not null").select(F.col("vec").alias("u"), F.col("other").alias("v")))
     judged = classes.select("v", "vec", "copies").join(links, "vec", "left").join(reached, F.col("vec") == F.col("u"), "left").select(
