@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaktrail.llm.graph import components, merge_labels
-from leaktrail.llm.staging import stage
+from leaktrail.llm.staging import quoted, stage
 
 SEED = 42
 WORDS = 3
@@ -214,15 +214,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """One row of ``docs`` for every component: the one with its smallest id (a null id comes last), of several such any one."""
+    """One row of ``docs`` for every component: the one with its smallest id (a null id comes last), of several such any one.
+
+    Rows travel whole in a struct, so columns of any name and type come back as they were.
+    """
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_t").alias("t"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     chosen = _grouped(docs, id_col, text_col, budget).groupBy("component").agg(F.min(order).alias("o")).select(
         name(F.col("o.i")).alias("_i"), F.col("o.t").alias("_t"))
-    rows = docs.withColumns({"_i": name(F.col(id_col)), "_t": _text_key(text_col)})
+    record = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("record")
+    rows = docs.select(record, name(F.col(id_col)).alias("_i"), _text_key(text_col).alias("_t"))
     once = Window.partitionBy("_i", "_t").orderBy("_t")
-    return rows.join(chosen, ["_i", "_t"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(chosen, ["_i", "_t"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select("record.*")
 
 
 def hexadecimal(fp: Column | str) -> Column:

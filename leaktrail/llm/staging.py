@@ -22,3 +22,8 @@ def discard(df: DataFrame, path: str) -> None:
     jvm = df.sparkSession._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
