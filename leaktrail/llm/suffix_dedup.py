@@ -10,6 +10,10 @@ one name meet in one route, which sorts the suffixes in its buckets of equal 200
 prefix, computes common prefixes and scans them with a stack: every interval whose suffixes
 have different left neighbours is a maximal repeat, with all its occurrences. A name with
 very many different stretches is dealt out by window instead of in one piece.
+
+Names come from a rolling hash, which structured strings can bring to collide: that only
+makes two names one. Whether bytes are equal is decided by the bytes themselves where they
+meet in a route, and by name and a seeded XXH3 hash of the bytes where they stay apart.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,7 @@ NAME = 64
 #: A name with more different stretches than this is dealt out by window.
 HOT_STRETCHES = 500
 _PLACE = np.uint64(28)  # low bits that hold a position while the smallest hash is sought
+_SEED = 42
 _BACK, _STRETCH, _WINDOW = 0, 1, 2
 _REPEATED, _SHIP, _DEAL = 1, 2, 4
 
@@ -48,6 +54,27 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1:width - 1 + n])
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of every [start, end)."""
+    view = memoryview(data)
+    found = (xxhash.xxh3_64_intdigest(view[a:b], _SEED) for a, b in zip(start.tolist(), end.tolist()))
+    return np.fromiter(found, np.uint64, len(start))
+
+
+def equal_keys(data: np.ndarray, start: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
+    """``keys``, or where they are equal for different strings of ``length`` bytes, others that are not."""
+    order = np.argsort(keys, kind="stable")
+    new = np.r_[True, keys[order][1:] != keys[order][:-1]]
+    first = start[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)
+    for k in range(0, len(order), 20_000):
+        part = slice(k, k + 20_000)
+        if (strings[start[order[part]]] != strings[first[part]]).any():
+            whole = np.ascontiguousarray(strings[start]).view(f"V{length}").ravel()
+            return np.unique(whole, return_inverse=True)[1].astype(np.uint64)
+    return keys
+
+
 class Stretches:
     """The stretches of a block of texts: start, end, name, and a hash of name and content."""
 
@@ -76,8 +103,7 @@ class Stretches:
         last = np.r_[first[1:], len(starts)] - 1
         self.start, self.end = starts[first], starts[last] + length
         self.name = hashes[smallest[first].astype(np.int64)]
-        size = (self.end - self.start).astype(np.uint64)
-        self.content = mix(self.windows.at(self.start, self.end) ^ mix(self.name + size))
+        self.content = mix(digests(self.data, self.start, self.end) ^ mix(self.name))
 
     def bytes_of(self, k: int) -> bytes:
         return self.data[self.start[k]:self.end[k]].tobytes()
@@ -143,9 +169,10 @@ def _send_stretches(rows: pd.DataFrame, answers: pd.DataFrame, bits: int, length
     if len(dealt):
         n = (s.end - s.start)[dealt] - length + 1
         start = np.repeat(s.start[dealt], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        keys, n = np.unique(s.windows.at(start, start + length), return_counts=True)  # each window once per block
-        for route, p in cut_by_route(keys, bits):
-            out.append((route, block, _WINDOW, keys[p].tobytes(), (n[p] > 1).tobytes(), b"", b""))
+        keys = s.windows.at(start, start + length)
+        exact, one, n = np.unique(digests(s.data, start, start + length), return_index=True, return_counts=True)  # each window once per block
+        for route, p in cut_by_route(exact, bits):
+            out.append((route, block, _WINDOW, keys[one[p]].tobytes(), (n[p] > 1).tobytes(), b"", exact[p].tobytes()))
     return packed(out, _SENT)
 
 
@@ -202,7 +229,8 @@ def maximal_repeats(pieces: list[bytes], length: int = LENGTH) -> Repeats:
     take = order[np.r_[same, False] | np.r_[False, same]]
     if not len(take):
         return Repeats(none, none, none, none, none)
-    keys, piece, offset, start = keys[take], piece[take], offset[take], start[take]
+    piece, offset, start = piece[take], offset[take], start[take]
+    keys = equal_keys(data, start, keys[take], length)
     rest = ends[piece] - start - length
     width = -(-int(rest.max()) // 8) if rest.max() else 0
     padded = np.r_[data, np.zeros(length + 8 * width + 8, np.uint8)]
@@ -275,20 +303,21 @@ def _answer_stretches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
                          columns).itertuples(index=False, name=None)
     dealt = rows[rows["kind"] == _WINDOW]
     if len(dealt):
-        keys, twice = joined(dealt["keys"], "<u8"), joined(dealt["contents"], "?")
+        keys, exact, twice = joined(dealt["keys"], "<u8"), joined(dealt["body"], "<u8"), joined(dealt["contents"], "?")
         block = np.repeat(dealt["_blk"].to_numpy(), dealt["keys"].map(len).to_numpy() // 8)
-        order = np.argsort(keys, kind="stable")
-        keys, twice, block = keys[order], twice[order], block[order]
-        same = keys[1:] == keys[:-1]
+        order = np.lexsort((keys, exact))
+        keys, exact, twice, block = keys[order], exact[order], twice[order], block[order]
+        same = (exact[1:] == exact[:-1]) & (keys[1:] == keys[:-1])
         take = twice | np.r_[same, False] | np.r_[False, same]
-        keys, block = keys[take], block[take]
-        out += by_block_rows(block, lambda k: (_WINDOW, keys[k].tobytes(), b"", b""), columns).itertuples(index=False, name=None)
+        keys, exact, block = keys[take], exact[take], block[take]
+        out += by_block_rows(block, lambda k: (_WINDOW, keys[k].tobytes(), exact[k].tobytes(), b""), columns).itertuples(index=False, name=None)
     return packed(out, columns)
 
 
 def _remove(rows: pd.DataFrame, answers: pd.DataFrame, length: int, name: int, as_text: bool) -> pd.DataFrame:
     s = Stretches(rows["_text"].tolist(), length, name)
-    repeated = np.sort(joined(answers.loc[answers["kind"] == _WINDOW, "contents"], "<u8"))
+    windows = answers[answers["kind"] == _WINDOW]
+    repeated, exact = np.sort(joined(windows["contents"], "<u8")), np.sort(joined(windows["lows"], "<u8"))
     answers = answers[answers["kind"] == _STRETCH]
     contents, low, high = joined(answers["contents"], "<u8"), joined(answers["lows"], "<u4").astype(np.int64), joined(answers["highs"], "<u4").astype(np.int64)
     order = np.argsort(s.content, kind="stable")
@@ -300,6 +329,7 @@ def _remove(rows: pd.DataFrame, answers: pd.DataFrame, length: int, name: int, a
     start, end = s.start[at] + low, np.where(high == 0, s.end[at], s.start[at] + high)
     if len(repeated):
         windows = s.starts[found_in(repeated, s.windows.at(s.starts, s.starts + length))[0]]
+        windows = windows[found_in(exact, digests(s.data, windows, windows + length))[0]]
         start, end = np.r_[start, windows], np.r_[end, windows + length]
     gone = cover(len(s.data), start, end)
     out = []
@@ -326,7 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if it lies in a string of ``length`` bytes that also starts at another place, in the same row or another;
     all occurrences go, and strings are judged on the input. Null and empty texts have no bytes and no spans. A repeated
     row is another place, so its text repeats. Ids are only carried along; other columns are not read. An empty table
-    gives no rows. Strings are compared by 64-bit hashes of their bytes and of their stretch's.
+    gives no rows. Strings that do not meet in a route are compared by the 64-bit hashes of their name and of their bytes.
     """
     dealt, total = deal(docs, id_col, text_col, block_bytes)
     bits = routes_for(2 * total / (length - name + 2), route_hashes)

@@ -304,6 +304,18 @@ def test_simhash_keeps_one_of_each_group(spark, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_keeps_columns_of_any_name_and_type(spark):
+    odd = awkward_columns(spark, [(1, "a b c d"), (2, "a b c d"), (3, "other words here now")])
+    assert sorted_rows(simhash.keep_one(odd).collect()) == sorted_rows(odd.where("doc_id <> 2").collect())
+
+
+def awkward_columns(spark, rows):
+    """Rows with columns that steps use themselves, a name with a dot, a timestamp of microseconds and a map."""
+    more = {"_i": F.lit("mine"), "_t": F.lit("mine"), "_n": F.lit(7), "row": F.lit(None).cast("long"), "a.b": F.lit(1.5), "record": F.lit("r"),
+            "at": F.lit("2024-01-02 03:04:05.123456").cast("timestamp"), "by": F.create_map(F.lit(3), F.lit("x"))}
+    return table(spark, rows).withColumns(more)
+
+
 @pytest.mark.parametrize("node_rows", [8, 10_000])
 def test_trie_join_finds_every_component(spark, node_rows):
     rng = np.random.default_rng(1)
@@ -405,6 +417,26 @@ def test_repeated_strings_of_random_overlaps(spark, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def thue_morse(n):
+    """A structured string and its complement: polynomial hashes modulo a power of two bring the two together."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("hot", [0, 500])
+def test_structured_strings_are_not_taken_for_repeats(spark, hot):
+    texts = ["q" * 150 + t + "z" * 150 for n in (256, 2048) for t in thue_morse(n)] + [prose(3, 80)]
+    got = {r.doc_id: (r.n_bytes, len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(table(spark, list(enumerate(texts))), hot=hot).collect()}
+    assert [got[k] for k in range(len(texts))] == repeats_brute(texts, 200)
+
+
+def test_prefixes_with_one_key_are_told_apart():
+    data = np.frombuffer(b"abcdabceabcd", np.uint8)
+    keys = suffix_dedup.equal_keys(data, np.array([0, 4, 8]), np.zeros(3, np.uint64), 4)
+    assert keys[0] == keys[2] != keys[1]
+    assert suffix_dedup.equal_keys(data, np.array([0, 8]), np.full(2, 9, np.uint64), 4).tolist() == [9, 9]
+
+
 def test_maximal_repeats_equal_brute_force():
     rnd = random.Random(2)
     for _ in range(60):
@@ -450,6 +482,12 @@ def test_earlier_windows(spark, docs, empty, options):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_structured_words_are_not_taken_for_repeats(spark):
+    shared = prose(1, 12)
+    rows = [(k, f"{shared} {t}") for k, t in enumerate(thue_morse(2048))]
+    assert sorted_rows(map(tuple, substring_dedup.remove_repeats(table(spark, rows)).collect())) == sorted_rows(windows_brute(rows))
+
+
 def test_difference_cover_aligns_all_positions():
     for i in range(substring_dedup.PERIOD):
         for j in range(substring_dedup.PERIOD):
@@ -516,6 +554,12 @@ def test_vectors_against_brute_force(spark):
         assert (r.n_links, r.component_id, r.kept) == (n, c, r.vec_id is not None and r.vec_id == c)
 
 
+def test_vectors_of_every_length_link(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [1.0, 2.0]), (4, [2.0, 4.0]), (5, [3.0, 6.0]), (6, [1.0, 2.0, 0.0]), (7, [4.0]), (8, [4.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 2, 3), (5, 2, 3), (6, 0, 6), (7, 1, 7), (8, 1, 7)}
+
+
 def test_large_cells_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 10)
     rng = np.random.default_rng(1)

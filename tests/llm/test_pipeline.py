@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 
 import __spark_entry__ as entry
-from tests.llm.test_operators import RANKS, base_rules, encoding, groups_brute, repeats_brute, simhash_brute
+from tests.llm.test_operators import RANKS, awkward_columns, base_rules, encoding, groups_brute, prose, repeats_brute, simhash_brute, sorted_rows
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,6 +55,14 @@ def test_suffix_stage(steps):
     assert (after.n_chars == after.text.str.len()).all()
 
 
+@pytest.mark.parametrize("name", ["simhash_near_dedup", "suffix_array_dedup"])
+def test_stages_keep_columns_of_any_name_and_type(spark, name):
+    docs = awkward_columns(spark, [(1, prose(1, 30)), (None, prose(2, 30)), (3, prose(3, 30))])
+    after = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert after.columns == docs.columns and [kind for _, kind in after.dtypes] == [kind for _, kind in docs.dtypes]
+    assert sorted_rows(after.collect()) == sorted_rows(docs.collect())
+
+
 def test_mixing_stage_keeps_every_document(steps):
     before, after = steps[3]
     assert set(after.doc_id) == set(before[before.text.str.split().str.len() > 0].doc_id)
