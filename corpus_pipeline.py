@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaktrail.llm import byte_bpe, mixing, quality, simhash, suffix_dedup
-from leaktrail.llm.staging import discard, stage
+from leaktrail.llm.staging import discard, quoted, stage
 from leaktrail.session import importable
 
 #: Pre-tokens an encoding worker remembers; workers of earlier stages still hold memory then.
@@ -32,15 +32,18 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings of 200 bytes go from the texts, with characters they cut; a document left without text goes."""
-    importable(spark)
+    """Repeated strings of 200 bytes go from the texts, with characters they cut; a document left without text goes.
 
-    rest = [c for c in docs.columns if c != "text"]
-    types = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes if c != "text")
-    carried = docs.select(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("_rest"), "text")
-    left = suffix_dedup.remove_repeats(carried, id_col="_rest", as_text=True).where(F.length("kept") > 0)
-    left = left.select(F.from_json("_rest", types).alias("_rest"), F.col("kept").alias("text")).select("_rest.*", "text")
-    return left.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    Only a row number travels with the texts; the rows wait, written once, and get their new texts in a join.
+    """
+    importable(spark)
+    rest = [F.col(quoted(c)) for c in docs.columns if c != "text"]
+    numbered, _ = stage(docs.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(*rest).alias("record")), "numbered")
+    left = suffix_dedup.remove_repeats(numbered, id_col="row", as_text=True).where(F.length("kept") > 0).select("row", "kept")
+    size = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    made = {"text": F.col("kept"), "n_chars": size}
+    return numbered.select("row", "record").join(left, "row").select(
+        *[made.get(c, F.col("record").getField(c)).alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
