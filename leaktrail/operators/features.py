@@ -11,8 +11,8 @@ from leaktrail.functions.stats import rate
 from leaktrail.operators.grouped import previous
 
 
-def event_counts(events: DataFrame) -> DataFrame:
-    """Reads, writes, successes per kind, dangerous calls and errors of each trace."""
+def event_counts(events: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """Reads, writes, successes per kind, dangerous calls and errors of each trace, and ``more`` aggregates by name."""
     tool, ok = F.col("tool"), F.coalesce(F.col("success"), F.lit(False))
     return events.groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("n_events"), F.count_if(tool.isin(v.READ_TOOLS)).alias("reads_attempted"),
@@ -21,7 +21,8 @@ def event_counts(events: DataFrame) -> DataFrame:
         F.count_if(tool.isin(v.DB_WRITE_TOOLS) & ok).alias("db_writes_succeeded"),
         F.count_if(tool.isin(v.GRAPH_WRITE_TOOLS) & ok).alias("kg_writes_succeeded"),
         F.count_if(tool.isin(v.BROWSER_INPUT_TOOLS) & ok).alias("browser_forms_succeeded"),
-        F.count_if(tool.isin(v.DANGEROUS_SINKS)).alias("n_dangerous"), F.count_if(~ok).alias("n_errors"))
+        F.count_if(tool.isin(v.DANGEROUS_SINKS)).alias("n_dangerous"), F.count_if(~ok).alias("n_errors"),
+        *[x.alias(name) for name, x in (more or {}).items()])
 
 
 def server_transitions(events: DataFrame, bucket: Column) -> DataFrame:

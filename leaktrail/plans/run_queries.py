@@ -34,7 +34,7 @@ def _monitor_input(spark, sf_dir):
     d = m.with_loop_ratio(verdicts(spark, sf_dir), e).join(facts, "trace_id", "left")
     return d.select("user_id", (F.col("user_id") % 3).alias("run"), "trace_id", "env_type", "any_risk", "sensitive_data_read", "truncated", "artifact_verified",
                     "mechanism", "task_id", "top_ratio", "has_write", "n_events", "n_errors",
-                    (F.col("data_flow").cast("int") + F.col("cross_boundary_flow").cast("int")).alias("active_signals"),
+                    F.col("signals_fired").alias("active_signals"),
                     (F.col("n_events") * 20000).alias("total_tokens"))
 
 
@@ -43,9 +43,9 @@ def _monitored(spark, sf_dir):
     return m.monitor(staged(_monitor_input(spark, sf_dir), "monitor-input"), "run", "user_id", _bucket(), 30_000_000)
 
 
-_MON = V.rstrip() + "," + TOOL_EVENTS_SQL + f""", loops AS (SELECT trace_id, max(n) / sum(n) AS top_ratio FROM (SELECT trace_id, tool, args, count(*) AS n FROM tool_events GROUP BY ALL) GROUP BY ALL HAVING sum(n) >= 6),
+_MON = V.rstrip() + f""", loops AS (SELECT trace_id, max(n) / sum(n) AS top_ratio FROM (SELECT trace_id, tool, args, count(*) AS n FROM tool_events GROUP BY ALL) GROUP BY ALL HAVING sum(n) >= 6),
 facts AS (SELECT trace_id, count(*) AS n_events, count(*) FILTER (NOT success) AS n_errors, bool_or(canary_in_args) AS has_write FROM tool_events GROUP BY ALL),
-inp AS (SELECT v.*, user_id % 3 AS run, n_events, n_errors, has_write, top_ratio, n_events * 20000 AS total_tokens, CAST(data_flow AS INT) + CAST(cross_boundary_flow AS INT) AS active_signals
+inp AS (SELECT v.*, user_id % 3 AS run, n_events, n_errors, has_write, top_ratio, n_events * 20000 AS total_tokens, signals_fired AS active_signals
         FROM verdicts v LEFT JOIN facts USING (trace_id) LEFT JOIN loops USING (trace_id)),
 cum AS (SELECT *, sum(total_tokens) OVER w AS tokens_used, sum(n_events) OVER w AS calls, sum(n_errors) OVER w AS errors,
   count(*) FILTER (total_tokens > {v.MAX_TRACE_TOKENS}) OVER w AS spikes, count(*) FILTER (env_class = 'risky') OVER w AS risky_total, count(*) FILTER (env_class = 'risky' AND any_risk) OVER w AS risky_risk,
