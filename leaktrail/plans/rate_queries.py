@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaktrail import vocab as v
@@ -12,6 +13,7 @@ from leaktrail.operators import dims, features, quality, rates
 from leaktrail.operators.grouped import first_wins
 from leaktrail.plans.flow_queries import BASE, LABELS, _hits, _labels
 from leaktrail.plans.registry import query, table
+from leaktrail.session import staged
 from leaktrail.plans.views import (OUTCOMES_SQL, TOOL_EVENTS_SQL, TRACES_SQL, outcomes, tool_events, traces, with_sql)
 
 OUT = with_sql(OUTCOMES_SQL)
@@ -38,7 +40,18 @@ verdicts AS (SELECT *, (CASE WHEN any_risk THEN 'unsafe_' ELSE 'safe_' END) || (
 """
 
 
+_LABELLED: dict[tuple, DataFrame] = {}
+
+
 def verdicts(spark, sf_dir):
+    """The labelled traces, computed and written once per session and folder; the reports read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LABELLED:
+        _LABELLED[key] = staged(_label_all(spark, sf_dir), "verdicts")
+    return _LABELLED[key]
+
+
+def _label_all(spark, sf_dir):
     """A row per trace: its computed labels, its attributes, and errors and the artefact as its events show them."""
     c, events, about = F.col, tool_events(spark, sf_dir), traces(spark, sf_dir)
     report = (c("tool") == "write_file") & c("success") & (F.get_json_object("args", "$.path") == REPORT)
