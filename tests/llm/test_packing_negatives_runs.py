@@ -180,6 +180,36 @@ def test_mined_negatives(spark, seed, monkeypatch):
     assert negatives.mine(df.limit(0), F.col("vec_id") % 4 == 0).count() == 0
 
 
+def mined_rows(rows):
+    """Every row for itself, as the query's contract says: copies of an anchor are other rows."""
+    rows, out = [(i, n, [math.floor(256 * x) for x in v]) for i, v, n in rows], []
+    for k, (a, label, v) in enumerate(rows):
+        if a % 4:
+            continue
+        ranked = sorted((-sum(x * y for x, y in zip(v, w)), i, other) for j, (i, other, w) in enumerate(rows) if j != k)
+        for down, p, _ in [r for r in ranked if r[2] == label][:5]:
+            fits = [(i, -d) for d, i, other in ranked if other != label and 30 * -down <= 100 * -d <= 90 * -down]
+            out += [(a, p, r + 1, i, -down, s) for r, (i, s) in enumerate(fits[:10])]
+    return sorted(out)
+
+
+def test_mined_negatives_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(negatives, "BLOCK_ANCHORS", 7)
+    rnd = random.Random(7)
+    rows = [(i, [rnd.choice([-.5, -.125, .25, .5, 1.0]) for _ in range(4)], rnd.randrange(3)) for i in range(60)]
+    rows += [*rows[::5], rows[8], (12, [.875] * 4, 0), (13, [.875] * 4, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, negatives.mine(df, F.col("vec_id") % 4 == 0, distinct_ids=False).collect())) == mined_rows(rows)
+
+
+def test_mined_negatives_of_large_scores(spark):
+    rows = [(0, [2.0**22], 0), (1, [2.0**20], 0), (2, [2.0**23], 0), (3, [2.0**19], 1), (5, [2.0**22 + 1], 1), (6, [2.0**22 + 2], 1)]  # scores up to 2^61
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = negatives.mine(df, F.col("vec_id") % 4 == 0, distinct_ids=False).collect()
+    assert sorted(map(tuple, got)) == mined_rows(rows) and len(got) == 3
+
+
 def test_scores_of_huge_components():
     big = [2.0**40, 3.0]
     assert negatives.scores([big], [[2.0**20, 1.0]]).tolist() == [[2**56]]
