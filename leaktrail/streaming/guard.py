@@ -2,17 +2,17 @@
 
 Matching is one automaton over the texts of a call (or the anchored lookup beyond the broadcast
 bound), redaction is literal replacement. Only the question "was this secret read earlier in this
-trace?" needs state. It is kept per (trace, secret): the first read of the value and of the core,
-two numbers that new reads can only lower. A call is blocked if they lie before it, so neither
-order nor a walk over rows is needed, a busy trace spreads over its secrets, and a state that
-nothing touches for ``ttl`` goes.
+trace?" needs state. Per (trace, secret) that is the first read of the value and of the core, two
+numbers that new reads can only lower. A call is blocked if they lie before it, so no order is
+needed. The secrets of a trace are dealt into a few shares by hash and a share is one state: most
+(trace, secret) pairs have one row or two, and a state for each would cost more than the rows. A
+busy trace spreads over its shares, and a secret that nothing touches for ``ttl`` goes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,34 +29,47 @@ from leaktrail.session import fits_broadcast, importable
 TTL_MS = 7 * 24 * 3600 * 1000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CALL = "trace_id string, canary_id string, idx bigint, verbatim boolean, fragment boolean, value_known boolean, core_known boolean, late boolean"
+_CALL_COLUMNS = [x.split()[0] for x in _CALL.split(", ")]
+_HIT = ["canary_id", "idx", "saw_value", "saw_core", "is_delivery", "in_value", "in_core"]
+_STATE = "canary_id array<string>, value_at array<bigint>, core_at array<bigint>, done array<bigint>, until array<bigint>"
 _NEVER = 2**62
+#: Shares that the secrets of a trace are dealt into: a task takes one share of one trace at a time.
+SHARES = 2
 
 
 class SeenSecret(StatefulProcessor):
-    """Per (trace, secret): when its value and core were first read, and the last call or read processed."""
+    """Per (trace, share of the secrets): when each secret's value and core were first read, and its last call or read processed.
+
+    The secrets of a group lie in one state, so that it is fetched and stored once however many rows come. Each has a
+    time of its own at which it goes, ``ttl_ms`` after it was last touched.
+    """
 
     def __init__(self, ttl_ms: int | None = TTL_MS):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "value_at bigint, core_at bigint, done bigint", self.ttl_ms)
+        self.seen = handle.getValueState("seen", _STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        value_at, core_at, done = self.seen.get() if self.seen.exists() else (_NEVER, _NEVER, -1)
-        last, calls = done, []
+        now, held = timerValues.getCurrentProcessingTimeInMs(), {}
+        if stored := self.seen.get():
+            held = {c: (*at, until) for c, *at, until in zip(*stored) if self.ttl_ms is None or until > now}
+        until = now + (self.ttl_ms or 0)
+        done, calls = {c: at[2] for c, at in held.items()}, []
         for part in rows:
-            idx = part["idx"].to_numpy(np.int64)
-            saw_value, saw_core = part["saw_value"].to_numpy(bool), part["saw_core"].to_numpy(bool)
-            value_at = min(value_at, int(idx[saw_value].min(initial=_NEVER)))
-            core_at = min(core_at, int(idx[saw_core].min(initial=_NEVER)))
-            last = max(last, int(idx.max(initial=-1)))
-            calls.append(part.loc[part["is_delivery"], ["idx", "in_value", "in_core"]])
-        self.seen.update((value_at, core_at, last))
-        call = pd.concat(calls)  # of one secret in one trace in one micro-batch, three narrow columns
-        value_known, core_known = call["idx"] > value_at, call["idx"] > core_at
-        out = pd.DataFrame({"trace_id": key[0], "canary_id": key[1], "idx": call["idx"], "verbatim": value_known & call["in_value"],
-                            "fragment": core_known & call["in_core"], "value_known": value_known, "core_known": core_known, "late": call["idx"] <= done})
-        yield out[out["verbatim"] | out["fragment"]]
+            for c, idx, saw_value, saw_core, call, in_value, in_core in zip(*(part[n].tolist() for n in _HIT)):
+                value_at, core_at, last, _ = held.get(c) or (_NEVER, _NEVER, -1, until)
+                held[c] = (min(value_at, idx) if saw_value else value_at, min(core_at, idx) if saw_core else core_at, max(last, idx), until)
+                if call and (in_value or in_core):
+                    calls.append((c, idx, in_value, in_core))  # of some secrets in one trace in one micro-batch, four narrow columns
+        self.seen.update(tuple(map(list, zip(*((c, *at) for c, at in held.items())))))
+        out = []
+        for c, idx, in_value, in_core in calls:
+            value_known, core_known = idx > held[c][0], idx > held[c][1]
+            if (value_known and in_value) or (core_known and in_core):
+                out.append((key[0], c, idx, value_known and in_value, core_known and in_core, value_known, core_known, idx <= done.get(c, -1)))
+        if out:
+            yield pd.DataFrame(out, columns=_CALL_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -96,7 +109,8 @@ def known_calls(events: DataFrame, dictionary: DataFrame, ttl_ms: int | None = T
     call it should have preceded no longer blocks that call, but all later ones.
     """
     importable(events.sparkSession)
-    return secret_hits(events, dictionary).groupBy("trace_id", "canary_id").transformWithStateInPandas(
+    hits = secret_hits(events, dictionary).withColumn("share", F.pmod(F.xxhash64("canary_id"), F.lit(SHARES)))
+    return hits.groupBy("trace_id", "share").transformWithStateInPandas(
         statefulProcessor=SeenSecret(ttl_ms), outputStructType=_CALL, outputMode="Append", timeMode="ProcessingTime")
 
 

@@ -172,3 +172,18 @@ def test_monitored_stream_comes_in_ordered_batches(spark, tmp_path, monkeypatch)
              for p in sorted((tmp_path / "traces").glob("batch=*"), key=lambda p: int(p.name.split("=")[1]))]
     assert len(spans) >= 3
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_guard_keeps_a_trace_in_few_states(spark, tmp_path):
+    """A trace that meets many secrets has a state per share, not one per secret, and each secret is judged for itself."""
+    from leaktrail.functions.secrets import build_dictionary
+
+    d = build_dictionary(spark.createDataFrame([("risky_v1", f"s{k}", f"sk_live_{k:02d}abcdefghijklmnop") for k in range(40)], "env_type string, canary_id string, value string"))
+    rows = [("t", "risky_v1", k, "read_file", "{}", f"got sk_live_{k:02d}abcdefghijklmnop") for k in range(0, 40, 2)]
+    rows += [("t", "risky_v1", 100 + k, "write_file", f'{{"content": "sk_live_{k:02d}abcdefghijklmnop"}}', "ok") for k in range(40)]
+    spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(f"{tmp_path}/in")
+    log = spark.read.schema(LOG).parquet(f"{tmp_path}/in")
+    out = g.run_guard(spark.readStream.schema(LOG).parquet(f"{tmp_path}/in"), log, d, f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert sorted(r.idx for r in out.collect()) == [100 + k for k in range(0, 40, 2)]
+    state = spark.read.format("statestore").option("stateVarName", "seen").load(f"{tmp_path}/cp")
+    assert 0 < state.count() <= g.SHARES
