@@ -93,3 +93,24 @@ def test_entry_survives_a_missing_dependency():
     code = ("import sys; sys.modules['public_tokenizers'] = None\n"
             "import __spark_entry__ as e\nq = e.queries()\nassert len(q) > 140 and not any(n.startswith('op') and n[2].isdigit() for n in q) and e.oracle_sql()")
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_the_view_reads_the_events_once(spark):
+    """Its dimensions are stored once a session; before, naming them in a SQL text gave the kept frames up and each use read all events again."""
+    from leaktrail.plans.views import secret_dictionary, tool_events
+
+    sf = "/root/testdata/sf0.001"
+    secret_dictionary(spark, sf)
+    for df in (tool_events(spark, sf), secret_dictionary(spark, sf)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("props#" in line and "Relation" in line for line in plan.splitlines()) == (1 if "idx" in df.columns else 0)
+
+
+def test_unescaped_texts_and_privileged_values(spark):
+    from leaktrail.functions import text as t
+
+    rows = [("a", r"x\_y\.z"), ("b", "x_y"), ("c", None), ("d", ""), ("e", r"\\_"), ("f", "role 'Admin' IS_ADMIN = 1"), ("g", "all")]
+    df = spark.createDataFrame(rows, "k string, x string")
+    got = {r.k: (r.p, r.v) for r in df.select("k", t.strip_md("x").alias("p"), t.privileged_values("x").alias("v")).collect()}
+    assert got["a"] == ("x_y.z", []) and got["b"] == ("x_y", []) and got["c"] == (None, None) and got["d"] == ("", []) and got["e"] == (r"\_", [])
+    assert got["f"][1] == ["'admin'", "is_admin = 1"] and got["g"][1] == []
