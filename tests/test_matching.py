@@ -114,3 +114,25 @@ def test_unescaped_texts_and_privileged_values(spark):
     got = {r.k: (r.p, r.v) for r in df.select("k", t.strip_md("x").alias("p"), t.privileged_values("x").alias("v")).collect()}
     assert got["a"] == ("x_y.z", []) and got["b"] == ("x_y", []) and got["c"] == (None, None) and got["d"] == ("", []) and got["e"] == (r"\_", [])
     assert got["f"][1] == ["'admin'", "is_admin = 1"] and got["g"][1] == []
+
+
+def test_spread_counts_rows_not_splits(spark, tmp_path):
+    """A file of one row group has many splits and rows in one of them; before, the number of splits decided."""
+    from leaktrail.plans.registry import spread
+
+    path = str(tmp_path / "one.parquet")
+    spark.range(4000).selectExpr("id", "sha2(cast(id as string), 256) AS x").coalesce(1).write.parquet(path)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() >= 8
+        out = spread(df)
+        held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(held) == 4000 and max(held) <= 4000 / 4
+        even = spark.range(4000).repartition(8)
+        assert spread(even) is even and spread(spark.range(0)).count() == 0
+    finally:
+        for k, x in kept.items():
+            spark.conf.set(k, x)
