@@ -167,3 +167,21 @@ def test_guard_checks_before_it_observes(spark):
     assert json.loads(got["twice", 1].sanitized_args)["command"] == "echo " + v.REDACTED
     assert json.loads(got["core", 1].sanitized_args)["content"] == "see sk_live_" + v.REDACTED
     assert (got["twice", 1].n_verbatim, got["twice", 1].n_fragment, got["core", 1].n_verbatim, got["core", 1].n_fragment) == (1, 1, 0, 1)
+
+
+def test_labels_read_the_texts_once(spark, monkeypatch):
+    """Hits and marks come from one pass over the texts; before, each had its own. Both forms give the same labels."""
+    from leaktrail.plans.views import secret_dictionary, tool_events, traces
+
+    sf, wide = "/root/testdata/sf0.001", []
+
+    def counted(df, name):
+        wide.append("get_json_object" in df._jdf.queryExecution().optimizedPlan().toString())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(signals, "staged", counted)
+    about, events, dictionary = traces(spark, sf), tool_events(spark, sf), secret_dictionary(spark, sf)
+    one = signals.label_traces(about, events, dictionary)
+    assert sum(wide) == 1 and len(wide) == 2
+    monkeypatch.setattr(signals, "fits_broadcast", lambda *a, **k: False)
+    assert sorted(map(str, one.collect())) == sorted(map(str, signals.label_traces(about, events, dictionary).collect()))
