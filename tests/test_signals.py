@@ -185,3 +185,42 @@ def test_labels_read_the_texts_once(spark, monkeypatch):
     assert sum(wide) == 1 and len(wide) == 2
     monkeypatch.setattr(signals, "fits_broadcast", lambda *a, **k: False)
     assert sorted(map(str, one.collect())) == sorted(map(str, signals.label_traces(about, events, dictionary).collect()))
+
+
+def test_attached_facts_are_written_once(spark, monkeypatch):
+    """The hot list and every use of the flows computed the facts anew from the hits."""
+    from leaktrail.operators import grouped
+
+    names, staged = [], grouped.staged
+    monkeypatch.setattr(grouped, "staged", lambda df, name: (names.append(name), staged(df, name))[1])
+    rows, facts = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "k int, i int"), spark.createDataFrame([(1, "a", 2), (2, "b", 1)], "k int, f string, n int")
+    for hot in (0, 10):
+        got = grouped.attach_facts(rows, facts, ["k"], F.col("i"), "n", hot_rows=hot)
+        assert sorted((r.k, r.i, r.f) for r in got.collect()) == [(1, 5, "a"), (1, 6, "a"), (2, 7, "b")]
+    assert names == ["facts", "facts"]
+
+
+def test_marks_are_plain_columns_of_the_pass(spark):
+    """Marks in an array under a lambda were evaluated by the interpreter, outside the generated code."""
+    _, events, dictionary = frames(spark, CASES)
+    found, _ = matching.found_in_events(matching.text_lanes(events), dictionary, signals._marks(), signals._says)
+    assert {"what", "used", "known", "presumed", "read_path", "move_source"} <= set(found.columns)
+
+
+def test_arguments_are_read_for_their_tools_only(spark):
+    rows = [("read_file", '{"path": "/p", "command": "c", "url": "u"}'), ("execute_command", '{"path": "/p", "command": "c", "query": "q"}'),
+            (None, '{"path": "/p"}'), ("move_file", '{"source": "/s", "content": "x"}'), ("write_query", None)]
+    e = spark.createDataFrame(rows, "tool string, args string").selectExpr("*", "'t' AS trace_id", "'risky_v1' AS env_type", "1L AS idx", "'s' AS server")
+    got = [tuple(r) for r in matching.text_lanes(e).select("tool", "cmd", "path", "url", "content", "query", "move_source").collect()]
+    assert got == [("read_file", "", "/p", "", "", "", ""), ("execute_command", "c", "", "", "", "", ""), (None, "", "", "", "", "", ""),
+                   ("move_file", "", "", "", "", "", "/s"), ("write_query", "", "", "", "", "", "")]
+
+
+def test_staged_tables_are_written_with_methods_the_jvm_compiles(spark, monkeypatch):
+    from leaktrail import session
+
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before, write = spark.conf.get(name), type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path: (seen.append(spark.conf.get(name)), write(self, path)))
+    assert session.staged(spark.range(3), "few").count() == 3
+    assert seen == [session.COMPILED_METHOD] and spark.conf.get(name) == before
