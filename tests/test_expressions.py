@@ -139,3 +139,19 @@ def test_wilson_conventions(spark):
     assert [x for x in counts(spark, [(0, 0, 0, 0)], *stats.wilson("a", "b"), *stats.wilson("a", "b", v.Z95_SHORT, (0.0, 0.0)), stats.wilson_text("a", "b"))] == [(0.0, 1.0, 0.0, 0.0, "[n/a]")]
     (lo, hi), = counts(spark, [(3, 12, 0, 0)], *stats.wilson("a", "b"))
     assert (round(lo, 4), round(hi, 4)) == (0.0889, 0.5323)
+
+
+def test_network_pattern_holds_for_every_prefix(spark):
+    """The prefixes were looked for one by one, each in a text lowered anew."""
+    from leaktrail import vocab as v
+
+    yes = [start + p + "x" for p in v.NETWORK_PREFIXES for start in ("", "a ", "A  ")] + [p.upper() for p in v.NETWORK_PREFIXES]
+    assert column(spark, yes, t.is_network_command("x")) == [True] * len(yes)
+
+
+def test_word_lists_take_a_lowered_text(spark):
+    texts = ["CAT /ws/.ENV", "cp x", "/ws/Deploy.SH", "role 'ADMIN'", "Is_Admin = 1", "a_b", "", None]
+    pairs = [(t.is_shell_read, "x"), (t.is_sensitive_path, "x"), (t.has_sensitive_column, "x"), (t.is_copy_command, "x"), (t.is_executable_path, "x")]
+    for rule, x in pairs:
+        assert column(spark, texts, rule(x)) == column(spark, texts, rule(F.lower(x), True))
+    assert column(spark, texts, t.privileged_values("x")) == [[], [], [], ["'admin'"], ["is_admin = 1"], [], [], None]

@@ -136,3 +136,38 @@ def test_spread_counts_rows_not_splits(spark, tmp_path):
     finally:
         for k, x in kept.items():
             spark.conf.set(k, x)
+
+
+def test_matcher_reads_a_batch_as_one(monkeypatch):
+    """Every text of every row was given to the automaton by itself, and its answers were put together in Python."""
+    import pyarrow as pa
+
+    from leaktrail.operators import automaton
+
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abé😀") for _ in range(rnd.randrange(n)))
+    for _ in range(60):
+        monkeypatch.setattr(automaton, "RUN_BYTES", rnd.choice([1, 5, 40, 4_000_000]))
+        rows = [(rnd.choice(["e", "f", None]), [rnd.choice([word(5), None]) for _ in range(rnd.randrange(3))], [word(4)]) for _ in range(rnd.randrange(8))]
+        m = Matcher(rows, rnd.random() < 0.3)
+        n, skipped = rnd.randrange(20), rnd.randrange(3)
+        scopes = [rnd.choice(["e", "f", "g", None]) for _ in range(n)]
+        lanes = [[None if rnd.random() < 0.2 else word(9) for _ in range(n)] for _ in range(3)]
+        ends, (numbers, *masks) = m.batch(pa.array(scopes, pa.string()), [pa.array(["ab"] * skipped + x, pa.string()).slice(skipped) for x in lanes])
+        got = [{int(numbers[j]): [int(x[j]) for x in masks] for j in range(ends[i], ends[i + 1])} for i in range(n)]
+        assert got == [m.masks(s, [x[i] for x in lanes]) for i, s in enumerate(scopes)]
+
+
+def test_matcher_leaves_out_what_lies_across_two_texts():
+    import pyarrow as pa
+
+    ends, (numbers, values) = Matcher([("e", ["ab"])]).batch(pa.array(["e"] * 4), [pa.array(["xa", "b", "", "éab"])])
+    assert list(ends) == [0, 0, 0, 0, 1] and list(numbers) == [0] and list(values) == [1]
+
+
+def test_the_view_reads_each_json_key_once(spark):
+    """The join's filter on k read the JSON a second time, in every scan of the events."""
+    from leaktrail.plans.views import tool_events
+
+    plan = tool_events(spark, "/root/testdata/sf0.001").select("idx", "tool")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(props") == 1

@@ -224,3 +224,32 @@ def test_staged_tables_are_written_with_methods_the_jvm_compiles(spark, monkeypa
     monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path: (seen.append(spark.conf.get(name)), write(self, path)))
     assert session.staged(spark.range(3), "few").count() == 3
     assert seen == [session.COMPILED_METHOD] and spark.conf.get(name) == before
+
+
+def test_rows_of_one_event_are_seen_together_without_moving_the_others(spark):
+    """All hits were moved and sorted by event; now only flagged rows that have a core and no value ask the other rows."""
+    _, _, dictionary = frames(spark, CASES)
+    d = dictionary.filter("core <> value").first()
+    rows = [("t", 1, d["core"]), ("t", 1, d["value"]), ("t", 2, d["core"]), (None, 3, d["core"]), (None, 3, d["value"]), ("t", None, d["core"]), ("u", 1, d["core"])]
+    e = spark.createDataFrame(rows, "trace_id string, idx long, result_full string").withColumns(
+        {"env_type": F.lit(d["env_type"]), "server": F.lit("filesystem"), "tool": F.lit("read_file"), "canary_in_result": F.lit("true")})
+    one = dictionary.filter((F.col("env_type") == d["env_type"]) & (F.col("canary_id") == d["canary_id"]))
+    got = matching.match_hits(matching.text_lanes(e), one)
+    reads = sorted((str(r.trace_id), str(r.idx), r.v_vis, r.read) for r in got.collect())
+    assert reads == [("None", "3", False, False), ("None", "3", True, True), ("t", "1", False, False), ("t", "1", True, True),
+                     ("t", "2", False, True), ("t", "None", False, True), ("u", "1", False, True)]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_secrets_and_traces_are_grouped_where_their_facts_are(spark, monkeypatch):
+    """Each grouping moved the facts once more and gave up hashing after a few groups."""
+    from leaktrail import session
+
+    name, seen = "spark.sql.execution.useObjectHashAggregateExec", []
+    before, staged = spark.conf.get(name), signals.staged_groups
+    write = type(spark.range(1).write).parquet
+    monkeypatch.setattr(signals, "staged_groups", lambda df, n: (seen.append(n), staged(df, n))[1])
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path: (seen.append(spark.conf.get(name)), write(self, path))[1])
+    signals.label_traces(*frames(spark, CASES)).collect()
+    assert seen[seen.index("flow-signals") + 1] == "false" and seen.count("false") == 1
+    assert spark.conf.get(name) == before and session.staged(spark.range(3), "few").count() == 3
