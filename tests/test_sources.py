@@ -5,7 +5,9 @@ import json
 
 import pytest
 from leaktrail.operators import dims
+from leaktrail.session import settings
 from leaktrail.sources import logs
+from pyspark.sql import functions as F
 
 
 def trace(tid, model="m", n=1, **kw):
@@ -92,6 +94,19 @@ def test_regression_and_digest(spark, tmp_path):
     assert logs.file_digests(spark, str(p)).first().sha256 == hashlib.sha256(body.encode()).hexdigest()
 
 
+def test_digests_of_files_beyond_one_array(spark, tmp_path):
+    """Files longer than Spark's binary reader holds in memory, and odd names; the bytes are taken as they lie, compressed or not."""
+    bodies = {"a b%20é#1.json": b"\xef\xbb\xbf{}\r\n\n", "l.json.gz": b"\x1f\x8b no gzip", "part[0].bin": bytes(range(256)) * 3000}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    with settings(spark, {"spark.sql.sources.binaryFile.maxLength": "1"}):
+        digests = logs.file_digests(spark, str(tmp_path))
+        got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in digests.collect()}
+        big = digests.filter(F.col("sha256") == hashlib.sha256(bodies["part[0].bin"]).hexdigest()).select("length").collect()
+    assert got == {name: (len(body), hashlib.sha256(body).hexdigest()) for name, body in bodies.items()}
+    assert [r.length for r in big] == [768_000]
+
+
 def test_sinks(spark, tmp_path):
     put(tmp_path / "in" / "agent_traces.json", [trace("t1"), trace("t2", model="n")])
     df = logs.load_traces(spark, str(tmp_path / "in"))
